@@ -20,9 +20,9 @@ CAPITAL_TWINS = "в b н h м m к k т t α a β b ε e ζ z η h ι i κ k μ
 HAN_KANA = "぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002fa1f々〆"
 
 _twins = str.maketrans(dict(zip(CAPITAL_TWINS.split()[::2], CAPITAL_TWINS.split()[1::2])))
-_marks = {chr(c) for c in (*range(0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"}
+MARKS = {chr(c) for c in (*range(0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"}
 _between = re.compile(r"[\W_]+")
-_between_marked = re.compile(rf"(?:[^\w{_ranges({c for c in _marks if ord(c) < 0x10000})}]|_)+")
+_between_marked = re.compile(rf"(?:[^\w{_ranges({c for c in MARKS if ord(c) < 0x10000})}]|_)+")
 _han = re.compile(f"[{HAN_KANA}]")
 _pieces = re.compile(f"[{HAN_KANA}]|[^ {HAN_KANA}]+")
 _flags = re.compile(r"(?:\s+--[A-Za-z][\w-]*(?:[ =]+(?!--)[^\s]+)?)+[\s.,;!]*$")
@@ -37,7 +37,7 @@ def _folded(form: str) -> str:
 
 def _words(form: str) -> str:
     low = _folded(form)
-    return (_between if low.isascii() or _marks.isdisjoint(low) else _between_marked).sub(" ", low).strip()
+    return (_between if low.isascii() or MARKS.isdisjoint(low) else _between_marked).sub(" ", low).strip()
 
 
 def word_text(text: str | None) -> str | None:
