@@ -34,6 +34,7 @@ PAIRS = {")": "(", "]": "[", "}": "{", "»": "«", "」": "「", "』": "『", "
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u200e\u200f"
 MAX_SPAN, OPENINGS = 200, 20_000
 
+_in_parts = {x for x in BEFORE_WORD + MAY_END if "." in x}
 _before_word, _before_number, _may_end = set(BEFORE_WORD), set(BEFORE_NUMBER), set(MAY_END)
 _line = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _blank = re.compile(rf"[\s{INVISIBLE}]*")
@@ -49,7 +50,8 @@ _code = re.compile(r"(?:def|class|for|while|if|elif|else|try|except|with|import|
 _code_more = re.compile(r"\w+\s*=\s*\S|\w+\(.*\)|[{};]\s*$|^\s*(?:#|//)")
 _label = re.compile(r"[^\W\d_][\w'’\-]*(?: [\w'’\-]+){0,2}:\s+(?![\"“«„「‘'])\S")
 _marker = re.compile(r"<\|[^|<>]*\|>")
-_last_word = re.compile(r"(?<![^\W_])(?:[^\W\d_]{1,3}\.[ \u00a0\n]?){0,3}[^\W_]+(?:[̀-ͯऀ-ॿ]*[^\W_]*)*$")
+_part = re.compile(r"[^\w]*([^\W\d_]{1,3}\.)$")
+_quote = re.compile(r"[()\[\]{}«»„“”\"「」『』《》（）【】‹›]")
 _next_word = re.compile(r"[\w़-ॿ'’\-]+")
 
 
@@ -122,6 +124,21 @@ def _opening(text: str, at: int, end: int, openings: frozenset[str]) -> tuple[fl
     return (0.5 if c.isdigit() or c == "<" or c == "`" else 0.0 if ord(c) > 0x2000 else -1.0), word
 
 
+def _last_word(text: str, a: int, b: int) -> str:
+    """The word before a dot, with the parts of an abbreviation before it, as in "z. B"."""
+    words = text[a:b].split()
+    if not words or not b or text[b - 1].isspace():
+        return ""
+    last = words.pop()
+    at = len(last)
+    while at and (last[at - 1].isalnum() or last[at - 1] == "." or "\u0300" <= last[at - 1] <= "\u036f" or "\u0900" <= last[at - 1] <= "\u0dff"):
+        at -= 1
+    if at or not words:
+        return last[at:].lstrip(".")
+    m = _part.match(words[-1])
+    return m[1] + last if m else last.lstrip(".")
+
+
 def _ending(text: str, start: int, m: re.Match, nxt: int, word: str, glued: bool) -> float:
     """What the mark and the word before it say for an end; ``nxt`` is where the next word begins."""
     mark = m.group()
@@ -131,13 +148,14 @@ def _ending(text: str, start: int, m: re.Match, nxt: int, word: str, glued: bool
         return 5.0 if not glued else 3.0
     if mark[0] == "…" or len(mark) > 1:
         return 1.5 if len(mark) < 4 or mark[0] == "…" else 1.0
-    w = _last_word.search(text, max(start, m.start() - 24), m.start())
-    last = w.group() if w else ""
-    low = re.sub(r"\s", "", last).lower()
+    last = _last_word(text, max(start, m.start() - 24), m.start())
+    low = last.lower()
     tail = low.rpartition(".")[2]
     if glued:
-        ok = len(tail) > 1 and last[-1:].islower() and len(word) > 1 and word[:1].isupper() and word[1:2].islower() or bool(_caseless.match(last[-1:] or "x"))
+        ok = len(tail) > 1 and last[-1:].islower() and word[:1].isupper() and (len(word) == 1 or word[1] in "'’" or word[1].islower()) or bool(_caseless.match(last[-1:] or "x"))
         return 4.0 if ok and low not in _before_word and tail not in _before_number else -9.0
+    if f"{low}.{word.lower()}" in _in_parts:
+        return -7.0
     digit, upper = word[:1].isdigit() or word[:1] == "#", word[:1].isupper()
     if low in _before_word or (tail in _before_word and ("." not in low or not tail.isascii())):
         if not (len(tail) == 1 and tail.isascii() and last[-1:].islower()):
@@ -196,15 +214,15 @@ def spans(text: str, a: int, b: int, openings: frozenset[str]) -> list[tuple[int
     # Open quotations and brackets up to each cut; a straight quote opens and closes by turns.
     depth, odd, states, at = Counter(), 0, [], a
     for end, *_ in cuts:
-        for c in text[at:end]:
-            if c in PAIRS:
-                depth[PAIRS[c]] = max(0, depth[PAIRS[c]] - 1)
-            elif c == '"':
+        for q in _quote.findall(text, at, end):
+            if q in PAIRS:
+                depth[PAIRS[q]] = max(0, depth[PAIRS[q]] - 1)
+            elif q == '"':
                 odd ^= 1
-            elif c == "”" or c == "“" and depth["„"]:
+            elif q == "”" or q == "“" and depth["„"]:
                 depth["„" if depth["„"] else "“"] = max(0, depth["„" if depth["„"] else "“"] - 1)
-            elif c in "([{«“„「『《（【‹":
-                depth[c] += 1
+            else:
+                depth[q] += 1
         at = max(at, end)
         states.append((odd, *sorted((k, n) for k, n in depth.items() if n)))
     best, back = [0.0] + [-1e18] * (len(cuts) - 1), [0] * len(cuts)
