@@ -54,6 +54,7 @@ class Written:
         path = f"{self.root}/{name}"
         out = df.write.mode("errorifexists").option("compression", "zstd")
         (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+        self.spark.sparkContext._jvm.System.gc()  # lets the context cleaner remove shuffle files that nothing refers to
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
