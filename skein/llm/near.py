@@ -9,11 +9,11 @@ first ``len - o + 1`` words of each, and two among the first ``len - o + 2``, an
 the smaller record of a pair ``o`` is 2s/(1+s) of its length, in that of the larger one s of it; the
 smaller posts the short prefix ("index"), the larger the long one ("probe").
 *Skip*: words that occur in one record only are not posted, and a value is posted in the long prefix
-only if a record posted it in a short one (a bit table of fixed size).
+only if a record has it in a short one (a bit table of fixed size).
 *Split*: a value expected in more than TARGET records is not posted alone but with each next word that
 could be shared, to a depth of DEPTH; the expectation is a function of the value, so both records of a
 pair split alike. What is still too long for one task is split into blocks by record (``_blocks``).
-*Count*: the collisions of a pair are merged, pairs whose 64-bit word tables differ too much are skipped,
+*Count*: the collisions of a pair are merged, pairs whose small tables of words differ too much are skipped,
 and the full overlap of the rest is counted on the word sets.
 
 No pair at or above the threshold is lost: nothing above is a sample or a cap. Words are compared by
@@ -40,7 +40,11 @@ TARGET, DEPTH, HOT = 400, 4, 8_000
 #: Words from which a record posts single words only (splitting grows with the square of the prefix).
 LONG = 2_000
 SKETCH_BITS, TABLE_BITS, STEPS = 24, 26, 6
-POSTING = "t byte, key bigint, id bigint, size int, bits bigint, probe boolean"
+#: A posting's ``tag`` holds, from the top: 44 bits of the word table (64 more are in ``bits``), 16 of the size (larger ones count as
+#: the largest, which prunes less), 1 of t, and whether the value is in the short prefix (MARK), the record may be the
+#: left one of a pair (LEFT), and the right one (RIGHT).
+POSTING = "key bigint, id bigint, tag bigint, bits bigint"
+TABLE, MOST_SIZE, T_AT, MARK, LEFT, RIGHT = 44, (1 << 16) - 1, 3, 4, 2, 1
 
 
 @dataclass(frozen=True)
@@ -121,8 +125,8 @@ def _prefix(size: np.ndarray, num: int, den: int) -> np.ndarray:
     return size - (size * num + den - 1) // den + 1
 
 
-def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: Sketch, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, value) of the coordinates of a prefix for which num/den of the words are shared."""
+def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: Sketch, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, value, whether it is in the short prefix) of the coordinates of the long prefix."""
     size = np.diff(offsets)
     rec = np.repeat(np.arange(len(size)), size)
     code = sketch.codes[words & ((1 << SKETCH_BITS) - 1)]
@@ -130,75 +134,82 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
     w, code = words[order].view(np.uint32).astype(np.uint64), code[order].astype(np.int64)
     count = np.exp2(code / STEPS)
     at = np.arange(len(w)) - offsets[rec]
-    length = _prefix(size, num, den)
+    length, inner = _prefix(size, num, den), _prefix(size, 2 * num, num + den)
     here = (at < length[rec]) & (code > 0)
-    out_rec, out_key = [], []
+    out_rec, out_key, out_in = [], [], []
 
-    def post(which: np.ndarray, key: np.ndarray) -> None:
+    def post(which: np.ndarray, key: np.ndarray, within: np.ndarray) -> None:
         out_rec.append(rec[which])
         out_key.append(key)
+        out_in.append(within)
 
     first = np.flatnonzero(here)
+    within = at[first] < inner[rec[first]]
     key = _mix(w[first], t[rec[first]].astype(np.uint64))
     long = size[rec[first]] * 10 >= 7 * LONG
-    post(first[long], _mix(key[long], np.full(int(long.sum()), 0x10)))
+    post(first[long], _mix(key[long], np.full(int(long.sum()), 0x10)), within[long])
     short = size[rec[first]] < LONG
-    last, key, expect, depth = first[short], key[short], count[first[short]], 1
+    last, key, within, expect, depth = first[short], key[short], within[short], count[first[short]], 1
     ends = offsets[1:]
     while len(last):
         r = rec[last]
         stop = np.minimum(offsets[r] + length[r] + depth, ends[r])  # one more word for each that is chosen
         done = (expect <= TARGET) | (depth == DEPTH) | (last + 1 >= stop)
-        post(last[done], key[done])
-        last, key, expect, stop = last[~done], key[~done], expect[~done], stop[~done]
+        post(last[done], key[done], within[done])
+        last, key, within, expect, stop = last[~done], key[~done], within[~done], expect[~done], stop[~done]
         src, nxt = _spans(last + 1, stop - last - 1)
         key = _mix(key[src], w[nxt])
         # Words of one text go together more often than by chance, hence the factor.
         expect = np.minimum(expect[src], expect[src] * count[nxt] / max(1, sketch.records) * 3)
+        within = within[src] & (at[nxt] < inner[rec[nxt]] + depth)
         last, depth = nxt, depth + 1
-    return np.concatenate(out_rec), np.concatenate(out_key)
+    return np.concatenate(out_rec), np.concatenate(out_key), np.concatenate(out_in)
 
 
-def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, probe: bool, posted: np.ndarray | None = None) -> DataFrame:
-    """The postings of each record in one role; with ``posted``, only of values that it holds."""
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast((sketch, posted))
+def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: np.ndarray | None = None, sides: bool = False, short: bool = False) -> DataFrame:
+    """The postings of each record whose values ``posted`` holds; without it only the values, with ``short`` those of the short prefixes.
+
+    With ``sides``, records with held-out rows are left and those with training rows right; else a value's record is left if it is marked.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast((sketch, posted))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         sk, table = shared.value
         col = b.column("words")
         words, offsets = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False))]).astype(np.int64)
         t = b.column("t").to_numpy(zero_copy_only=False)
-        out_rec, out_key, out_bits, out_size = [], [], [], []
+        flags = None
+        if sides:
+            n, held = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "n_held"))
+            flags = (held > 0) * np.uint64(LEFT) | (held < n) * np.uint64(RIGHT)
+        out_rec, out_key, out_tag, out_bits = [], [], [], []
         for lo in range(0, len(t), 2000):  # bounds the memory of the splits
             hi = min(len(t), lo + 2000)
             off = offsets[lo : hi + 1] - offsets[lo]
             part = words[offsets[lo] : offsets[hi]]
             if not len(part):
                 continue
-            rec, key = coordinates(t[lo:hi], part, off, sk, num, den)
-            if table is not None:
-                slot = key >> np.uint64(64 - TABLE_BITS)
-                hit = (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                rec, key = rec[hit], key[hit]
-            bit = np.uint64(1) << (_mix(part.view(np.uint32), np.zeros(1, np.uint64)) & np.uint64(63))
-            bits = np.bitwise_or.reduceat(bit, off[:-1])
+            rec, key, within = coordinates(t[lo:hi], part, off, sk, num, den)
+            hit = _held(table, key) if table is not None else within if short else np.ones(len(key), bool)
+            rec, key, within = rec[hit], key[hit], within[hit]
             out_rec.append(rec + lo)
             out_key.append(key)
-            out_bits.append(bits[rec])
-            out_size.append(np.diff(off)[rec])
-        if not out_rec:
-            return pa.RecordBatch.from_pylist([], pa.schema([("t", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("bits", pa.int64()), ("probe", pa.bool_())]))
-        rec, key = np.concatenate(out_rec), np.concatenate(out_key)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(t[rec]), pa.array(key.view(np.int64)), b.column("id").take(pa.array(rec)), pa.array(np.concatenate(out_size).astype(np.int32)),
-                pa.array(np.concatenate(out_bits).view(np.int64)), pa.array(np.full(len(rec), probe)),
-            ],
-            ["t", "key", "id", "size", "bits", "probe"],
-        )
-
-    return map_batches(classes.select("t", "id", "words"), one, POSTING)
+            if table is not None:
+                cell = _mix(part.view(np.uint32), np.zeros(1, np.uint64)) % np.uint64(TABLE + 64)
+                low = np.where(cell < TABLE, np.uint64(1) << np.minimum(cell, np.uint64(63)), np.uint64(0))
+                high = np.where(cell >= TABLE, np.uint64(1) << (cell - np.uint64(TABLE)) % np.uint64(64), np.uint64(0))
+                size = np.minimum(np.diff(off), MOST_SIZE).astype(np.uint64)
+                tag = (np.bitwise_or.reduceat(low, off[:-1]) << np.uint64(20)) | (size << np.uint64(4)) | (t[lo:hi].astype(np.uint64) << np.uint64(T_AT))
+                mark = within.astype(np.uint64)
+                side = flags[lo:hi][rec] if sides else mark * np.uint64(LEFT) | np.uint64(RIGHT)
+                out_bits.append(np.bitwise_or.reduceat(high, off[:-1])[rec])
+                out_tag.append(tag[rec] | mark * np.uint64(MARK) | side)
+        rec, key, tag, bits = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((out_rec, np.int64), (out_key, np.uint64), (out_tag, np.uint64), (out_bits, np.uint64)))
+        if table is None:
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id").take(pa.array(rec)), pa.array(tag.view(np.int64)), pa.array(bits.view(np.int64))], ["key", "id", "tag", "bits"])
+
+    return map_batches(classes.select("t", "id", "words", *(("n", "n_held") if sides else ())), one, "key bigint" if posted is None else POSTING)
 
 
 def posted_table(index: DataFrame) -> np.ndarray:
@@ -210,14 +221,22 @@ def posted_table(index: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
-PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, size int, bits bigint, probe boolean"
+def _held(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    slot = key >> np.uint64(64 - TABLE_BITS)
+    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, tag bigint, bits bigint"
 
 
 def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
     """Candidate pairs of each value; the rows of a value with more than ``hot`` rows come out unpaired, with their value."""
 
     def pairs(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        left = np.flatnonzero(~b["probe"])
+        tag = b["tag"].view(np.uint64)
+        marked, right = (tag & np.uint64(MARK)) > 0, (tag & np.uint64(RIGHT)) > 0
+        size, low, high = ((tag >> np.uint64(4)) & np.uint64(MOST_SIZE)).astype(np.int64), tag >> np.uint64(20), b["bits"].view(np.uint64)
+        left = np.flatnonzero(tag & np.uint64(LEFT))
         run = np.searchsorted(start, left, "right") - 1
         count = end[run] - start[run]
         cut = np.cumsum(count)
@@ -226,16 +245,17 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
             to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 2_000_000, "right")))
             src, y = _spans(start[run[at:to]], count[at:to])
             x = left[at:to][src]
-            sx, sy = b["size"][x], b["size"][y]
-            ok = b["probe"][y] & (sx <= sy) & (sx * den >= sy * num) & (b["id"][x] != b["id"][y])
+            sx, sy = size[x], size[y]
+            ok = right[y] & (np.minimum(sx, sy) * den >= np.maximum(sx, sy) * num) & (b["id"][x] != b["id"][y])
+            ok &= (marked[x] & (sx <= sy)) | (marked[y] & (sy <= sx))
             x, y = x[ok], y[ok]
             # |a ^ b| <= (1-s)/(1+s) * (|a| + |b|), and at least as many words differ as bits do.
-            differ = np.bitwise_count(b["bits"][x] ^ b["bits"][y]).astype(np.int64)
-            ok = differ * (den + num) <= (den - num) * (b["size"][x].astype(np.int64) + b["size"][y])
+            differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
+            ok = differ * (den + num) <= (den - num) * (size[x] + size[y])
             yield x[ok], y[ok]
             at = to
 
-    names = ["t", "key", "id", "size", "bits", "probe"]
+    names = ["key", "id", "tag", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []  # rows of the last value, which may go on in the next batch
@@ -243,17 +263,17 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
 
         def loose(b: dict[str, np.ndarray]) -> pa.RecordBatch:
             none = pa.nulls(len(b["id"]), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(b["t"]), none, none, *(pa.array(b[c]) for c in names[1:])], ["t", "id_a", "id_b", *names[1:]])
+            t = pa.array(((b["tag"] >> T_AT) & 1).astype(np.int8))
+            return pa.RecordBatch.from_arrays([t, none, none, *(pa.array(b[c]) for c in names)], ["t", "id_a", "id_b", *names])
 
         def tight(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
             for x, y in pairs(b, start, end):
                 i, j = b["id"][x], b["id"][y]
                 n = len(i)
-                both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), b["t"][x].astype(np.int64)]), axis=1) if n else np.zeros((3, 0), np.int64)
+                both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), (b["tag"][x] >> T_AT) & 1]), axis=1) if n else np.zeros((3, 0), np.int64)
                 n = both.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[2].astype(np.int8)), pa.array(both[0]), pa.array(both[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())],
-                    ["t", "id_a", "id_b", *names[1:]],
+                    [pa.array(both[2].astype(np.int8)), pa.array(both[0]), pa.array(both[1]), *(pa.nulls(n, pa.int64()) for _ in names)], ["t", "id_a", "id_b", *names]
                 )
 
         def whole(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +291,6 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
 
         for batch in batches:
             b = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            b["bits"], b["probe"] = b["bits"].view(np.uint64), b["probe"].astype(bool)
             if spilling is not None:
                 n = int(np.searchsorted(b["key"] != spilling, True))
                 yield loose(take(b, 0, n))
@@ -304,14 +323,30 @@ def _sorted_runs(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(loose: DataFrame, hot: int) -> DataFrame:
-    """Rows of hot values again, each value split into blocks of index rows x blocks of probe rows."""
-    n = loose.groupBy("key", "probe").agg(F.count("*").alias("n"))
-    of = n.groupBy("key").agg(*(F.ceil(F.coalesce(F.sum(F.when(F.col("probe") == p, F.col("n"))), F.lit(0)) / (hot // 4)).cast("int").alias(c) for p, c in ((False, "bi"), (True, "bp"))))
-    other = F.when(F.col("probe"), F.col("bi")).otherwise(F.col("bp"))
-    own = F.pmod(F.xxhash64("id"), F.when(F.col("probe"), F.col("bp")).otherwise(F.col("bi"))).cast("int")
-    copied = loose.join(of, "key").where("bi > 0 and bp > 0").withColumn("o", F.explode(F.sequence(F.lit(0), other - 1)))
-    i, p = F.when(F.col("probe"), F.col("o")).otherwise(own), F.when(F.col("probe"), own).otherwise(F.col("o"))
-    return copied.select("t", F.xxhash64("key", i, p).alias("key"), "id", "size", "bits", "probe")
+    """Rows of hot values again, each value split into blocks of left rows x blocks of right rows.
+
+    A left row is copied as such to the blocks of its row, a right row to those of its column.
+    """
+    left, right = F.col("tag").bitwiseAND(LEFT) > 0, F.col("tag").bitwiseAND(RIGHT) > 0
+    of = loose.groupBy("key").agg(*(F.ceil(F.count(F.when(c, 1)) / (hot // 4)).cast("int").alias(n) for c, n in ((left, "bi"), (right, "bp"))))
+    rows = loose.join(of, "key").where("bi > 0 and bp > 0")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    across = rows.where(left).select("key", "id", F.expr(f"tag & ~{RIGHT}L").alias("tag"), "bits", own("bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("p"))
+    down = rows.where(right).select("key", "id", F.expr(f"tag & ~{LEFT}L").alias("tag"), "bits", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), own("bp").alias("p"))
+    return across.unionByName(down).select(F.xxhash64("key", "i", "p").alias("key"), "id", "tag", "bits")
+
+
+def _among(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The classes whose (t, id) is in ``ids``, and a few more: a bit table of fixed size spares the others the shuffle."""
+    table = classes.sparkSession.sparkContext.broadcast(posted_table(ids.select(F.xxhash64("t", "id").alias("key"))))
+    at = F.xxhash64("t", "id").alias("slot")
+    wide = classes.select(at, *classes.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_held(table.value, b.column("slot").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return wide.mapInArrow(run, wide.schema).drop("slot")
 
 
 def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT) -> DataFrame:
@@ -321,12 +356,16 @@ def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10,
     written table. With ``sides``, only pairs of a record with held-out rows and one with training rows.
     """
     sketch = sketch_of(classes)
-    index = out.table(postings(classes, sketch, 2 * num, num + den, False), "index")
-    probe = postings(classes, sketch, num, den, True, posted_table(index))
-    found = out.table(_paired(_sorted_runs(index.unionByName(probe)), num, den, hot), "paired")
-    again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("t", "key", "id", "size", "bits", "probe"), hot)), num, den, 1 << 62)
+    if sides:  # values of held-out records; training records have to meet one
+        posted = posted_table(postings(classes.where("n_held > 0"), sketch, num, den))
+    else:
+        posted = posted_table(postings(classes, sketch, num, den, short=True))
+    found = out.table(_paired(_sorted_runs(postings(classes, sketch, num, den, posted, sides)), num, den, hot), "paired")
+    again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag", "bits"), hot)), num, den, 1 << 62)
     met = found.where("id_a is not null").select("t", "id_a", "id_b").unionByName(again.select("t", "id_a", "id_b"))
-    candidates = met.groupBy("t", "id_a", "id_b").agg(F.count("*").alias("collisions"))
+    candidates = out.table(met.groupBy("t", "id_a", "id_b").agg(F.count("*").alias("collisions")), "candidates")
+    ids = candidates.select("t", F.explode(F.array("id_a", "id_b")).alias("id"))
+    classes = out.table(_among(classes, ids), "candidate_classes")
     a = classes.select("t", F.col("id").alias("id_a"), F.col("words").alias("w_a"), *((F.col("n_held").alias("held_a"), F.col("n").alias("n_a")) if sides else ()))
     b = classes.select("t", F.col("id").alias("id_b"), F.col("words").alias("w_b"), *((F.col("n_held").alias("held_b"), F.col("n").alias("n_b")) if sides else ()))
     both = candidates.join(a, ["t", "id_a"]).join(b, ["t", "id_b"])
