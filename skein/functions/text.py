@@ -111,7 +111,7 @@ def shard_name(split: Column, n: Column) -> Column:
 
 
 def template(c: Column, head: str = "Describe: ", tail: str = "\n", empty: str = "Describe nothing.\n") -> Column:
-    return F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.lit(empty)).otherwise(F.concat(F.lit(head), c, F.lit(tail)))
+    return F.when(normalise(F.coalesce(c, F.lit(""))) == "", F.lit(empty)).otherwise(F.concat(F.lit(head), c, F.lit(tail)))
 
 
 def image_template(c: Column, n_images: Column, slots: int) -> Column:
