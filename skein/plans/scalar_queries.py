@@ -169,9 +169,9 @@ def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", budget.alias("budget"), F.round(F.greatest(F.col("s_acctbal") - 1500, F.lit(500)), 2).alias("memory"))
 
 
-@query("finite_values", "SELECT run_id, step, nullif(round(val_cos, 9), 'nan'::DOUBLE) AS cos, count(*) AS n FROM train_log GROUP BY ALL")
+@query("finite_values", "SELECT run_id, step, max(round(val_cos, 9)) FILTER (WHERE NOT isnan(val_cos) AND NOT isinf(val_cos)) AS cos, count(*) AS n FROM train_log GROUP BY run_id, step")
 def _(spark, d):
-    return table(spark, d, "train_log").select("run_id", "step", F.round(vectors.finite(F.col("val_cos")), 9).alias("cos")).groupBy("run_id", "step", "cos").agg(F.count("*").alias("n"))
+    return table(spark, d, "train_log").groupBy("run_id", "step").agg(F.max(F.round(vectors.finite(F.col("val_cos")), 9)).alias("cos"), F.count("*").alias("n"))
 
 
 @query("byte_features", "WITH b AS (SELECT sample_id, text, unnest(range(1, least(512, length(text)) + 1)) AS i FROM train WHERE text <> '' AND regexp_full_match(text, '[\\x00-\\x7F]*')), f AS (SELECT sample_id, ((7 * (i - 1) + ascii(substr(text, i, 1))) % 64)::INT AS bucket, (ascii(substr(text, i, 1)) - 96) / 32.0::DOUBLE AS x FROM b) SELECT sample_id, bucket, round(sum(x), 5) AS x FROM f GROUP BY ALL")
