@@ -20,7 +20,7 @@ from skein.llm.records import digest_columns, map_batches, salt_join, texts
 from skein.session import Written
 
 CLASS = ["tab", "k_hi", "k_lo"]
-#: Bytes a bucket may hold before it is split, and the bytes of prefix that each round adds. A bucket may
+#: Bytes a bucket may hold before it is split, and the bytes of the first round's prefix. A bucket may
 #: always hold one in MOST_SPLIT of all bytes, so no round brings more than MOST_SPLIT prefixes to the driver.
 BUCKET_BYTES, STEP, MOST_SPLIT = 16 << 20, 2, 100_000
 
@@ -106,7 +106,7 @@ def fold(rows: DataFrame) -> DataFrame:
 
 
 def radix_bucket(folded: DataFrame, bucket_bytes: int = BUCKET_BYTES, step: int = STEP) -> Column:
-    """The bucket of a key: its shortest prefix, of a multiple of ``step`` bytes, whose bucket fits.
+    """The bucket of a key: its shortest prefix, of ``step``, 2 * ``step``, 4 * ``step`` ... bytes, whose bucket fits.
 
     Each round counts the bytes under the prefixes of one length, among the keys whose shorter prefix
     was too large, and brings only the prefixes that are too large to the driver, at most MOST_SPLIT. A key that ends within its prefix is in the bucket of that prefix, so the
@@ -124,7 +124,7 @@ def radix_bucket(folded: DataFrame, bucket_bytes: int = BUCKET_BYTES, step: int
         if not large:
             break
         under = under.where(prefix.isin(large))
-        length += step
+        length *= 2  # further bytes, twice as many each round: texts with long common beginnings take few rounds
     for prefix, large in reversed(over):
         bucket = prefix if bucket is None else F.when(prefix.isin(large), bucket).otherwise(prefix)
     return bucket

@@ -140,7 +140,8 @@ class Model:
 
 
 def _calibrate(model: Model, safe: list[list[str]]) -> None:
-    values = np.array([x for t in safe for x in model.of(t)] or [-1.0])
+    # One token of the highest score is always taken to occur in safe texts: without any there would be no law.
+    values = np.array([MOST - TOKEN_COST, *(x for t in safe for x in model.of(t)), -TOKEN_COST])
     lo, hi = 1e-3, 20.0
     if values.max() > 0 and values.mean() < 0:
         for _ in range(60):
