@@ -108,7 +108,8 @@ def log(spark, d):
     return t.groupBy("run_id", "step").agg(F.min("loss").alias("loss"), F.min("val_cos").alias("val_cos"), F.min("prompts_per_s").alias("rate"), F.min("time").alias("time"))
 
 
-RUN = Window.partitionBy("run_id").orderBy("step")
+def run_window():
+    return Window.partitionBy("run_id").orderBy("step")
 
 
 @query("log_scan", "SELECT step, round(loss, 9) AS loss, round(lr, 9) AS lr, count(*) AS n FROM train_log WHERE step IS NOT NULL AND loss IS NOT NULL AND lr IS NOT NULL AND NOT isnan(loss) AND NOT isnan(lr) GROUP BY ALL")
@@ -119,26 +120,26 @@ def _(spark, d):
 
 @query("log_thinned", LOG + ", r AS (SELECT run_id, step, row_number() OVER (PARTITION BY run_id ORDER BY step) AS rn, count(*) OVER (PARTITION BY run_id) AS n FROM log), k AS (SELECT *, greatest(1.0::DOUBLE, n / 40.0::DOUBLE) AS s FROM r) SELECT run_id, step FROM k WHERE floor(ceil((rn - 1) / s) * s) = rn - 1 OR rn = n")
 def _(spark, d):
-    r = log(spark, d).select("run_id", "step").withColumn("rn", F.row_number().over(RUN)).withColumn("n", F.count("*").over(Window.partitionBy("run_id")))
+    r = log(spark, d).select("run_id", "step").withColumn("rn", F.row_number().over(run_window())).withColumn("n", F.count("*").over(Window.partitionBy("run_id")))
     return state.thinned(r, "rn", "n", 40).select("run_id", "step")
 
 
 @query("rolling_rates", LOG + "SELECT run_id, step, round(avg(rate) OVER w, 6) AS rate, round((max(step) OVER (PARTITION BY run_id) - step) / avg(rate) OVER w, 4) AS eta, round(time - lag(time) OVER (PARTITION BY run_id ORDER BY step), 4) AS took FROM log WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def _(spark, d):
-    rate = F.avg("rate").over(RUN.rowsBetween(-4, 0))
+    rate = F.avg("rate").over(run_window().rowsBetween(-4, 0))
     left = F.max("step").over(Window.partitionBy("run_id")) - F.col("step")
-    return log(spark, d).select("run_id", "step", F.round(rate, 6).alias("rate"), F.round(left / rate, 4).alias("eta"), F.round(F.col("time") - F.lag("time").over(RUN), 4).alias("took"))
+    return log(spark, d).select("run_id", "step", F.round(rate, 6).alias("rate"), F.round(left / rate, 4).alias("eta"), F.round(F.col("time") - F.lag("time").over(run_window()), 4).alias("took"))
 
 
 @query("best_so_far", LOG + ", v AS (SELECT run_id, step, val_cos, max(val_cos) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log WHERE NOT isnan(val_cos)) SELECT run_id, step, round(greatest(before, val_cos), 6) AS best, before IS NULL OR val_cos > before AS improved FROM v")
 def _(spark, d):
-    best, improved = state.running_best(F.col("val_cos"), RUN)
+    best, improved = state.running_best(F.col("val_cos"), run_window())
     return log(spark, d).where("NOT isnan(val_cos)").select("run_id", "step", F.round(best, 6).alias("best"), improved.alias("improved"))
 
 
 @query("carried_forward", LOG + "SELECT run_id, step, round(last_value(CASE WHEN isnan(val_cos) THEN NULL ELSE val_cos END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS val_cos FROM log")
 def _(spark, d):
-    return log(spark, d).select("run_id", "step", F.round(state.carried("val_cos", RUN), 6).alias("val_cos"))
+    return log(spark, d).select("run_id", "step", F.round(state.carried("val_cos", run_window()), 6).alias("val_cos"))
 
 
 @query("chart_scale", LOG + ", b AS (SELECT min(loss) AS lo, max(loss) AS hi FROM log WHERE val_cos > -1 OR isnan(val_cos)) SELECT run_id, step, round((loss - lo) / greatest(hi - lo, 1e-9) * 200, 4) AS y FROM log, b WHERE loss IS NOT NULL")
