@@ -62,7 +62,7 @@ def caption_lists(rows: DataFrame, raw: str) -> DataFrame:
     """``captions``: the trimmed non-empty captions of a JSON list; broken JSON gives none."""
     parsed = F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"})
     valid = F.col(raw).rlike(r"^\s*\[") & F.get_json_object(raw, "$").isNotNull()
-    kept = F.filter(F.transform(F.when(valid, parsed), F.trim), lambda c: c.isNotNull() & (c != ""))
+    kept = F.filter(F.transform(F.when(valid, parsed), lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
     return rows.withColumn("captions", F.coalesce(kept, F.array().cast("array<string>"))).drop(raw)
 
 
@@ -76,7 +76,7 @@ def caption_parquet(spark: SparkSession, path: str, caption: str) -> DataFrame:
     """(file, key, captions) of caption files: ``caption`` a string or a list; the key is the file's stem and the row within it."""
     df = spark.read.parquet(path)
     as_list = F.col(caption) if dict(df.dtypes)[caption].startswith("array") else F.array(caption)
-    kept = F.filter(F.transform(as_list, F.trim), lambda c: c.isNotNull() & (c != ""))
+    kept = F.filter(F.transform(as_list, lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
     file = F.col("_metadata.file_path")
     place = F.concat_ws("-", text.stem(file), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     return df.select(file.alias("file"), place.alias("key"), kept.alias("captions"))
