@@ -36,7 +36,7 @@ from skein.llm.records import digest_columns, map_batches
 from skein.session import Written
 
 #: Records a posted value may be expected in, words of a coordinate, rows of a value for one task.
-TARGET, DEPTH, HOT = 400, 4, 8_000
+TARGET, DEPTH, HOT = 1_500, 4, 8_000
 #: Words from which a record posts single words only (splitting grows with the square of the prefix).
 LONG = 2_000
 SKETCH_BITS, TABLE_BITS, STEPS = 24, 26, 6
@@ -166,15 +166,16 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
     return np.concatenate(out_rec), np.concatenate(out_key), np.concatenate(out_in)
 
 
-def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: np.ndarray | None = None, sides: bool = False, short: bool = False) -> DataFrame:
+def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: np.ndarray | None = None, sides: bool = False, short: bool = False, marked: np.ndarray | None = None) -> DataFrame:
     """The postings of each record whose values ``posted`` holds; without it only the values, with ``short`` those of the short prefixes.
 
     With ``sides``, records with held-out rows are left and those with training rows right; else a value's record is left if it is marked.
+    Records without held-out rows then post only what can meet a mark: marked values in ``posted``, others in ``marked``.
     """
-    shared = classes.sparkSession.sparkContext.broadcast((sketch, posted))
+    shared = classes.sparkSession.sparkContext.broadcast((sketch, posted, marked))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        sk, table = shared.value
+        sk, table, of_marks = shared.value
         col = b.column("words")
         words, offsets = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False))]).astype(np.int64)
         t = b.column("t").to_numpy(zero_copy_only=False)
@@ -191,6 +192,8 @@ def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: np.
                 continue
             rec, key, within = coordinates(t[lo:hi], part, off, sk, num, den)
             hit = _held(table, key) if table is not None else within if short else np.ones(len(key), bool)
+            if sides and table is not None:
+                hit = (flags[lo:hi][rec] & np.uint64(LEFT) > 0) | (hit & within) | _held(of_marks, key)
             rec, key, within = rec[hit], key[hit], within[hit]
             out_rec.append(rec + lo)
             out_key.append(key)
@@ -357,10 +360,12 @@ def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10,
     """
     sketch = sketch_of(classes)
     if sides:  # values of held-out records; training records have to meet one
-        posted = posted_table(postings(classes.where("n_held > 0"), sketch, num, den))
+        held = classes.where("n_held > 0")
+        posted, marked = posted_table(postings(held, sketch, num, den)), posted_table(postings(held, sketch, num, den, short=True))
     else:
+        marked = None
         posted = posted_table(postings(classes, sketch, num, den, short=True))
-    found = out.table(_paired(_sorted_runs(postings(classes, sketch, num, den, posted, sides)), num, den, hot), "paired")
+    found = out.table(_paired(_sorted_runs(postings(classes, sketch, num, den, posted, sides, marked=marked)), num, den, hot), "paired")
     again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag", "bits"), hot)), num, den, 1 << 62)
     met = found.where("id_a is not null").select("t", "id_a", "id_b").unionByName(again.select("t", "id_a", "id_b"))
     candidates = out.table(met.groupBy("t", "id_a", "id_b").agg(F.count("*").alias("collisions")), "candidates")
