@@ -12,7 +12,8 @@ smaller posts the short prefix ("index"), the larger the long one ("probe").
 only if a record has it in a short one (a bit table of fixed size).
 *Split*: a value expected in more than TARGET records is not posted alone but with each next word that
 could be shared, to a depth of DEPTH; the expectation is a function of the value, so both records of a
-pair split alike. What is still too long for one task is split into blocks by record (``_blocks``).
+pair split alike while they share a next word. A run as long as the least number of shared words (sets of up to 4 words) is posted
+unextended too, since one record may end where the other goes on. What is still too long for one task is split into blocks by record (``_blocks``).
 *Count*: the collisions of a pair are merged, pairs whose small tables of words differ too much are skipped,
 and the full overlap of the rest is counted on the word sets.
 
@@ -156,6 +157,10 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
         stop = np.minimum(offsets[r] + length[r] + depth, ends[r])  # one more word for each that is chosen
         done = (expect <= TARGET) | (depth == DEPTH) | (last + 1 >= stop)
         post(last[done], key[done], within[done])
+        # A pair that shares no more words than the run has can't go on together: only the run itself is sure to be in both.
+        least, least_in = size[r] - length[r] + 1, size[r] - inner[r] + 1
+        sole = ~done & (depth >= least)
+        post(last[sole], key[sole], within[sole] & (depth >= least_in[sole]))
         last, key, within, expect, stop = last[~done], key[~done], within[~done], expect[~done], stop[~done]
         src, nxt = _spans(last + 1, stop - last - 1)
         key = _mix(key[src], w[nxt])

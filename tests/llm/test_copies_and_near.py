@@ -1,7 +1,9 @@
 import itertools
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -89,6 +91,43 @@ def test_near_pairs_of_long_texts(make, monkeypatch):
     assert {(r.id_a, r.id_b) for r in near_copies(make(rows)).collect()} == brute(rows)
 
 
+def met(sets, target, monkeypatch):
+    """Pairs that share a value, which the smaller one has in its short prefix."""
+    monkeypatch.setattr(near, "TARGET", target)  # workers import the module anew, so this has no effect on a whole query
+    number = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
+    codes = np.zeros(1 << near.SKETCH_BITS, np.uint8)
+    for w, n in Counter(itertools.chain(*sets)).items():
+        codes[number[w]] = round(math.log2(n) * near.STEPS)
+    offsets = np.cumsum([0, *map(len, sets)])
+    words = np.array([number[w] for s in sets for w in sorted(s)], np.int32)
+    posts = {}
+    for r, k, short in zip(*near.coordinates(np.zeros(len(sets), np.int64), words, offsets, near.Sketch(codes, len(sets)), 7, 10)):
+        posts.setdefault(k, {}).setdefault(r, []).append(short)
+    out = set()
+    for at in posts.values():
+        for a, b in itertools.combinations(sorted(at), 2):
+            x, y = len(sets[a]), len(sets[b])
+            if any(at[a]) and x <= y or any(at[b]) and y <= x:
+                out.add((a, b))
+    return out
+
+
+def similar(sets):
+    return {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+
+
+def test_short_sets_of_common_words_share_a_value(monkeypatch):
+    sets = [set("abc"), set("abcx"), *({"abc"[i % 3], f"r{i}", f"s{i}"} for i in range(90)), *({"x", f"t{i}", f"u{i}"} for i in range(50))]
+    assert similar(sets) == {(0, 1)} <= met(sets, 1, monkeypatch)
+
+
+@pytest.mark.parametrize("target", [1, 8, 1_000])
+def test_similar_sets_share_a_value(monkeypatch, target):
+    rnd = random.Random(target)
+    sets = [set(rnd.sample("abcdefghijklm", rnd.randint(1, 9))) for _ in range(500)]
+    assert similar(sets) <= met(sets, target, monkeypatch)
+
+
 def test_near_pairs_of_no_rows(make):
     assert near_copies(make([])).count() == 0
 
