@@ -4,6 +4,7 @@ artifacts and their contract, never by the state file."""
 from __future__ import annotations
 
 import argparse
+import json
 import shutil
 import time
 from collections.abc import Callable
@@ -20,7 +21,7 @@ from skein.operators.shards import chunk
 from skein.plans.recipes import RECIPES, Recipe, dotted, merged
 from skein.sources import readers, sinks
 
-DEFAULTS = {"corpus": {"n_val": 200, "n_train": 2_000, "blank": 0.015, "seed": 8, "min_chars": 8, "max_chars": 1200}, "fit": {"penalty": 1e-4}, "eval": True}
+DEFAULTS = {"corpus": {"n_val": 1_024, "n_train": 60_000, "blank": 0.015, "seed": 8, "min_chars": 8, "max_chars": 1200}, "fit": {"penalty": 1e-4}, "eval": True}
 STAGES = ("corpus", "shards_val", "shards_train", "fit", "export", "eval")
 #: What a reset of a stage removes: its artifacts and those made from them.
 RESETS = {s: STAGES[i:] for i, s in enumerate(STAGES)} | {"shards_val": ("shards_val", "eval")}
@@ -88,9 +89,13 @@ class Project:
         c = self.settings["corpus"]
         pool = corpus.pool([source], c["min_chars"], c["max_chars"])
         split = corpus.head_split(pool.withColumn("key", F.concat_ws("/", "src_ord", "row_ord")), c["n_val"], c["n_train"], c["seed"], "key")
-        if split.count() < c["n_val"] + 8:
+        n = split.count()
+        if n < c["n_val"] + 8:
             raise ValueError(f"the pool is too small for {c['n_val']} held-out texts")
-        self._write(split.select("split", "rn", "text"), "corpus")
+        val = corpus.blank_tail(split.where("split = 'val'"), c["n_val"], c["blank"], 1)
+        train = split.where("split = 'train'").withColumn("rn", F.col("rn") - c["n_val"])
+        train = corpus.blank_tail(train, n - c["n_val"], c["blank"]).withColumn("rn", F.col("rn") + c["n_val"])
+        self._write(val.unionByName(train).select("split", "rn", "text"), "corpus")
 
     def _shards(self, split: str) -> None:
         rows = self._read("corpus").where(F.col("split") == split)
@@ -128,12 +133,13 @@ def recipe_of(name: str) -> Recipe:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """skein run|stop|status FOLDER --recipe NAME --prompts PARQUET [--only STAGE] [--force]"""
+    """skein run|stop|status FOLDER --recipe NAME --prompts PARQUET [--settings JSON] [--only STAGE] [--force]"""
     p = argparse.ArgumentParser(prog="skein", description=main.__doc__)
     p.add_argument("command", choices=["run", "stop", "status"])
     p.add_argument("folder")
     p.add_argument("--recipe", default="fixed_rows", choices=sorted(RECIPES))
     p.add_argument("--prompts")
+    p.add_argument("--settings", type=json.loads, help='over the defaults, as {"corpus": {"n_train": 120000}}')
     p.add_argument("--only", choices=STAGES)
     p.add_argument("--force", action="store_true")
     a = p.parse_args(argv)
@@ -146,7 +152,7 @@ def main(argv: list[str] | None = None) -> int:
 
         spark = local_session()
         source = spark.read.parquet(a.prompts).select(F.col("row_ord"), F.col("text"))
-        print(Project(spark, a.folder, a.recipe).run(source, a.only, a.force, print))
+        print(Project(spark, a.folder, a.recipe, a.settings).run(source, a.only, a.force, print))
     return 0
 
 

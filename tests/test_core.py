@@ -167,6 +167,18 @@ def test_pipeline_resumes(spark, tmp_path):
     assert set(p.run(source, only="fit")["stages"]) == {"fit"}
 
 
+def test_corpus_has_blanks_and_the_sizes_of_its_settings(spark, tmp_path, monkeypatch):
+    from skein import session
+    from skein.plans import pipeline
+
+    assert (pipeline.DEFAULTS["corpus"]["n_val"], pipeline.DEFAULTS["corpus"]["n_train"]) == (1_024, 60_000)
+    monkeypatch.setattr(session, "local_session", lambda: spark)
+    settings = '{"corpus": {"n_val": 40, "n_train": 130, "blank": 0.1}}'
+    pipeline.main(["run", str(tmp_path), "--prompts", f"{DATA}/prompts.parquet", "--settings", settings, "--only", "corpus"])
+    got = spark.read.parquet(f"{tmp_path}/corpus").groupBy("split").agg(F.count("*").alias("n"), F.sum(F.when(F.col("text") == "", 1)).alias("blank"), F.countDistinct("rn").alias("places"))
+    assert {r.split: (r.n, r.blank, r.places) for r in got.collect()} == {"val": (40, 4, 40), "train": (130, 13, 130)}
+
+
 def test_recipes():
     assert recipes.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert recipes.dotted({"a": {"b": 1}}, "a.b") == 1 and recipes.dotted({}, "a.b", 0) == 0
