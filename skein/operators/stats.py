@@ -63,6 +63,22 @@ def ridge(rows: DataFrame, x: str, y: str, penalty: float = 1e-4) -> np.ndarray:
     return np.linalg.solve(g + penalty * np.trace(g) / len(g) * np.eye(len(g)), b)
 
 
+def paired_rows(rows: DataFrame, x: str, y: str, queries: int) -> DataFrame:
+    """(x, y) of every row of x in the arrays of rows x and y: with the ``queries`` rows of its y one after another, so a map has
+    a part for each; with 0 queries, where both have a row a word, with the row of y at the same place."""
+    if queries:
+        return rows.select(F.explode(x).alias("_x"), F.flatten(y).alias("_y")).select(vectors.doubles(F.col("_x")).alias(x), vectors.doubles(F.col("_y")).alias(y))
+    both = rows.select(F.explode(F.arrays_zip(F.col(x).alias("a"), F.col(y).alias("b"))).alias("r"))
+    return both.select(vectors.doubles(F.col("r.a")).alias(x), vectors.doubles(F.col("r.b")).alias(y))
+
+
+def split_rows(rows: DataFrame, names: list[str], queries: int) -> DataFrame:
+    """The vectors ``names``, each cut into ``queries`` parts, a row a part."""
+    size = (F.size(names[0]) / queries).cast("int")
+    cut = rows.select(*names, size.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(queries - 1))).alias("_q"))
+    return cut.select(*(F.slice(c, F.col("_q") * F.col("_n") + 1, F.col("_n")).alias(c) for c in names))
+
+
 def fold_affine(weights: np.ndarray, bias: np.ndarray, mean: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias that give the unstandardised output at once."""
     return sigma[:, None] * weights, sigma * bias + mean

@@ -100,8 +100,8 @@ class Project:
     def _shards(self, split: str) -> None:
         rows = self._read("corpus").where(F.col("split") == split)
         rows = ranked(rows.withColumn("n", F.length("text")), ["n", "rn"], "place").withColumn("shard", chunk(F.col("place"), self.recipe.shard_size))
-        t = encoders.encode(rows, self.recipe.teacher, "place").select("place", F.col("rows")[0].alias("t"))
-        s = encoders.encode(rows, self.recipe.student, "place").select("place", F.element_at("rows", -1).alias("x"))
+        t = encoders.encode(rows, self.recipe.teacher, "place").select("place", F.col("rows").alias("t"))
+        s = encoders.encode(rows, self.recipe.student, "place").select("place", F.col("rows").alias("x"))
         self._write(rows.join(t, "place").join(s, "place").select("shard", "place", "text", "x", "t"), f"shards_{split}")
 
     def _shards_val(self, _: DataFrame) -> None:
@@ -111,7 +111,7 @@ class Project:
         self._shards("train")
 
     def _fit(self, _: DataFrame) -> None:
-        rows = self._read("shards_train").select(vectors.doubles(F.col("x")).alias("x"), vectors.doubles(F.col("t")).alias("t"))
+        rows = stats.paired_rows(self._read("shards_train"), "x", "t", self.recipe.queries)
         part = self.path("fit").with_name("part.npz")
         np.savez(part, w=stats.ridge(rows, "x", "t", dotted(self.settings, "fit.penalty")))
         part.replace(self.path("fit"))
@@ -122,10 +122,12 @@ class Project:
     def _eval(self, _: DataFrame) -> None:
         data = readers.tensors(self.spark, [str(self.path("export"))]).first()
         w = np.array(data.data, np.float64).reshape(data.shape)
-        val = self._read("shards_val").withColumn("y", vectors.linear(F.col("x"), w.T.tolist()))
+        shards = self._read("shards_val")
+        val = stats.paired_rows(shards, "x", "t", self.recipe.queries).withColumn("y", vectors.linear(F.col("x"), w.T.tolist()))
+        val = stats.split_rows(val, ["y", "t"], max(1, self.recipe.queries))
         err = F.sum(vectors.squared_distance(F.col("y"), F.col("t"))) / F.sum(vectors.dot(F.col("t"), F.col("t")))
-        r = val.agg(F.avg(vectors.cosine(F.col("y"), F.col("t"))).alias("cos"), err.alias("rel"), F.count("*").alias("n")).first()
-        sinks.write_json(self.path("eval"), r.asDict())
+        r = val.agg(F.avg(vectors.cosine(F.col("y"), F.col("t"))).alias("cos"), err.alias("rel"), F.count("*").alias("rows")).first()
+        sinks.write_json(self.path("eval"), r.asDict() | {"n": shards.count()})
 
 
 def recipe_of(name: str) -> Recipe:

@@ -41,8 +41,8 @@ def register(recipe: Recipe) -> Recipe:
     return recipe
 
 
-register(Recipe("fixed_rows", "fixed_rows/1", 16, 4))
-register(Recipe("word_rows", "word_rows/1", 16, 0, teacher=encoders.mock_tokens))
+register(Recipe("fixed_rows", "fixed_rows/2", 16, 4))
+register(Recipe("word_rows", "word_rows/2", 16, 0, teacher=encoders.mock_tokens))
 
 
 def merged(base: dict, over: dict) -> dict:

@@ -52,8 +52,8 @@ def _(spark, d):
 def _(spark, d):
     """Fixed rows of a mock teacher for every training text, as moments."""
     got = encoders.encode(table(spark, d, "train"), encoders.mock_rows)
-    first = got.select(F.col("rows")[0].alias("v"))
-    return stats.merged_moments(stats.partial_moments(first, [], "v"))
+    each = got.select(F.explode("rows").alias("v"))
+    return stats.merged_moments(stats.partial_moments(each, [], "v"))
 
 
 @query("student_rows")
@@ -65,15 +65,15 @@ def _(spark, d):
 
 @query("distilled_map")
 def _(spark, d):
-    """A ridge map from mock student to mock teacher rows, fitted on train and judged on val."""
+    """A ridge map from each mock student row to all four mock teacher rows, fitted on train and judged on val."""
     out = Written(spark, "distil")
 
     def both(name):
         t = table(spark, d, name)
-        y = encoders.encode(t, encoders.mock_rows).select("sample_id", F.col("rows")[0].alias("t"))
-        x = encoders.encode(t, encoders.mock_tokens).select("sample_id", F.element_at("rows", -1).alias("x"))
-        return out.table(x.join(y, "sample_id").select(vectors.doubles(F.col("x")).alias("x"), vectors.doubles(F.col("t")).alias("t")), name)
+        y = encoders.encode(t, encoders.mock_rows).select("sample_id", F.col("rows").alias("t"))
+        x = encoders.encode(t, encoders.mock_tokens).select("sample_id", F.col("rows").alias("x"))
+        return out.table(stats.paired_rows(x.join(y, "sample_id"), "x", "t", 4), name)
 
     w = stats.ridge(both("train"), "x", "t")
-    val = both("val").withColumn("y", vectors.linear(F.col("x"), w.T.tolist()))
+    val = stats.split_rows(both("val").withColumn("y", vectors.linear(F.col("x"), w.T.tolist())), ["y", "t"], 4)
     return val.agg(F.avg(vectors.cosine(F.col("y"), F.col("t"))).alias("cos"), (F.sum(vectors.squared_distance(F.col("y"), F.col("t"))) / F.sum(vectors.dot(F.col("t"), F.col("t")))).alias("rel"))

@@ -167,6 +167,27 @@ def test_pipeline_resumes(spark, tmp_path):
     assert set(p.run(source, only="fit")["stages"]) == {"fit"}
 
 
+def test_all_rows_are_used(spark, tmp_path):
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/train.parquet").select("text").collect()]
+    v = np.concatenate(encoders.mock_rows()(texts))
+    m = catalog.queries()["teacher_rows"](spark, DATA).orderBy("dim").toPandas()
+    assert (m["n"] == 4 * len(texts)).all() and np.allclose(m["mean"], v.mean(axis=0), atol=1e-5)
+    source = spark.read.parquet(f"{DATA}/prompts.parquet").select("row_ord", "text")
+    for recipe, queries in (("fixed_rows", 4), ("word_rows", 1)):
+        p = Project(spark, str(tmp_path / recipe), recipe, {"corpus": {"n_val": 20, "n_train": 60}})
+        p.run(source)
+        val = [r.text for r in p._read("shards_val").collect()]
+        words = list(map(len, encoders.mock_tokens()(val)))
+        got = json.loads((tmp_path / recipe / "eval.json").read_text())
+        assert (got["n"], got["rows"]) == (20, sum(words) * queries)
+        x = [encoders.mock_tokens()([r.text])[0].astype(float) for r in p._read("shards_train").select("text").collect()]
+        t = [(p.recipe.teacher()([r.text])[0]).astype(float) for r in p._read("shards_train").select("text").collect()]
+        a = np.concatenate(x)
+        b = np.concatenate([np.tile(y.ravel(), (len(z), 1)) for z, y in zip(x, t)]) if queries > 1 else np.concatenate(t)
+        g = a.T @ a
+        assert np.allclose(np.load(p.path("fit"))["w"], np.linalg.solve(g + 1e-4 * np.trace(g) / 16 * np.eye(16), a.T @ b), atol=1e-4)
+
+
 def test_corpus_has_blanks_and_the_sizes_of_its_settings(spark, tmp_path, monkeypatch):
     from skein import session
     from skein.plans import pipeline
