@@ -1,11 +1,9 @@
 """Problem 5: held-out records that also stand, as they are or slightly changed, in the training rows.
 
-Content-defined chunks on normalised records: a record is normalised to its copy key and to its words in the order
-of the corpus, rarest first. A running hash over these words is cut where the chunk's content makes it
-selective: where the expected number of its occurrences falls to ``near.TARGET``; so where a chunk ends depends on
-nothing but its own words, and an edit changes only the chunks that hold it. Chunk digests are joined across the
-splits, and the shared words of each pair give its overlap fractions. (Chunks of neighbouring words, cut by a
-hash of the last word, were measured first: they miss 0.3 % of the pairs with few and scattered common words.)
+The dealt method, content-defined chunks of a text cut by a rolling hash, is not what is used. Chunks of neighbouring words, cut by
+a hash of the last word, were measured first: they miss 0.3 % of the pairs with few and scattered common words. Instead this
+is P2's inverted join on signature coordinates (``near.near_classes``), posted across the splits: single rare words, or runs of chosen
+words where one is too common. The words shared by the sets of a pair, not chunk lengths, give its overlap fractions.
 """
 
 from __future__ import annotations
