@@ -130,8 +130,8 @@ def radix_bucket(folded: DataFrame, bucket_bytes: int = BUCKET_BYTES, step: int
     return bucket
 
 
-def count_in_tries(bucketed: DataFrame) -> DataFrame:
-    """(tab, k_hi, k_lo, id, n) for each key with more than one row, from rows partitioned by bucket."""
+def count_in_tries(bucketed: DataFrame, least: int = 2) -> DataFrame:
+    """(tab, k_hi, k_lo, id, n) for each key with at least ``least`` rows, from rows partitioned by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by bucket, so one bucket's tries (one a tab) are held at a time.
@@ -139,7 +139,7 @@ def count_in_tries(bucketed: DataFrame) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for tab, trie in tries.items():
-                found = [x for x in trie.terminals() if x[2] > 1]
+                found = [x for x in trie.terminals() if x[2] >= least]
                 hi, lo = digest_columns([xxhash.xxh3_128_digest(k) for k, _, _ in found])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([tab] * len(found), pa.string()), hi, lo, pa.array([i for _, i, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())],
@@ -159,8 +159,8 @@ def count_in_tries(bucketed: DataFrame) -> DataFrame:
     return bucketed.mapInArrow(run, "tab string, k_hi bigint, k_lo bigint, id bigint, n bigint")
 
 
-def copy_classes(rows: DataFrame, out: Written, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(rows with their class digest, classes of more than one row).
+def copy_classes(rows: DataFrame, out: Written, bucket_bytes: int = BUCKET_BYTES, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(rows with their class digest, classes of at least ``least`` rows).
 
     The first is (tab, id, k_hi, k_lo), the second (tab, k_hi, k_lo, id, n) with the smallest id.
     """
@@ -169,7 +169,7 @@ def copy_classes(rows: DataFrame, out: Written, bucket_bytes: int = BUCKET_BYTES
     bucket = radix_bucket(keyed.select("k", "k_hi"), bucket_bytes)
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     placed = folded.select("tab", "k", "id", "n", bucket.alias("bucket")).repartition(int(parts), "bucket").sortWithinPartitions("bucket")
-    return keyed.select("tab", "id", "k_hi", "k_lo"), out.table(count_in_tries(placed), "classes")
+    return keyed.select("tab", "id", "k_hi", "k_lo"), out.table(count_in_tries(placed, least), "classes")
 
 
 def copies(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -190,8 +190,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each set of copies once: (tab, id, n), its smallest id and its number of rows."""
-    return copy_classes(texts(spark, sf_dir), Written(spark, "p4"))[1].select("tab", "id", "n")
+    """Each text with letter or digit once, copies collapsed: (tab, id, n), the smallest id and the number of rows."""
+    return copy_classes(texts(spark, sf_dir), Written(spark, "p4"), least=1)[1].select("tab", "id", "n")
 
 
 QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from skein.llm import near
 from skein.llm.keys import copy_key, word_set
 from skein.llm.p2_near import near_copies
-from skein.llm.p4_copies import CountingTrie, copies, copy_classes
+from skein.llm.p4_copies import CountingTrie, copies, copy_classes, p4_counts
 from skein.llm.p5_overlap import overlaps
 from skein.session import Written
 
@@ -74,6 +74,12 @@ def test_hot_copies_are_counted(make):
     assert members.count() == 301
 
 
+def test_every_text_remains_once_with_its_number(spark, monkeypatch, make):
+    rows = make([(0, "An owl"), (1, "an OWL!"), (2, "fox"), (3, None), (4, "!!")])
+    monkeypatch.setattr("skein.llm.p4_copies.texts", lambda *_: rows)
+    assert {(r.id, r.n) for r in p4_counts(spark, "").collect()} == {(0, 2), (2, 1)}
+
+
 def test_no_copies(make):
     assert copies(make([])).count() == 0
 
