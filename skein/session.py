@@ -44,6 +44,10 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+#: Shuffle files are of no use once a written table stands; this setting removes them when its job ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Written:
     """Tables of one operator run, written to the shared folder; ``drop`` removes one that is no longer read."""
 
@@ -53,8 +57,12 @@ class Written:
     def table(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
         out = df.write.mode("errorifexists").option("compression", "zstd")
-        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
-        self.spark.sparkContext._jvm.System.gc()  # lets the context cleaner remove shuffle files that nothing refers to
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
