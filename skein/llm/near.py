@@ -9,13 +9,16 @@ first ``len - o + 1`` words of each, and two among the first ``len - o + 2``, an
 the smaller record of a pair ``o`` is 2s/(1+s) of its length, in that of the larger one s of it; the
 smaller posts the short prefix ("index"), the larger the long one ("probe").
 *Skip*: words that occur in one record only are not posted, and a value is posted in the long prefix
-only if a record has it in a short one (a bit table of fixed size).
+only if a record has it in a short one (a bit table, see ``BitTable``). The lists of the words behind the prefix, the longest
+ones, are not merged at all.
 *Split*: a value expected in more than TARGET records is not posted alone but with each next word that
 could be shared, to a depth of DEPTH; the expectation is a function of the value, so both records of a
 pair split alike while they share a next word. A run as long as the least number of shared words (sets of up to 4 words) is posted
 unextended too, since one record may end where the other goes on. What is still too long for one task is split into blocks by record (``_blocks``).
-*Count*: the collisions of a pair are merged, pairs whose small tables of words differ too much are skipped,
-and the full overlap of the rest is counted on the word sets.
+*Count*: the collisions of a pair in the lists that were merged are summed. A pair stays only if it can reach the match threshold: each
+posting carries the parities of the record's words in PARITIES cells, and two sets differ in at least as many words as their parities do in cells.
+A finer gate of GATE such cells, which the records of these pairs alone carry, comes before their sets are fetched.
+For the pairs that stay, the count is finished on the skipped lists, by the two sets themselves, and held against the threshold.
 
 No pair at or above the threshold is lost: nothing above is a sample or a cap. Words are compared by
 32-bit hashes, so a pair of 30-word records has a chance below 1e-6 of a word counted as shared wrongly.
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +44,54 @@ from skein.session import Written
 TARGET, DEPTH, HOT = 1_500, 4, 8_000
 #: Words from which a record posts single words only (splitting grows with the square of the prefix).
 LONG = 2_000
-SKETCH_BITS, TABLE_BITS, STEPS = 24, 26, 6
-#: A posting's ``tag`` holds, from the top: 44 bits of the word table (64 more are in ``bits``), 16 of the size (larger ones count as
-#: the largest, which prunes less), 1 of t, and whether the value is in the short prefix (MARK), the record may be the
-#: left one of a pair (LEFT), and the right one (RIGHT).
-POSTING = "key bigint, id bigint, tag bigint, bits bigint"
-TABLE, MOST_SIZE, T_AT, MARK, LEFT, RIGHT = 44, (1 << 16) - 1, 3, 4, 2, 1
+SKETCH_BITS, STEPS = 24, 6
+#: A posting is (key, id, tag). From the top, ``key`` holds 44 bits of the value and 20 of the record's parities, ``tag`` the other 44 parities,
+#: 16 of the size (larger ones count as the largest, which prunes less), 1 of t, and whether the value is in the short prefix (MARK), the
+#: record may be the left one of a pair (LEFT), and the right one (RIGHT). So a key is sorted by value, and values that differ are 44 bits apart.
+POSTING = "key bigint, id bigint, tag bigint"
+PARITIES, GATE = 64, 128
+IN_KEY, MOST_SIZE, T_AT, MARK, LEFT, RIGHT = 20, (1 << 16) - 1, 3, 4, 2, 1
 
 
 @dataclass(frozen=True)
 class Sketch:
-    """Counts of words, on a logarithmic scale of one byte, by the low bits of their hash; and the number of records."""
+    """Counts of words, on a logarithmic scale of one byte, by the low bits of their hash; and the number of records.
+
+    A cell holds the count of its most frequent word, so a rare word looks common only where it meets a common one: what fills
+    the cells is the number of common words, not that of all words.
+    """
 
     codes: np.ndarray
     records: int
 
 
+@dataclass(frozen=True)
+class BitTable:
+    """Which values there are: PER_VALUE bits for each, rounded up to a power of two, but at most 2**MOST_BITS (32 MB).
+
+    A table that is too small for its values says yes more often, which spares less and loses nothing.
+    """
+
+    bits: int
+    table: np.ndarray
+
+    PER_VALUE, LEAST_BITS, MOST_BITS = 16, 16, 28
+
+    @classmethod
+    def of(cls, values: DataFrame, expected: int) -> BitTable:
+        """Built from a column ``key`` of about ``expected`` 64-bit values; the words of 64 bits that hold one come to the driver."""
+        bits = min(cls.MOST_BITS, max(cls.LEAST_BITS, (expected * cls.PER_VALUE).bit_length()))
+        slot = f"shiftrightunsigned(key, {64 - bits})"
+        got = values.groupBy(F.expr(f"cast(shiftright({slot}, 6) AS int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS INT)))").alias("bits")).toArrow()
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+        return cls(bits, table.view(np.uint8))
+
+    def has(self, key: np.ndarray) -> np.ndarray:
+        slot = key >> np.uint64(64 - self.bits)
+        return (self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def shape(rows: DataFrame) -> DataFrame:
     """(tab, id, held, k_hi, k_lo, words): copy-key digest and sorted 32-bit word hashes of each text.
 
@@ -98,9 +134,9 @@ def classes_of(shaped: DataFrame) -> DataFrame:
 
 def sketch_of(classes: DataFrame) -> Sketch:
     """The word counts over all records. It has 2**SKETCH_BITS bytes, whatever the size of the corpus."""
-    cell = F.col("w").bitwiseAND((1 << SKETCH_BITS) - 1)
-    counts = classes.select(F.explode("words").alias("w")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where("n > 1")
-    got = counts.select("cell", F.least(F.lit(255), F.round(F.log2("n") * STEPS)).cast("short").alias("code")).toArrow()
+    counts = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    cells = counts.groupBy(F.col("w").bitwiseAND((1 << SKETCH_BITS) - 1).alias("cell")).agg(F.max("n").alias("n"))
+    got = cells.select("cell", F.least(F.lit(255), F.round(F.log2("n") * STEPS)).cast("short").alias("code")).toArrow()
     codes = np.zeros(1 << SKETCH_BITS, np.uint8)
     codes[got["cell"].to_numpy()] = got["code"].to_numpy()
     return Sketch(codes, classes.count())
@@ -171,70 +207,92 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
     return np.concatenate(out_rec), np.concatenate(out_key), np.concatenate(out_in)
 
 
-def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: np.ndarray | None = None, sides: bool = False, short: bool = False, marked: np.ndarray | None = None) -> DataFrame:
-    """The postings of each record whose values ``posted`` holds; without it only the values, with ``short`` those of the short prefixes.
+def parities(words: np.ndarray, offsets: np.ndarray, cells: int = PARITIES) -> list[np.ndarray]:
+    """Of each record (none is empty), for each of ``cells`` cells of words, whether it has an odd number of them, 64 cells an array."""
+    cell = _mix(words.view(np.uint32), np.full(1, cells, np.uint64)) % np.uint64(cells)
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    return [np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == i, bit, np.uint64(0)), offsets[:-1]) for i in range(cells // 64)]
+
+
+def posting_columns(key: np.ndarray, rec: np.ndarray, parity: np.ndarray, size: np.ndarray, t: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, tag) of postings of the records ``rec``; ``flags`` are those of the postings."""
+    low = np.uint64((1 << IN_KEY) - 1)
+    tag = (parity & ~low) | (np.minimum(size, MOST_SIZE).astype(np.uint64) << np.uint64(4)) | (t.astype(np.uint64) << np.uint64(T_AT))
+    return ((key & ~low) | (parity & low)[rec]).view(np.int64), (tag[rec] | flags).view(np.int64)
+
 
-    With ``sides``, records with held-out rows are left and those with training rows right; else a value's record is left if it is marked.
-    Records without held-out rows then post only what can meet a mark: marked values in ``posted``, others in ``marked``.
+def column_of_arrays(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets from 0) of a column of arrays without nulls."""
+    col = b.column(name)
+    sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def values(classes: DataFrame, sketch: Sketch, num: int, den: int, short: bool) -> DataFrame:
+    """(key): the values of each record, with ``short`` those of the short prefixes only."""
+    shared = classes.sparkSession.sparkContext.broadcast(sketch)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys_ = [np.zeros(0, np.uint64)]
+        for lo, hi, t, part, off in _slices(b):
+            _, key, within = coordinates(t[lo:hi], part, off, shared.value, num, den)
+            keys_.append(key[within] if short else key)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_).view(np.int64))], ["key"])
+
+    return map_batches(classes.select("t", "id", "words"), one, "key bigint")
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first record, end, t of all, words, offsets) of parts of a batch, which bound the memory of the splits."""
+    words, offsets = column_of_arrays(b, "words")
+    t = b.column("t").to_numpy(zero_copy_only=False)
+    for lo in range(0, len(t), 2000):
+        hi = min(len(t), lo + 2000)
+        if offsets[hi] > offsets[lo]:
+            yield lo, hi, t, words[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+
+def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: BitTable, marked: BitTable | None = None) -> DataFrame:
+    """The postings of each record whose values ``posted`` holds; a value's record is left if it has it in its short prefix.
+
+    With ``marked``, records with held-out rows are left and those with training rows right. Records without held-out rows then post only
+    what can meet a mark: their marked values that ``posted`` holds, and others that ``marked`` holds.
     """
     shared = classes.sparkSession.sparkContext.broadcast((sketch, posted, marked))
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         sk, table, of_marks = shared.value
-        col = b.column("words")
-        words, offsets = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        t = b.column("t").to_numpy(zero_copy_only=False)
-        flags = None
-        if sides:
-            n, held = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "n_held"))
-            flags = (held > 0) * np.uint64(LEFT) | (held < n) * np.uint64(RIGHT)
-        out_rec, out_key, out_tag, out_bits = [], [], [], []
-        for lo in range(0, len(t), 2000):  # bounds the memory of the splits
-            hi = min(len(t), lo + 2000)
-            off = offsets[lo : hi + 1] - offsets[lo]
-            part = words[offsets[lo] : offsets[hi]]
-            if not len(part):
-                continue
+        flags = None if of_marks is None else side_flags(b)
+        out_rec, out_key, out_tag = [], [], []
+        for lo, hi, t, part, off in _slices(b):
             rec, key, within = coordinates(t[lo:hi], part, off, sk, num, den)
-            hit = _held(table, key) if table is not None else within if short else np.ones(len(key), bool)
-            if sides and table is not None:
-                hit = (flags[lo:hi][rec] & np.uint64(LEFT) > 0) | (hit & within) | _held(of_marks, key)
-            rec, key, within = rec[hit], key[hit], within[hit]
+            if flags is None:
+                hit = table.has(key)
+            else:
+                hit = (flags[lo:hi][rec] & np.uint64(LEFT) > 0) | (table.has(key) & within) | of_marks.has(key)
+            rec, key, mark = rec[hit], key[hit], within[hit].astype(np.uint64) * np.uint64(MARK)
+            side = flags[lo:hi][rec] if flags is not None else within[hit].astype(np.uint64) * np.uint64(LEFT) | np.uint64(RIGHT)
+            key, tag = posting_columns(key, rec, parities(part, off)[0], np.diff(off), t[lo:hi], mark | side)
             out_rec.append(rec + lo)
             out_key.append(key)
-            if table is not None:
-                cell = _mix(part.view(np.uint32), np.zeros(1, np.uint64)) % np.uint64(TABLE + 64)
-                low = np.where(cell < TABLE, np.uint64(1) << np.minimum(cell, np.uint64(63)), np.uint64(0))
-                high = np.where(cell >= TABLE, np.uint64(1) << (cell - np.uint64(TABLE)) % np.uint64(64), np.uint64(0))
-                size = np.minimum(np.diff(off), MOST_SIZE).astype(np.uint64)
-                tag = (np.bitwise_or.reduceat(low, off[:-1]) << np.uint64(20)) | (size << np.uint64(4)) | (t[lo:hi].astype(np.uint64) << np.uint64(T_AT))
-                mark = within.astype(np.uint64)
-                side = flags[lo:hi][rec] if sides else mark * np.uint64(LEFT) | np.uint64(RIGHT)
-                out_bits.append(np.bitwise_or.reduceat(high, off[:-1])[rec])
-                out_tag.append(tag[rec] | mark * np.uint64(MARK) | side)
-        rec, key, tag, bits = (np.concatenate([np.zeros(0, d), *x]) for x, d in ((out_rec, np.int64), (out_key, np.uint64), (out_tag, np.uint64), (out_bits, np.uint64)))
-        if table is None:
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("id").take(pa.array(rec)), pa.array(tag.view(np.int64)), pa.array(bits.view(np.int64))], ["key", "id", "tag", "bits"])
+            out_tag.append(tag)
+        return posting_batch(b, out_rec, out_key, out_tag)
 
-    return map_batches(classes.select("t", "id", "words", *(("n", "n_held") if sides else ())), one, "key bigint" if posted is None else POSTING)
+    return map_batches(classes.select("t", "id", "words", *(() if marked is None else ("n", "n_held"))), one, POSTING)
 
 
-def posted_table(index: DataFrame) -> np.ndarray:
-    """Which values are posted: a table of 2**TABLE_BITS bits, whatever the number of values."""
-    slot = f"shiftrightunsigned(key, {64 - TABLE_BITS})"
-    got = index.groupBy(F.expr(f"shiftright({slot}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS INT)))").alias("bits")).toArrow()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    return table.view(np.uint8)
+def side_flags(b: pa.RecordBatch) -> np.ndarray:
+    """LEFT for classes with held-out rows, RIGHT for those with training rows."""
+    n, held = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "n_held"))
+    return (held > 0) * np.uint64(LEFT) | (held < n) * np.uint64(RIGHT)
 
 
-def _held(table: np.ndarray, key: np.ndarray) -> np.ndarray:
-    slot = key >> np.uint64(64 - TABLE_BITS)
-    return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+def posting_batch(b: pa.RecordBatch, rec: list[np.ndarray], key: list[np.ndarray], tag: list[np.ndarray]) -> pa.RecordBatch:
+    rec_, key_, tag_ = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rec, key, tag))
+    return pa.RecordBatch.from_arrays([pa.array(key_), b.column("id").take(pa.array(rec_)), pa.array(tag_)], ["key", "id", "tag"])
 
 
-PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, tag bigint, bits bigint"
+PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, tag bigint"
 
 
 def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
@@ -243,7 +301,9 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
     def pairs(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         tag = b["tag"].view(np.uint64)
         marked, right = (tag & np.uint64(MARK)) > 0, (tag & np.uint64(RIGHT)) > 0
-        size, low, high = ((tag >> np.uint64(4)) & np.uint64(MOST_SIZE)).astype(np.int64), tag >> np.uint64(20), b["bits"].view(np.uint64)
+        size = ((tag >> np.uint64(4)) & np.uint64(MOST_SIZE)).astype(np.int64)
+        low = np.uint64((1 << IN_KEY) - 1)
+        parity = (tag & ~low) | (b["key"].view(np.uint64) & low)
         left = np.flatnonzero(tag & np.uint64(LEFT))
         run = np.searchsorted(start, left, "right") - 1
         count = end[run] - start[run]
@@ -257,13 +317,13 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
             ok = right[y] & (np.minimum(sx, sy) * den >= np.maximum(sx, sy) * num) & (b["id"][x] != b["id"][y])
             ok &= (marked[x] & (sx <= sy)) | (marked[y] & (sy <= sx))
             x, y = x[ok], y[ok]
-            # |a ^ b| <= (1-s)/(1+s) * (|a| + |b|), and at least as many words differ as bits do.
-            differ = np.bitwise_count(low[x] ^ low[y]).astype(np.int64) + np.bitwise_count(high[x] ^ high[y])
+            # |a ^ b| <= (1-s)/(1+s) * (|a| + |b|), and at least as many words differ as parities do.
+            differ = np.bitwise_count(parity[x] ^ parity[y]).astype(np.int64)
             ok = differ * (den + num) <= (den - num) * (size[x] + size[y])
             yield x[ok], y[ok]
             at = to
 
-    names = ["key", "id", "tag", "bits"]
+    names = ["key", "id", "tag"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []  # rows of the last value, which may go on in the next batch
@@ -287,8 +347,9 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
         def whole(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
             if not len(b["key"]):
                 return
-            start = np.flatnonzero(np.concatenate([[True], b["key"][1:] != b["key"][:-1]]))
-            end = np.append(start[1:], len(b["key"]))
+            value = b["key"] >> IN_KEY
+            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            end = np.append(start[1:], len(value))
             large = end - start > hot
             for s, e in zip(start[large], end[large]):
                 yield loose({c: v[s:e] for c, v in b.items()})
@@ -300,7 +361,7 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
         for batch in batches:
             b = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
             if spilling is not None:
-                n = int(np.searchsorted(b["key"] != spilling, True))
+                n = int(np.searchsorted(b["key"] >> IN_KEY != spilling, True))
                 yield loose(take(b, 0, n))
                 b = take(b, n, len(b["key"]))
                 if not len(b["key"]):
@@ -311,12 +372,12 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
                 held = []
             if not len(b["key"]):
                 continue
-            cut = int(np.searchsorted(b["key"] == b["key"][-1], True))
+            cut = int(np.searchsorted(b["key"] >> IN_KEY == b["key"][-1] >> IN_KEY, True))
             yield from whole(take(b, 0, cut))
             rest = take(b, cut, len(b["key"]))
             if len(rest["key"]) > hot:
                 yield loose(rest)
-                spilling = int(rest["key"][0])
+                spilling = int(rest["key"][0] >> IN_KEY)
             else:
                 held = [rest]
         for h in held:
@@ -327,7 +388,7 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
 
 def _sorted_runs(rows: DataFrame) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key").sortWithinPartitions("key")
+    return rows.repartition(parts, F.shiftright("key", IN_KEY)).sortWithinPartitions("key")
 
 
 def _blocks(loose: DataFrame, hot: int) -> DataFrame:
@@ -336,51 +397,75 @@ def _blocks(loose: DataFrame, hot: int) -> DataFrame:
     A left row is copied as such to the blocks of its row, a right row to those of its column.
     """
     left, right = F.col("tag").bitwiseAND(LEFT) > 0, F.col("tag").bitwiseAND(RIGHT) > 0
-    of = loose.groupBy("key").agg(*(F.ceil(F.count(F.when(c, 1)) / (hot // 4)).cast("int").alias(n) for c, n in ((left, "bi"), (right, "bp"))))
-    rows = loose.join(of, "key").where("bi > 0 and bp > 0")
+    rows = loose.select(F.shiftright("key", IN_KEY).alias("value"), F.col("key").bitwiseAND((1 << IN_KEY) - 1).alias("low"), "id", "tag")
+    of = rows.groupBy("value").agg(*(F.ceil(F.count(F.when(c, 1)) / (hot // 4)).cast("int").alias(n) for c, n in ((left, "bi"), (right, "bp"))))
+    rows = rows.join(of, "value").where("bi > 0 and bp > 0")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    across = rows.where(left).select("key", "id", F.expr(f"tag & ~{RIGHT}L").alias("tag"), "bits", own("bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("p"))
-    down = rows.where(right).select("key", "id", F.expr(f"tag & ~{LEFT}L").alias("tag"), "bits", F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), own("bp").alias("p"))
-    return across.unionByName(down).select(F.xxhash64("key", "i", "p").alias("key"), "id", "tag", "bits")
+    across = rows.where(left).select("value", "low", "id", F.expr(f"tag & ~{RIGHT}L").alias("tag"), own("bi").alias("i"), F.explode(F.sequence(F.lit(0), F.col("bp") - 1)).alias("p"))
+    down = rows.where(right).select("value", "low", "id", F.expr(f"tag & ~{LEFT}L").alias("tag"), F.explode(F.sequence(F.lit(0), F.col("bi") - 1)).alias("i"), own("bp").alias("p"))
+    key = F.xxhash64("value", "i", "p").bitwiseAND(-1 << IN_KEY).bitwiseOR(F.col("low"))
+    return across.unionByName(down).select(key.alias("key"), "id", "tag")
 
 
-def _among(classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """The classes whose (t, id) is in ``ids``, and a few more: a bit table of fixed size spares the others the shuffle."""
-    table = classes.sparkSession.sparkContext.broadcast(posted_table(ids.select(F.xxhash64("t", "id").alias("key"))))
-    at = F.xxhash64("t", "id").alias("slot")
-    wide = classes.select(at, *classes.columns)
+def collide(posts: DataFrame, out: Written, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """(t, id_a, id_b, collisions): the pairs that share a value and can still reach the threshold; written as "candidates"."""
+    found = out.table(_paired(_sorted_runs(posts), num, den, hot), "paired")
+    again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag"), hot)), num, den, 1 << 62)
+    met = found.where("id_a is not null").select("t", "id_a", "id_b").unionByName(again.select("t", "id_a", "id_b"))
+    got = out.table(met.groupBy("t", "id_a", "id_b").agg(F.count("*").alias("collisions")), "candidates")
+    out.drop("paired")
+    return got
+
+
+def among(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The classes that are in a pair (t, id_a, id_b), and a few more: a bit table spares the others the shuffle."""
+    ids = pairs.select("t", F.explode(F.array("id_a", "id_b")).alias("id")).select(F.xxhash64("t", "id").alias("key"))
+    table = classes.sparkSession.sparkContext.broadcast(BitTable.of(ids, 2 * pairs.count()))
+    wide = classes.select(F.xxhash64("t", "id").alias("slot"), *classes.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_held(table.value, b.column("slot").to_numpy(zero_copy_only=False).view(np.uint64))))
+            yield b.filter(pa.array(table.value.has(b.column("slot").to_numpy(zero_copy_only=False).view(np.uint64))))
 
     return wide.mapInArrow(run, wide.schema).drop("slot")
 
 
+def _with_gates(classes: DataFrame) -> DataFrame:
+    """(t, id, n, n_held, size, g_0, g_1 ...): the number of words of each class and their parities in GATE cells."""
+    gates = [f"g_{i}" for i in range(GATE // 64)]
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, offsets = column_of_arrays(b, "words")
+        got = parities(words, offsets, GATE) if b.num_rows else [np.zeros(0, np.uint64)] * len(gates)
+        arrays = [*(b.column(c) for c in ("t", "id", "n", "n_held")), pa.array(np.diff(offsets)), *(pa.array(g.view(np.int64)) for g in got)]
+        return pa.RecordBatch.from_arrays(arrays, ["t", "id", "n", "n_held", "size", *gates])
+
+    return map_batches(classes.select("t", "id", "n", "n_held", "words"), one, "t byte, id bigint, n bigint, n_held bigint, size bigint, " + ", ".join(f"{g} bigint" for g in gates))
+
+
 def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT) -> DataFrame:
     """(t, id_a, id_b, shared, collisions): pairs of records with similarity of at least num/den.
 
     ``classes`` is (t, id, words, ...), ids unique within t; it is read several times and should be a
-    written table. With ``sides``, only pairs of a record with held-out rows and one with training rows.
+    written table. With ``sides``, only pairs of a record with held-out rows and one with training rows (of columns n and n_held).
     """
     sketch = sketch_of(classes)
     if sides:  # values of held-out records; training records have to meet one
         held = classes.where("n_held > 0")
-        posted, marked = posted_table(postings(held, sketch, num, den)), posted_table(postings(held, sketch, num, den, short=True))
+        n = held.count()
+        tables = BitTable.of(values(held, sketch, num, den, False), 8 * n), BitTable.of(values(held, sketch, num, den, True), 2 * n)
     else:
-        marked = None
-        posted = posted_table(postings(classes, sketch, num, den, short=True))
-    found = out.table(_paired(_sorted_runs(postings(classes, sketch, num, den, posted, sides, marked=marked)), num, den, hot), "paired")
-    again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag", "bits"), hot)), num, den, 1 << 62)
-    met = found.where("id_a is not null").select("t", "id_a", "id_b").unionByName(again.select("t", "id_a", "id_b"))
-    candidates = out.table(met.groupBy("t", "id_a", "id_b").agg(F.count("*").alias("collisions")), "candidates")
-    ids = candidates.select("t", F.explode(F.array("id_a", "id_b")).alias("id"))
-    classes = out.table(_among(classes, ids), "candidate_classes")
-    a = classes.select("t", F.col("id").alias("id_a"), F.col("words").alias("w_a"), *((F.col("n_held").alias("held_a"), F.col("n").alias("n_a")) if sides else ()))
-    b = classes.select("t", F.col("id").alias("id_b"), F.col("words").alias("w_b"), *((F.col("n_held").alias("held_b"), F.col("n").alias("n_b")) if sides else ()))
-    both = candidates.join(a, ["t", "id_a"]).join(b, ["t", "id_b"])
+        tables = BitTable.of(values(classes, sketch, num, den, True), 2 * sketch.records), None
+    candidates = collide(postings(classes, sketch, num, den, *tables), out, num, den, hot)
+    gated = _with_gates(among(classes, candidates))
+    gates = gated.columns[5:]
+    a, b = (gated.select("t", F.col("id").alias(f"id_{c}"), F.struct(*gated.columns[2:]).alias(c)) for c in "ab")
+    differ = sum((F.bit_count(F.col(f"a.{g}").bitwiseXOR(F.col(f"b.{g}"))) for g in gates), F.lit(0))
+    both = candidates.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).where(differ * (den + num) <= (den - num) * (F.col("a.size") + F.col("b.size")))
     if sides:
-        both = both.where("(held_a > 0 and held_b < n_b) or (held_b > 0 and held_a < n_a)")
-    counted = both.withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
-    enough = F.col("shared") * (num + den) >= num * (F.size("w_a") + F.size("w_b"))
-    return counted.where(enough).select("t", "id_a", "id_b", "shared", "collisions")
+        both = both.where("(a.n_held > 0 and b.n_held < b.n) or (b.n_held > 0 and a.n_held < a.n)")
+    left = out.table(both.select("t", "id_a", "id_b", "collisions"), "gated")
+    met = among(classes.select("t", "id", "words"), left)
+    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("words").alias(f"w_{c}")) for c in "ab")
+    counted = left.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
+    return counted.where(F.col("shared") * (num + den) >= num * (F.size("w_a") + F.size("w_b"))).select("t", "id_a", "id_b", "shared", "collisions")
