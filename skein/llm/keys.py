@@ -83,11 +83,14 @@ def copy_key(text: str | None) -> str | None:
     return None if form is None else keys_of_form(form)[1]
 
 
+def sequence_of(seq: str) -> list[str]:
+    """The words of a word text, in order."""
+    return seq.split() if seq.isascii() or not _han.search(seq) else _pieces.findall(seq)
+
+
 def words_of(seq: str) -> set[str]:
     """The different words of a word text."""
-    if seq.isascii() or not _han.search(seq):
-        return set(seq.split())
-    return set(_pieces.findall(seq))
+    return set(sequence_of(seq))
 
 
 def word_set(text: str | None) -> set[str]:

@@ -92,6 +92,10 @@ class BitTable:
         return (self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+
+
 def shape(rows: DataFrame) -> DataFrame:
     """(tab, id, held, k_hi, k_lo, words): copy-key digest and sorted 32-bit word hashes of each text.
 
@@ -111,7 +115,7 @@ def shape(rows: DataFrame) -> DataFrame:
             for w in keys.words_of(seq):
                 h = known.get(w)
                 if h is None:
-                    h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+                    h = known[w] = word_hash(w)
                 flat.append(h)
             ends.append(len(flat))
         hi, lo = digest_columns(digests)
@@ -142,7 +146,7 @@ def sketch_of(classes: DataFrame) -> Sketch:
     return Sketch(codes, classes.count())
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -182,9 +186,9 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
 
     first = np.flatnonzero(here)
     within = at[first] < inner[rec[first]]
-    key = _mix(w[first], t[rec[first]].astype(np.uint64))
+    key = mix(w[first], t[rec[first]].astype(np.uint64))
     long = size[rec[first]] * 10 >= 7 * LONG
-    post(first[long], _mix(key[long], np.full(int(long.sum()), 0x10)), within[long])
+    post(first[long], mix(key[long], np.full(int(long.sum()), 0x10)), within[long])
     short = size[rec[first]] < LONG
     last, key, within, expect, depth = first[short], key[short], within[short], count[first[short]], 1
     ends = offsets[1:]
@@ -199,7 +203,7 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
         post(last[sole], key[sole], within[sole] & (depth >= least_in[sole]))
         last, key, within, expect, stop = last[~done], key[~done], within[~done], expect[~done], stop[~done]
         src, nxt = _spans(last + 1, stop - last - 1)
-        key = _mix(key[src], w[nxt])
+        key = mix(key[src], w[nxt])
         # Words of one text go together more often than by chance, hence the factor.
         expect = np.minimum(expect[src], expect[src] * count[nxt] / max(1, sketch.records) * 3)
         within = within[src] & (at[nxt] < inner[rec[nxt]] + depth)
@@ -209,7 +213,7 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
 
 def parities(words: np.ndarray, offsets: np.ndarray, cells: int = PARITIES) -> list[np.ndarray]:
     """Of each record (none is empty), for each of ``cells`` cells of words, whether it has an odd number of them, 64 cells an array."""
-    cell = _mix(words.view(np.uint32), np.full(1, cells, np.uint64)) % np.uint64(cells)
+    cell = mix(words.view(np.uint32), np.full(1, cells, np.uint64)) % np.uint64(cells)
     bit = np.uint64(1) << (cell & np.uint64(63))
     return [np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == i, bit, np.uint64(0)), offsets[:-1]) for i in range(cells // 64)]
 
@@ -443,6 +447,18 @@ def _with_gates(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("t", "id", "n", "n_held", "words"), one, "t byte, id bigint, n bigint, n_held bigint, size bigint, " + ", ".join(f"{g} bigint" for g in gates))
 
 
+def gate(classes: DataFrame, candidates: DataFrame, out: Written, num: int, den: int, sides: bool) -> DataFrame:
+    """The candidates that can still reach the threshold by their parities in GATE cells, with ``sides`` those of a held-out and a training row; written as "gated"."""
+    gated = _with_gates(among(classes, candidates))
+    gates = gated.columns[5:]
+    a, b = (gated.select("t", F.col("id").alias(f"id_{c}"), F.struct(*gated.columns[2:]).alias(c)) for c in "ab")
+    differ = sum((F.bit_count(F.col(f"a.{g}").bitwiseXOR(F.col(f"b.{g}"))) for g in gates), F.lit(0))
+    both = candidates.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).where(differ * (den + num) <= (den - num) * (F.col("a.size") + F.col("b.size")))
+    if sides:
+        both = both.where("(a.n_held > 0 and b.n_held < b.n) or (b.n_held > 0 and a.n_held < a.n)")
+    return out.table(both.select("t", "id_a", "id_b", "collisions"), "gated")
+
+
 def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT) -> DataFrame:
     """(t, id_a, id_b, shared, collisions): pairs of records with similarity of at least num/den.
 
@@ -457,14 +473,7 @@ def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10,
     else:
         tables = BitTable.of(values(classes, sketch, num, den, True), 2 * sketch.records), None
     candidates = collide(postings(classes, sketch, num, den, *tables), out, num, den, hot)
-    gated = _with_gates(among(classes, candidates))
-    gates = gated.columns[5:]
-    a, b = (gated.select("t", F.col("id").alias(f"id_{c}"), F.struct(*gated.columns[2:]).alias(c)) for c in "ab")
-    differ = sum((F.bit_count(F.col(f"a.{g}").bitwiseXOR(F.col(f"b.{g}"))) for g in gates), F.lit(0))
-    both = candidates.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).where(differ * (den + num) <= (den - num) * (F.col("a.size") + F.col("b.size")))
-    if sides:
-        both = both.where("(a.n_held > 0 and b.n_held < b.n) or (b.n_held > 0 and a.n_held < a.n)")
-    left = out.table(both.select("t", "id_a", "id_b", "collisions"), "gated")
+    left = gate(classes, candidates, out, num, den, sides)
     met = among(classes.select("t", "id", "words"), left)
     a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("words").alias(f"w_{c}")) for c in "ab")
     counted = left.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))

@@ -1,21 +1,33 @@
 """Problem 5: held-out records that also stand, as they are or slightly changed, in the training rows.
 
-The dealt method, content-defined chunks of a text cut by a rolling hash, is not what is used. Chunks of neighbouring words, cut by
-a hash of the last word, were measured first: they miss 0.3 % of the pairs with few and scattered common words. Instead this
-is P2's inverted join on signature coordinates (``near.near_classes``), posted across the splits: single rare words, or runs of chosen
-words where one is too common. The words shared by the sets of a pair, not chunk lengths, give its overlap fractions.
+*Chunks.* The words of a normalised record, in reading order, are cut where a rolling hash of the last WINDOW words says so, so the
+cuts depend on content alone and an edit moves only those beside it. A chunk's digest covers its words in order. Digests
+are joined across the splits, and the lengths of the shared chunks, summed, over a record's length are its overlap fraction.
+*Common chunks.* A digest that more than MANY held-out records have is posted with its next chunk, and so on to DEPTH chunks, so no
+pair of long lists is made of common phrases; records of few words post it alone too. What is still long is split into blocks (``near``).
+*Check.* A pair of records that share a chunk is kept if it is a copy or near by the sets of words.
+*Rest.* A pair may be near by its words and share no chunk: words were moved, or each chunk holds an edit. Chunks find 7,276 of the 7,278
+pairs of different texts in a corpus of 778,000; since no link may be lost, the join of problem 2 on words, posted across the splits,
+gives the others. ``p5_overlaps`` says of each pair whether chunks or words found it, and ``p5_paths`` counts them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import near
-from skein.llm.p2_near import shaped_tables
-from skein.llm.records import read, salt_join
+from skein.llm import forms, keys, near
+from skein.llm.records import digest_columns, map_batches, read, salt_join
 from skein.session import Written
 
+#: Words of the rolling hash, bits of it that are zero at a cut (a chunk has 2**CUT_BITS words on average), held-out
+#: records that may have a digest, chunks of a digest, and words of a record that posts common digests alone too.
+WINDOW, CUT_BITS, MANY, DEPTH, FEW = 1, 1, 150, 5, 8
+BASE = 0x9E3779B97F4A7C15
+
 
 def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, id, held, text): prompts of the splits validation and test are held out, and all of val; a null split is training."""
@@ -26,36 +38,234 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.unionByName(both[0]).unionByName(both[1]).where("text is not null")
 
 
+def shape(rows: DataFrame) -> DataFrame:
+    """(tab, id, held, k_hi, k_lo, seq): copy-key digest and the 32-bit hashes of each text's words, in reading order.
+
+    Null texts and texts without letter or digit are left out.
+    """
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep, digests, flat, ends = [], [], [], [0]
+        known: dict[str, int] = {}
+        for i, x in enumerate(b.column("text").to_pylist()):
+            form = forms.visible_form(x)
+            seq, key = keys.keys_of_form(form) if form else ("", "")
+            if not key:
+                continue
+            keep.append(i)
+            digests.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")))
+            for w in keys.sequence_of(seq):
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = near.word_hash(w)
+                flat.append(h)
+            ends.append(len(flat))
+        hi, lo = digest_columns(digests)
+        kept = pa.array(keep, pa.int32())
+        seqs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint32).view(np.int32), pa.int32()))
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(kept) for c in ("tab", "id", "held")), hi, lo, seqs], ["tab", "id", "held", "k_hi", "k_lo", "seq"])
+
+    return map_batches(rows.select("tab", "id", "held", "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, seq array<int>")
+
+
+def classes_of(shaped: DataFrame) -> DataFrame:
+    """One row per set of copies: (t, id, k_hi, k_lo, seq, n, n_held); copies may differ in the order of their fields, one order is taken."""
+    g = shaped.groupBy("tab", "k_hi", "k_lo").agg(
+        F.min("id").alias("id"), F.count("*").alias("n"), F.sum(F.col("held").cast("long")).alias("n_held"), F.min("seq").alias("seq")
+    )
+    return g.select((F.col("tab") == "train").cast("byte").alias("t"), "id", "k_hi", "k_lo", "seq", "n", "n_held")
+
+
+def _record_of(offsets: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def word_sets(seq: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): the different words of each sequence, sorted."""
+    each = np.unique(_record_of(offsets).astype(np.uint64) << np.uint64(32) | seq.view(np.uint32).astype(np.uint64))
+    sizes = np.bincount((each >> np.uint64(32)).astype(np.int64), minlength=len(offsets) - 1)
+    return (each & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def chunks(seq: np.ndarray, offsets: np.ndarray, window: int = WINDOW, cut_bits: int = CUT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, digest, words) of the chunks of word sequences, in reading order."""
+    rec, n = _record_of(offsets), len(seq)
+    words = near.mix(seq.view(np.uint32), np.full(1, 7, np.uint64))
+    rolling = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for back in range(window):  # sum of base**back * word, over the words of the window that are in the record
+            of = np.concatenate([np.zeros(back, np.uint64), words[: n - back]])
+            of[np.arange(n) - offsets[rec] < back] = 0
+            rolling += of * np.uint64(pow(BASE, back, 1 << 64))
+    last = np.zeros(n, bool)
+    last[offsets[1:] - 1] = True  # no record is empty
+    end = np.flatnonzero((rolling >> np.uint64(64 - cut_bits) == 0) | last) if cut_bits else np.arange(n)
+    first = np.concatenate([[0], end[:-1] + 1])[: len(end)]
+    size = end - first + 1
+    at = np.arange(n) - np.repeat(first, size)
+    return rec[first], np.add.reduceat(near.mix(words, at.astype(np.uint64)), first) if n else np.zeros(0, np.uint64), size
+
+
+def digests(t: np.ndarray, seq: np.ndarray, offsets: np.ndarray, tables: list[tuple[near.BitTable, near.BitTable]], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(record, value) of the digests of ``depth`` chunks in reading order, whose shorter ones were common by ``tables``: (rare, common) of each depth."""
+    rec, digest, _ = chunks(seq, offsets)
+    key, at = near.mix(digest, t[rec].astype(np.uint64)), np.arange(len(rec))
+    for d in range(1, depth):
+        hot = tables[d - 1][1].has(key)
+        at, key = at[hot], key[hot]
+        to = np.minimum(at + d, len(rec) - 1)
+        on = (at + d < len(rec)) & (rec[to] == rec[at])
+        at, key = at[on], near.mix(key[on], digest[to[on]])
+    return rec[at], key
+
+
+def held_tables(held: DataFrame, out: Written, many: int = MANY, most: int = DEPTH) -> list[tuple[near.BitTable, near.BitTable]]:
+    """For digests of 1 to ``most`` chunks, those of held-out records that are rare and those that are common, as bit tables."""
+    tables: list[tuple[near.BitTable, near.BitTable]] = []
+    spark = held.sparkSession
+    for depth in range(1, most + 1):
+        shared = spark.sparkContext.broadcast((tables, depth))
+
+        def one(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            seq, offsets = near.column_of_arrays(b, "seq")
+            _, key = digests(b.column("t").to_numpy(zero_copy_only=False), seq, offsets, *shared.value)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+        counted = out.table(map_batches(held.select("t", "seq"), one, "key bigint").groupBy("key").agg(F.count("*").alias("n")), f"digests_{depth}")
+        of = [counted.where(F.col("n") <= many), counted.where(F.col("n") > many)]
+        tables = [*tables, tuple(near.BitTable.of(x.select("key"), x.count()) for x in of)]
+        out.drop(f"digests_{depth}")
+    return tables
+
+
+def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable]], few: int = FEW) -> DataFrame:
+    """The postings of each record under the digests that held-out records have; those are left, records with training rows right."""
+    shared = classes.sparkSession.sparkContext.broadcast(tables)
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        seq, offsets = near.column_of_arrays(b, "seq")
+        if not b.num_rows:
+            return near.posting_batch(b, [], [], [])
+        t, flags = b.column("t").to_numpy(zero_copy_only=False), near.side_flags(b)
+        words, off = word_sets(seq, offsets)
+        short = np.diff(off) <= few
+        recs, keys_ = [], []
+        for depth, (rare, common) in enumerate(shared.value, 1):
+            rec, key = digests(t, seq, offsets, shared.value, depth)
+            often = common.has(key)
+            hit = (rare.has(key) & ~often) | (often & (short[rec] | (depth == len(shared.value))))
+            recs.append(rec[hit])
+            keys_.append(key[hit])
+        rec, key = np.concatenate(recs), np.concatenate(keys_)
+        # A chunk that a record repeats is posted once.
+        _, once = np.unique(near.mix(key, rec.astype(np.uint64)), return_index=True)
+        rec, key = rec[once], key[once]
+        key, tag = near.posting_columns(key, rec, near.parities(words, off)[0], np.diff(off), t, flags[rec] | np.uint64(near.MARK))
+        return near.posting_batch(b, [rec], [key], [tag])
+
+    return map_batches(classes.select("t", "id", "seq", "n", "n_held"), one, near.POSTING)
+
+
+def compared(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(t, id_a, id_b, o_a, o_b): of pairs with their sequences, those with similarity of num/den, and the parts of each record's words in shared chunks.
+
+    Where no chunk is shared, it is the part of the different words.
+    """
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.num_rows
+        sets, cut = [], []
+        for c in ("seq_a", "seq_b"):
+            seq, offsets = near.column_of_arrays(b, c)
+            words, off = word_sets(seq, offsets)
+            sets.append((_record_of(off).astype(np.uint64) << np.uint64(32) | words.view(np.uint32).astype(np.uint64), np.diff(off)))
+            rec, digest, size = chunks(seq, offsets)
+            cut.append((rec, near.mix(digest, rec.astype(np.uint64)), size, np.diff(offsets)))
+        shared = np.bincount((np.intersect1d(sets[0][0], sets[1][0], assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=n)
+        near_ = shared * (num + den) >= num * (sets[0][1] + sets[1][1])
+        parts = []
+        for (rec, key, size, length), (_, other, _, _), (_, words) in zip(cut, cut[::-1], sets):
+            part = np.bincount(rec, np.where(np.isin(key, other), size, 0), minlength=n)[:n] / np.maximum(length, 1)
+            parts.append(np.where(part > 0, part, shared / np.maximum(words, 1)))
+        got = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("t", "id_a", "id_b")), *(pa.array(x) for x in parts)], ["t", "id_a", "id_b", "o_a", "o_b"])
+        return got.filter(pa.array(near_))
+
+    return map_batches(pairs.select("t", "id_a", "id_b", "seq_a", "seq_b"), one, "t byte, id_a bigint, id_b bigint, o_a double, o_b double")
+
+
+def chunk_pairs(classes: DataFrame, words: DataFrame, out: Written, num: int = 7, den: int = 10, hot: int = near.HOT, many: int = MANY) -> DataFrame:
+    """(t, id_a, id_b, o_a, o_b): classes of a held-out and a training row that share a chunk and are near, with their overlap fractions."""
+    tables = held_tables(classes.where("n_held > 0"), out, many)
+    candidates = near.collide(postings(classes, tables), out, num, den, hot)
+    return with_overlaps(classes, near.gate(words, candidates, out, num, den, True), num, den)
+
+
+def with_overlaps(classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    met = near.among(classes.select("t", "id", "seq"), pairs)
+    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("seq").alias(f"seq_{c}")) for c in "ab")
+    return compared(pairs.select("t", "id_a", "id_b").join(a, ["t", "id_a"]).join(b, ["t", "id_b"]), num, den)
+
+
+def _with_words(classes: DataFrame) -> DataFrame:
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, off = word_sets(*near.column_of_arrays(b, "seq"))
+        arrays = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words)) if c == "words" else b.column(c) for c in ("t", "id", "words", "n", "n_held")]
+        return pa.RecordBatch.from_arrays(arrays, ["t", "id", "words", "n", "n_held"])
+
+    return map_batches(classes.select("t", "id", "seq", "n", "n_held"), one, "t byte, id bigint, words array<int>, n bigint, n_held bigint")
+
+
 def _tab(t: str) -> str:
     return f"CASE WHEN {t} = 1 THEN 'train' ELSE 'prompts' END"
 
 
+def class_overlaps(rows: DataFrame, out: Written, num: int, den: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, classes, pairs of classes with o_a, o_b and the ``path`` that found them); all written."""
+    shaped = out.table(shape(rows), "shaped")
+    classes = out.table(classes_of(shaped), "classes")
+    members = out.table(shaped.drop("seq"), "members")
+    out.drop("shaped")
+    words = out.table(_with_words(classes), "words")
+    found = out.table(chunk_pairs(classes, words, out, num, den, hot), "by_chunks")
+    out.drop("candidates")
+    out.drop("gated")
+    near_ = out.table(near.near_classes(words, out, num, den, sides=True, hot=hot).select("t", "id_a", "id_b"), "by_words")
+    rest = with_overlaps(classes, near_.join(found, ["t", "id_a", "id_b"], "left_anti"), num, den)
+    pairs = out.table(found.withColumn("path", F.lit("chunks")).unionByName(rest.withColumn("path", F.lit("words"))), "class_pairs")
+    for name in ("candidates", "gated", "words", "by_words", "by_chunks"):
+        out.drop(name)
+    return members, classes, pairs
+
+
 def overlaps(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HOT) -> DataFrame:
-    """(tab, id_a, id_b, held_a, overlap_a, overlap_b): pairs of a held-out and a training row that are copies or near.
+    """(tab, id_a, id_b, held_a, overlap_a, overlap_b, path): pairs of a held-out and a training row that are copies or near.
 
-    ``overlap_a`` is the part of the words of id_a that id_b has too, ``held_a`` whether id_a is the held-out row. Null texts and
-    texts without letter or digit are in no pair; all rows of a class of copies are paired.
+    ``overlap_a`` is the part of the words of id_a that stand in chunks of id_b (of its different words that id_b has, where they share no chunk), 1 for copies, ``held_a`` whether id_a is the held-out row, and
+    ``path`` which way the pair was found: 'copies', 'chunks' or 'words'. Null texts and texts without letter or digit are in no pair; all rows
+    of a class of copies are paired.
     """
     out = Written(rows.sparkSession, "p5")
-    members, classes = shaped_tables(rows, out)
-    pairs = near.near_classes(classes, out, num, den, sides=True, hot=hot)
-    of = lambda c: classes.select("t", F.col("id").alias(f"id_{c}"), F.struct("k_hi", "k_lo", "n", "n_held", F.size("words").alias("words")).alias(c))
-    near_ = pairs.join(of("a"), ["t", "id_a"]).join(of("b"), ["t", "id_b"]).select("t", "a", "b", "shared")
-    same = classes.where("n_held > 0 and n_held < n").select("t", F.struct("k_hi", "k_lo", "n", "n_held", F.size("words").alias("words")).alias("a")).select("t", "a", F.col("a").alias("b"), F.col("a.words").alias("shared"))
-    either = near_.unionByName(near_.select("t", F.col("b").alias("a"), F.col("a").alias("b"), "shared")).unionByName(same)
+    members, classes, pairs = class_overlaps(rows, out, num, den, hot)
+    met = near.among(classes.select("t", "id", "k_hi", "k_lo", "n", "n_held"), pairs)
+    of = lambda c: met.select("t", F.col("id").alias(f"id_{c}"), F.struct("k_hi", "k_lo", "n", "n_held").alias(c))
+    near_ = pairs.join(of("a"), ["t", "id_a"]).join(of("b"), ["t", "id_b"]).select("t", "a", "b", "o_a", "o_b", "path")
+    one = F.lit(1.0)
+    same = classes.where("n_held > 0 and n_held < n").select("t", F.struct("k_hi", "k_lo", "n", "n_held").alias("a"), one.alias("o_a"), one.alias("o_b"), F.lit("copies").alias("path")).withColumn("b", F.col("a"))
+    either = near_.unionByName(near_.select("t", F.col("b").alias("a"), F.col("a").alias("b"), F.col("o_b").alias("o_a"), F.col("o_a").alias("o_b"), "path")).unionByName(same)
     # a: the held-out rows of one class, b: the training rows of the other.
     directed = either.where("a.n_held > 0 and b.n_held < b.n").selectExpr(
-        f"{_tab('t')} AS tab", "a.k_hi AS a_hi", "a.k_lo AS a_lo", "a.n_held AS n_a", "b.k_hi AS b_hi", "b.k_lo AS b_lo", "b.n - b.n_held AS n_b", "shared / a.words AS o_a", "shared / b.words AS o_b"
+        f"{_tab('t')} AS tab", "a.k_hi AS a_hi", "a.k_lo AS a_lo", "a.n_held AS n_a", "b.k_hi AS b_hi", "b.k_lo AS b_lo", "b.n - b.n_held AS n_b", "o_a", "o_b", "path"
     )
     pairs_ = out.table(directed, "pairs")
     held = members.where("held").selectExpr("tab", "id AS x", "k_hi AS a_hi", "k_lo AS a_lo")
     kept = members.where("not held").selectExpr("tab", "id AS y", "k_hi AS b_hi", "k_lo AS b_lo")
     total = members.count()
-    got = salt_join(kept, salt_join(held, pairs_, ["tab", "a_hi", "a_lo"], "x", "n_a", total), ["tab", "b_hi", "b_lo"], "y", "n_b", total)
-    first = F.col("x") < F.col("y")
+    first = salt_join(held, pairs_, ["tab", "a_hi", "a_lo"], "x", "n_a", total)
+    got = salt_join(kept, first, ["tab", "b_hi", "b_lo"], "y", "n_b", total, counts=pairs_)
+    of_a = F.col("x") < F.col("y")
     return got.where("x <> y").select(
-        "tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), first.alias("held_a"),
-        F.when(first, F.col("o_a")).otherwise(F.col("o_b")).alias("overlap_a"), F.when(first, F.col("o_b")).otherwise(F.col("o_a")).alias("overlap_b"),
+        "tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), of_a.alias("held_a"),
+        F.when(of_a, F.col("o_a")).otherwise(F.col("o_b")).alias("overlap_a"), F.when(of_a, F.col("o_b")).otherwise(F.col("o_a")).alias("overlap_b"), "path",
     )
 
 
@@ -67,6 +277,12 @@ def p5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(split_rows(spark, sf_dir))
 
 
+def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tab, path, pairs): how many pairs of classes of copies each path found."""
+    _, _, pairs = class_overlaps(split_rows(spark, sf_dir), Written(spark, "p5"), 7, 10, near.HOT)
+    return pairs.groupBy(F.expr(_tab("t")).alias("tab"), "path").agg(F.count("*").alias("pairs"))
+
+
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, split, source, rows, overlapping): for each split and source of held-out rows, how many stand in the training rows."""
     prompts = read(spark, sf_dir, "prompts").where("split in ('validation', 'test')").select(F.lit("prompts").alias("tab"), F.col("prompt_id").alias("id"), "split", "source")
@@ -76,4 +292,4 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.count("*").alias("rows"), F.count("hit").alias("overlapping"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_overlaps": p5_overlaps, "p5_counts": p5_counts}
+QUERIES = {"p5_found": p5_found, "p5_overlaps": p5_overlaps, "p5_paths": p5_paths, "p5_counts": p5_counts}

@@ -134,7 +134,7 @@ def test_plan_respects_caps():
     assert plan.want == {"a": 500, "b": 200} and plan.slots == 70
 
 
-def test_mix(spark):
+def testnear.mix(spark):
     docs = spark.createDataFrame([(i, "an owl by the lamp " * (1 + i % 3), "a" if i % 4 else "b") for i in range(80)] + [(900, None, "a"), (901, "", "b"), (902, "x", None)], "doc_id bigint, text string, source string")
     weights = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3), ("none", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     uses, shares = mix(docs, weights, block=20)
