@@ -1,10 +1,11 @@
 """One visible form per text: a compiled longest-match transducer over grapheme clusters.
 
 The mapping is computed once from the Unicode tables (widths, joined letters, composition)
-and from the look-alike letters listed below, and is checked for conflicts: no character
-has two images, and no image holds a character that would be mapped again, so applying the
-transducer twice changes nothing. A text is rewritten in one pass; each cluster (a letter
-with the marks and invisible characters that follow it) is replaced by its image.
+and from the look-alike letters listed below: an image for every single character, in a table by code point, and one for every cluster of a
+letter and its marks that has a composed form, in the spellings that lead to it. Both are checked for conflicts: no
+character or cluster has two images, and no image is mapped again, so applying the
+transducer twice changes nothing. A text is rewritten in one pass, at each place by the longest cluster (a letter
+with the marks and invisible characters that follow it) that is in the mapping; marks in stacks that have no composed form keep their canonical order.
 
 Null stays null; a text that shows nothing becomes the empty string.
 """
@@ -25,6 +26,8 @@ LOOK_ALIKES = """
 Ꭺ A  Ᏼ B  Ꮯ C  Ꭼ E  Ꮋ H  Ꭻ J  Ꮶ K  Ꮮ L  Ꮇ M  Ꮲ P  Ꭱ R  Ꮪ S  Ꭲ T  Ꮩ V  Ꮃ W  Ꮓ Z
 ꓮ A  ꓐ B  ꓚ C  ꓓ D  ꓰ E  ꓝ F  ꓖ G  ꓧ H  ꓲ I  ꓙ J  ꓗ K  ꓡ L  ꓟ M  ꓠ N  ꓳ O  ꓑ P  ꓣ R  ꓢ S  ꓔ T  ꓴ U  ꓦ V  ꓪ W  ꓫ X  ꓬ Y  ꓜ Z
 """
+# Other characters of one shape, as "character image".
+SAME_SHAPE = "µ μ"
 # Format characters that are drawn, and blank characters Unicode does not call white space.
 DRAWN_FORMATS = {*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD}
 DRAWN_BLANKS = {0x2800, 0x3164, 0xFFA0, 0x115F, 0x1160}
@@ -38,7 +41,7 @@ class FormConflict(ValueError):
 
 
 def _look_alikes() -> dict[str, str]:
-    parts = LOOK_ALIKES.split()
+    parts = f"{LOOK_ALIKES} {SAME_SHAPE}".split()
     out: dict[str, str] = {}
     for a, b in zip(parts[::2], parts[1::2]):
         if out.setdefault(a, b) != b:
@@ -76,6 +79,29 @@ def build_mapping() -> tuple[dict[str, str], set[str], set[str], set[str]]:
     return image, blanks, hidden, marks
 
 
+def build_clusters(image: dict[str, str]) -> dict[str, str]:
+    """Images of the clusters that have a composed form: each such form fully decomposed, and with its letter in every spelling."""
+    alike = _look_alikes()
+    spelt: dict[str, list[str]] = {}
+    for c, to in image.items():
+        if len(to) == 1:
+            spelt.setdefault(to, []).append(c)
+    out: dict[str, str] = {}
+    for cp in range(0xC0, 0x20000):
+        whole = unicodedata.normalize("NFD", chr(cp))
+        if len(whole) < 2 or not unicodedata.combining(whole[-1]):
+            continue
+        letter, marks = whole[0], whole[1:]
+        for first in (letter, *spelt.get(letter, ())):
+            to = _flat(first + marks, alike)
+            if out.setdefault(first + marks, to) != to:
+                raise FormConflict(f"{first + marks!r} has two images")
+    for cluster, to in out.items():
+        if _flat(to, alike) != to or any(x in image for x in to):
+            raise FormConflict(f"the image of {cluster!r} is mapped again")
+    return out
+
+
 def _flat(cluster: str, alike: dict[str, str]) -> str:
     """The image of a cluster: widths and joined letters undone, look-alikes replaced, marks composed."""
     out = []
@@ -113,12 +139,15 @@ def _ranges(chars: set[str]) -> str:
 class Transducer:
     """Compiled once for each process; ``apply`` gives the visible form of a text."""
 
-    #: Images of clusters that were met; the memory is bounded, a full table starts anew.
+    #: Images of clusters without a composed form that were met; the memory is bounded, a full table starts anew.
     KEPT = 1 << 16
+    #: Characters of the table; those above (rare Han, tags) are looked up one by one.
+    TABLE = 0x20000
 
     def __init__(self) -> None:
         self.image, blanks, hidden, marks = build_mapping()
         self._alike = _look_alikes()
+        self.clusters = build_clusters(self.image)
         ws, inv, mk = _ranges(blanks), _ranges(hidden), _ranges(marks)
         jamo = "ᄀ-하-ᅵᆨ-ᇂ"
         emoji = "©®‼⁉™ℹ←-⇿⌀-⏿①-⓿■-➿⤀-⥿⬀-⯿〰〽㊗㊙\U0001f000-\U0001faff"
@@ -131,10 +160,11 @@ class Transducer:
         )
         # Most texts hold no cluster of several characters: their one pass is a table lookup for each character.
         self._several = {*marks, ZWJ, *map(chr, range(0x1100, 0x1113)), *map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
-        self._single = {**self.image, **dict.fromkeys(hidden, ""), **dict.fromkeys(blanks, " ")}
-        self._keys = set(self._single) - {" "}
+        single = {**self.image, **dict.fromkeys(hidden, ""), **dict.fromkeys(blanks, " ")}
+        self._table = [single.get(c, c) for c in map(chr, range(self.TABLE))]
+        self._rare = {c: to for c, to in single.items() if ord(c) >= self.TABLE}
         self._ascii = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
-        self._known: dict[str, str] = dict(self.image)
+        self._known: dict[str, str] = dict(self.clusters)
 
     def _image_of(self, cluster: str) -> str:
         got = self._known.get(cluster)
@@ -144,7 +174,7 @@ class Transducer:
             else:
                 got = _flat(cluster.translate(self._hidden), self._alike)
             if len(self._known) >= self.KEPT:
-                self._known = dict(self.image)
+                self._known = dict(self.clusters)
             self._known[cluster] = got
         return got
 
@@ -154,9 +184,9 @@ class Transducer:
         return len(parts) > 1 and all(p and unicodedata.category(p[0]) in ("So", "Sm", "Po", "Sk") for p in parts)
 
     def _singles(self, text: str) -> str:
-        # No image holds a mapped character, so the order of these replacements doesn't matter.
-        for c in self._keys.intersection(text):
-            text = text.replace(c, self._single[c])
+        text = text.translate(self._table)
+        for c in self._rare.keys() & set(text) if text and max(text) >= "\U00020000" else ():
+            text = text.replace(c, self._rare[c])
         return text
 
     def apply(self, text: str | None) -> str | None:

@@ -20,6 +20,8 @@ CAPITAL_TWINS = "в b н h м m к k т t α a β b ε e ζ z η h ι i κ k μ
 HAN_KANA = "぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002fa1f々〆"
 
 _twins = str.maketrans(dict(zip(CAPITAL_TWINS.split()[::2], CAPITAL_TWINS.split()[1::2])))
+_twin_letters = frozenset(map(chr, _twins))
+_ascii = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 MARKS = {chr(c) for c in (*range(0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"}
 _between = re.compile(r"[\W_]+")
 _between_marked = re.compile(rf"(?:[^\w{_ranges({c for c in MARKS if ord(c) < 0x10000})}]|_)+")
@@ -32,12 +34,14 @@ _label = re.compile(r"(?:^|[\s\"'|;,{(\[])\"?([^\W\d_][\w-]{0,23})\"?\s*[:=](?!/
 
 def _folded(form: str) -> str:
     low = form.casefold()
-    return low if low.isascii() else low.translate(_twins) if not low.isascii() and _twins.keys() & set(map(ord, low)) else low
+    return low if low.isascii() or _twin_letters.isdisjoint(low) else low.translate(_twins)
 
 
 def _words(form: str) -> str:
     low = _folded(form)
-    return (_between if low.isascii() or MARKS.isdisjoint(low) else _between_marked).sub(" ", low).strip()
+    if low.isascii():
+        return " ".join(low.translate(_ascii).split())
+    return (_between if MARKS.isdisjoint(low) else _between_marked).sub(" ", low).strip()
 
 
 def word_text(text: str | None) -> str | None:

@@ -46,11 +46,11 @@ TARGET, DEPTH, HOT = 1_500, 4, 8_000
 LONG = 2_000
 SKETCH_BITS, STEPS = 24, 6
 #: A posting is (key, id, tag). From the top, ``key`` holds 44 bits of the value and 20 of the record's parities, ``tag`` the other 44 parities,
-#: 16 of the size (larger ones count as the largest, which prunes less), 1 of t, and whether the value is in the short prefix (MARK), the
+#: 15 of the size (larger ones count as the largest, which prunes less), 1 of the kind of the value (0 words, 1 chunks), 1 of t, and whether the value is in the short prefix (MARK), the
 #: record may be the left one of a pair (LEFT), and the right one (RIGHT). So a key is sorted by value, and values that differ are 44 bits apart.
 POSTING = "key bigint, id bigint, tag bigint"
 PARITIES, GATE = 64, 128
-IN_KEY, MOST_SIZE, T_AT, MARK, LEFT, RIGHT = 20, (1 << 16) - 1, 3, 4, 2, 1
+IN_KEY, SIZE_AT, MOST_SIZE, T_AT, CHUNK, MARK, LEFT, RIGHT = 20, 5, (1 << 15) - 1, 3, 16, 4, 2, 1
 
 
 @dataclass(frozen=True)
@@ -92,8 +92,12 @@ class BitTable:
         return (self.table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+class WordHashes(dict):
+    """32-bit hashes of words, each reckoned once a batch."""
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
+        return got
 
 
 def shape(rows: DataFrame) -> DataFrame:
@@ -104,7 +108,7 @@ def shape(rows: DataFrame) -> DataFrame:
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         keep, digests, flat, ends = [], [], [], [0]
-        known: dict[str, int] = {}
+        known = WordHashes()
         for i, x in enumerate(b.column("text").to_pylist()):
             form = forms.visible_form(x)
             seq, key = keys.keys_of_form(form) if form else ("", "")
@@ -112,11 +116,7 @@ def shape(rows: DataFrame) -> DataFrame:
                 continue
             keep.append(i)
             digests.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")))
-            for w in keys.words_of(seq):
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = word_hash(w)
-                flat.append(h)
+            flat.extend(map(known.__getitem__, keys.words_of(seq)))
             ends.append(len(flat))
         hi, lo = digest_columns(digests)
         kept = pa.array(keep, pa.int32())
@@ -221,7 +221,7 @@ def parities(words: np.ndarray, offsets: np.ndarray, cells: int = PARITIES) -> l
 def posting_columns(key: np.ndarray, rec: np.ndarray, parity: np.ndarray, size: np.ndarray, t: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, tag) of postings of the records ``rec``; ``flags`` are those of the postings."""
     low = np.uint64((1 << IN_KEY) - 1)
-    tag = (parity & ~low) | (np.minimum(size, MOST_SIZE).astype(np.uint64) << np.uint64(4)) | (t.astype(np.uint64) << np.uint64(T_AT))
+    tag = (parity & ~low) | (np.minimum(size, MOST_SIZE).astype(np.uint64) << np.uint64(SIZE_AT)) | (t.astype(np.uint64) << np.uint64(T_AT))
     return ((key & ~low) | (parity & low)[rec]).view(np.int64), (tag[rec] | flags).view(np.int64)
 
 
@@ -296,6 +296,7 @@ def posting_batch(b: pa.RecordBatch, rec: list[np.ndarray], key: list[np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(key_), b.column("id").take(pa.array(rec_)), pa.array(tag_)], ["key", "id", "tag"])
 
 
+#: ``t`` with the kind of the value as its second bit.
 PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, tag bigint"
 
 
@@ -305,7 +306,7 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
     def pairs(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         tag = b["tag"].view(np.uint64)
         marked, right = (tag & np.uint64(MARK)) > 0, (tag & np.uint64(RIGHT)) > 0
-        size = ((tag >> np.uint64(4)) & np.uint64(MOST_SIZE)).astype(np.int64)
+        size = ((tag >> np.uint64(SIZE_AT)) & np.uint64(MOST_SIZE)).astype(np.int64)
         low = np.uint64((1 << IN_KEY) - 1)
         parity = (tag & ~low) | (b["key"].view(np.uint64) & low)
         left = np.flatnonzero(tag & np.uint64(LEFT))
@@ -335,14 +336,14 @@ def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
 
         def loose(b: dict[str, np.ndarray]) -> pa.RecordBatch:
             none = pa.nulls(len(b["id"]), pa.int64())
-            t = pa.array(((b["tag"] >> T_AT) & 1).astype(np.int8))
+            t = pa.array(((b["tag"] >> T_AT) & 3).astype(np.int8))
             return pa.RecordBatch.from_arrays([t, none, none, *(pa.array(b[c]) for c in names)], ["t", "id_a", "id_b", *names])
 
         def tight(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
             for x, y in pairs(b, start, end):
                 i, j = b["id"][x], b["id"][y]
                 n = len(i)
-                both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), (b["tag"][x] >> T_AT) & 1]), axis=1) if n else np.zeros((3, 0), np.int64)
+                both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), (b["tag"][x] >> T_AT) & 3]), axis=1) if n else np.zeros((3, 0), np.int64)
                 n = both.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(both[2].astype(np.int8)), pa.array(both[0]), pa.array(both[1]), *(pa.nulls(n, pa.int64()) for _ in names)], ["t", "id_a", "id_b", *names]
@@ -412,11 +413,12 @@ def _blocks(loose: DataFrame, hot: int) -> DataFrame:
 
 
 def collide(posts: DataFrame, out: Written, num: int, den: int, hot: int = HOT) -> DataFrame:
-    """(t, id_a, id_b, collisions): the pairs that share a value and can still reach the threshold; written as "candidates"."""
+    """(t, id_a, id_b, collisions, chunks): the pairs that share a value and can still reach the threshold, and how many values are chunks; written as "candidates"."""
     found = out.table(_paired(_sorted_runs(posts), num, den, hot), "paired")
     again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag"), hot)), num, den, 1 << 62)
     met = found.where("id_a is not null").select("t", "id_a", "id_b").unionByName(again.select("t", "id_a", "id_b"))
-    got = out.table(met.groupBy("t", "id_a", "id_b").agg(F.count("*").alias("collisions")), "candidates")
+    met = met.groupBy(F.col("t").bitwiseAND(1).cast("byte").alias("t"), "id_a", "id_b").agg(F.count("*").alias("collisions"), F.count_if(F.col("t") > 1).alias("chunks"))
+    got = out.table(met, "candidates")
     out.drop("paired")
     return got
 
@@ -449,22 +451,28 @@ def _with_gates(classes: DataFrame) -> DataFrame:
 
 def gate(classes: DataFrame, candidates: DataFrame, out: Written, num: int, den: int, sides: bool) -> DataFrame:
     """The candidates that can still reach the threshold by their parities in GATE cells, with ``sides`` those of a held-out and a training row; written as "gated"."""
-    gated = _with_gates(among(classes, candidates))
+    gated = out.table(_with_gates(among(classes.select("t", "id", "n", "n_held", "words"), candidates)), "gates")
     gates = gated.columns[5:]
     a, b = (gated.select("t", F.col("id").alias(f"id_{c}"), F.struct(*gated.columns[2:]).alias(c)) for c in "ab")
     differ = sum((F.bit_count(F.col(f"a.{g}").bitwiseXOR(F.col(f"b.{g}"))) for g in gates), F.lit(0))
     both = candidates.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).where(differ * (den + num) <= (den - num) * (F.col("a.size") + F.col("b.size")))
     if sides:
         both = both.where("(a.n_held > 0 and b.n_held < b.n) or (b.n_held > 0 and a.n_held < a.n)")
-    return out.table(both.select("t", "id_a", "id_b", "collisions"), "gated")
+    left = out.table(both.select(*candidates.columns), "gated")
+    out.drop("gates")
+    return left
 
 
-def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT) -> DataFrame:
-    """(t, id_a, id_b, shared, collisions): pairs of records with similarity of at least num/den.
+def counted(classes: DataFrame, pairs: DataFrame, out: Written, num: int, den: int) -> DataFrame:
+    """The pairs whose sets share enough words, with ``shared``."""
+    met = out.table(among(classes.select("t", "id", "words"), pairs), "candidate_words")
+    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("words").alias(f"w_{c}")) for c in "ab")
+    both = pairs.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
+    return both.where(F.col("shared") * (num + den) >= num * (F.size("w_a") + F.size("w_b"))).select(*pairs.columns, "shared")
 
-    ``classes`` is (t, id, words, ...), ids unique within t; it is read several times and should be a
-    written table. With ``sides``, only pairs of a record with held-out rows and one with training rows (of columns n and n_held).
-    """
+
+def word_postings(classes: DataFrame, num: int, den: int, sides: bool) -> DataFrame:
+    """The postings of all records under the coordinates of their words."""
     sketch = sketch_of(classes)
     if sides:  # values of held-out records; training records have to meet one
         held = classes.where("n_held > 0")
@@ -472,9 +480,18 @@ def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10,
         tables = BitTable.of(values(held, sketch, num, den, False), 8 * n), BitTable.of(values(held, sketch, num, den, True), 2 * n)
     else:
         tables = BitTable.of(values(classes, sketch, num, den, True), 2 * sketch.records), None
-    candidates = collide(postings(classes, sketch, num, den, *tables), out, num, den, hot)
+    return postings(classes, sketch, num, den, *tables)
+
+
+def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
+    """(t, id_a, id_b, shared, collisions, chunks): pairs of records with similarity of at least num/den.
+
+    ``classes`` is (t, id, words, n, n_held, ...), ids unique within t; it is read several times and should be a
+    written table. With ``sides``, only pairs of a record with held-out rows and one with training rows. ``more`` postings
+    are joined with those of the words.
+    """
+    posts = word_postings(classes, num, den, sides)
+    candidates = collide(posts if more is None else posts.unionByName(more), out, num, den, hot)
     left = gate(classes, candidates, out, num, den, sides)
-    met = among(classes.select("t", "id", "words"), left)
-    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("words").alias(f"w_{c}")) for c in "ab")
-    counted = left.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
-    return counted.where(F.col("shared") * (num + den) >= num * (F.size("w_a") + F.size("w_b"))).select("t", "id_a", "id_b", "shared", "collisions")
+    out.drop("candidates")
+    return counted(classes, left, out, num, den)

@@ -6,9 +6,9 @@ are joined across the splits, and the lengths of the shared chunks, summed, over
 *Common chunks.* A digest that more than MANY held-out records have is posted with its next chunk, and so on to DEPTH chunks, so no
 pair of long lists is made of common phrases; records of few words post it alone too. What is still long is split into blocks (``near``).
 *Check.* A pair of records that share a chunk is kept if it is a copy or near by the sets of words.
-*Rest.* A pair may be near by its words and share no chunk: words were moved, or each chunk holds an edit. Chunks find 7,276 of the 7,278
-pairs of different texts in a corpus of 778,000; since no link may be lost, the join of problem 2 on words, posted across the splits,
-gives the others. ``p5_overlaps`` says of each pair whether chunks or words found it, and ``p5_paths`` counts them.
+*Rest.* A pair may be near by its words and share no chunk: words were moved, or each chunk holds an edit. Chunks find 7,274 of the 7,278
+pairs of different texts in a corpus of 778,000; since no link may be lost, the lists of problem 2's coordinates, posted across the splits,
+are merged in the same join and give the others. ``p5_overlaps`` says of each pair whether chunks or words alone found it, and ``p5_paths`` counts them.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from skein.session import Written
 
 #: Words of the rolling hash, bits of it that are zero at a cut (a chunk has 2**CUT_BITS words on average), held-out
 #: records that may have a digest, chunks of a digest, and words of a record that posts common digests alone too.
-WINDOW, CUT_BITS, MANY, DEPTH, FEW = 1, 1, 150, 5, 8
+WINDOW, CUT_BITS, MANY, DEPTH, FEW = 1, 1, 150, 3, 8
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -46,7 +46,7 @@ def shape(rows: DataFrame) -> DataFrame:
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
         keep, digests, flat, ends = [], [], [], [0]
-        known: dict[str, int] = {}
+        known = near.WordHashes()
         for i, x in enumerate(b.column("text").to_pylist()):
             form = forms.visible_form(x)
             seq, key = keys.keys_of_form(form) if form else ("", "")
@@ -54,11 +54,7 @@ def shape(rows: DataFrame) -> DataFrame:
                 continue
             keep.append(i)
             digests.append(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")))
-            for w in keys.sequence_of(seq):
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = near.word_hash(w)
-                flat.append(h)
+            flat.extend(map(known.__getitem__, keys.sequence_of(seq)))
             ends.append(len(flat))
         hi, lo = digest_columns(digests)
         kept = pa.array(keep, pa.int32())
@@ -69,11 +65,18 @@ def shape(rows: DataFrame) -> DataFrame:
 
 
 def classes_of(shaped: DataFrame) -> DataFrame:
-    """One row per set of copies: (t, id, k_hi, k_lo, seq, n, n_held); copies may differ in the order of their fields, one order is taken."""
+    """One row per set of copies: (t, id, k_hi, k_lo, n, n_held, seq, words); copies may differ in the order of their fields, one order is taken."""
     g = shaped.groupBy("tab", "k_hi", "k_lo").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.sum(F.col("held").cast("long")).alias("n_held"), F.min("seq").alias("seq")
     )
-    return g.select((F.col("tab") == "train").cast("byte").alias("t"), "id", "k_hi", "k_lo", "seq", "n", "n_held")
+    names = ["t", "id", "k_hi", "k_lo", "n", "n_held", "seq"]
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        words, off = word_sets(*near.column_of_arrays(b, "seq"))
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words))], [*names, "words"])
+
+    rows = g.select((F.col("tab") == "train").cast("byte").alias("t"), *names[1:])
+    return map_batches(rows, one, "t byte, id bigint, k_hi bigint, k_lo bigint, n bigint, n_held bigint, seq array<int>, words array<int>")
 
 
 def _record_of(offsets: np.ndarray) -> np.ndarray:
@@ -143,11 +146,11 @@ def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable
     shared = classes.sparkSession.sparkContext.broadcast(tables)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        seq, offsets = near.column_of_arrays(b, "seq")
         if not b.num_rows:
             return near.posting_batch(b, [], [], [])
+        seq, offsets = near.column_of_arrays(b, "seq")
+        words, off = near.column_of_arrays(b, "words")
         t, flags = b.column("t").to_numpy(zero_copy_only=False), near.side_flags(b)
-        words, off = word_sets(seq, offsets)
         short = np.diff(off) <= few
         recs, keys_ = [], []
         for depth, (rare, common) in enumerate(shared.value, 1):
@@ -160,59 +163,34 @@ def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable
         # A chunk that a record repeats is posted once.
         _, once = np.unique(near.mix(key, rec.astype(np.uint64)), return_index=True)
         rec, key = rec[once], key[once]
-        key, tag = near.posting_columns(key, rec, near.parities(words, off)[0], np.diff(off), t, flags[rec] | np.uint64(near.MARK))
+        key, tag = near.posting_columns(key, rec, near.parities(words, off)[0], np.diff(off), t, flags[rec] | np.uint64(near.MARK | near.CHUNK))
         return near.posting_batch(b, [rec], [key], [tag])
 
-    return map_batches(classes.select("t", "id", "seq", "n", "n_held"), one, near.POSTING)
+    return map_batches(classes.select("t", "id", "seq", "words", "n", "n_held"), one, near.POSTING)
 
 
-def compared(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(t, id_a, id_b, o_a, o_b): of pairs with their sequences, those with similarity of num/den, and the parts of each record's words in shared chunks.
+def chunk_overlaps(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with sequences seq_a and seq_b as (t, id_a, id_b, path, o_a, o_b): the parts of each record's words that stand in shared chunks.
 
     Where no chunk is shared, it is the part of the different words.
     """
+    names = ["t", "id_a", "id_b", "path"]
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        n = b.num_rows
-        sets, cut = [], []
+        n, cut, size = b.num_rows, [], []
         for c in ("seq_a", "seq_b"):
             seq, offsets = near.column_of_arrays(b, c)
-            words, off = word_sets(seq, offsets)
-            sets.append((_record_of(off).astype(np.uint64) << np.uint64(32) | words.view(np.uint32).astype(np.uint64), np.diff(off)))
-            rec, digest, size = chunks(seq, offsets)
-            cut.append((rec, near.mix(digest, rec.astype(np.uint64)), size, np.diff(offsets)))
-        shared = np.bincount((np.intersect1d(sets[0][0], sets[1][0], assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=n)
-        near_ = shared * (num + den) >= num * (sets[0][1] + sets[1][1])
+            rec, digest, words = chunks(seq, offsets)
+            cut.append((rec, near.mix(digest, rec.astype(np.uint64)), words, np.diff(offsets)))
+            size.append(np.diff(word_sets(seq, offsets)[1]))
+        shared = b.column("shared").to_numpy(zero_copy_only=False)
         parts = []
-        for (rec, key, size, length), (_, other, _, _), (_, words) in zip(cut, cut[::-1], sets):
-            part = np.bincount(rec, np.where(np.isin(key, other), size, 0), minlength=n)[:n] / np.maximum(length, 1)
-            parts.append(np.where(part > 0, part, shared / np.maximum(words, 1)))
-        got = pa.RecordBatch.from_arrays([*(b.column(c) for c in ("t", "id_a", "id_b")), *(pa.array(x) for x in parts)], ["t", "id_a", "id_b", "o_a", "o_b"])
-        return got.filter(pa.array(near_))
-
-    return map_batches(pairs.select("t", "id_a", "id_b", "seq_a", "seq_b"), one, "t byte, id_a bigint, id_b bigint, o_a double, o_b double")
+        for (rec, key, words, length), (_, other, _, _), different in zip(cut, cut[::-1], size):
+            part = np.bincount(rec, np.where(np.isin(key, other), words, 0), minlength=n)[:n] / np.maximum(length, 1)
+            parts.append(pa.array(np.where(part > 0, part, shared / np.maximum(different, 1))))
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *parts], [*names, "o_a", "o_b"])
 
-
-def chunk_pairs(classes: DataFrame, words: DataFrame, out: Written, num: int = 7, den: int = 10, hot: int = near.HOT, many: int = MANY) -> DataFrame:
-    """(t, id_a, id_b, o_a, o_b): classes of a held-out and a training row that share a chunk and are near, with their overlap fractions."""
-    tables = held_tables(classes.where("n_held > 0"), out, many)
-    candidates = near.collide(postings(classes, tables), out, num, den, hot)
-    return with_overlaps(classes, near.gate(words, candidates, out, num, den, True), num, den)
-
-
-def with_overlaps(classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    met = near.among(classes.select("t", "id", "seq"), pairs)
-    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("seq").alias(f"seq_{c}")) for c in "ab")
-    return compared(pairs.select("t", "id_a", "id_b").join(a, ["t", "id_a"]).join(b, ["t", "id_b"]), num, den)
-
-
-def _with_words(classes: DataFrame) -> DataFrame:
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        words, off = word_sets(*near.column_of_arrays(b, "seq"))
-        arrays = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words)) if c == "words" else b.column(c) for c in ("t", "id", "words", "n", "n_held")]
-        return pa.RecordBatch.from_arrays(arrays, ["t", "id", "words", "n", "n_held"])
-
-    return map_batches(classes.select("t", "id", "seq", "n", "n_held"), one, "t byte, id bigint, words array<int>, n bigint, n_held bigint")
+    return map_batches(pairs.select(*names, "shared", "seq_a", "seq_b"), one, "t byte, id_a bigint, id_b bigint, path string, o_a double, o_b double")
 
 
 def _tab(t: str) -> str:
@@ -220,21 +198,21 @@ def _tab(t: str) -> str:
 
 
 def class_overlaps(rows: DataFrame, out: Written, num: int, den: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, classes, pairs of classes with o_a, o_b and the ``path`` that found them); all written."""
+    """(members, classes, pairs of classes (t, a, b, o_a, o_b, path)); a and b are (k_hi, k_lo, n, n_held). All are written."""
     shaped = out.table(shape(rows), "shaped")
     classes = out.table(classes_of(shaped), "classes")
     members = out.table(shaped.drop("seq"), "members")
     out.drop("shaped")
-    words = out.table(_with_words(classes), "words")
-    found = out.table(chunk_pairs(classes, words, out, num, den, hot), "by_chunks")
-    out.drop("candidates")
+    tables = held_tables(classes.where("n_held > 0"), out)
+    found = near.near_classes(classes, out, num, den, sides=True, hot=hot, more=postings(classes, tables))
+    path = F.when(F.col("chunks") > 0, "chunks").otherwise("words").alias("path")
+    links = out.table(found.select("t", "id_a", "id_b", "shared", path), "links")
     out.drop("gated")
-    near_ = out.table(near.near_classes(words, out, num, den, sides=True, hot=hot).select("t", "id_a", "id_b"), "by_words")
-    rest = with_overlaps(classes, near_.join(found, ["t", "id_a", "id_b"], "left_anti"), num, den)
-    pairs = out.table(found.withColumn("path", F.lit("chunks")).unionByName(rest.withColumn("path", F.lit("words"))), "class_pairs")
-    for name in ("candidates", "gated", "words", "by_words", "by_chunks"):
-        out.drop(name)
-    return members, classes, pairs
+    met = out.table(near.among(classes.select("t", "id", "seq", "k_hi", "k_lo", "n", "n_held"), links), "linked")
+    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("seq").alias(f"seq_{c}")) for c in "ab")
+    parts = chunk_overlaps(links.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]))
+    a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.struct("k_hi", "k_lo", "n", "n_held").alias(c)) for c in "ab")
+    return members, classes, out.table(parts.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).select("t", "a", "b", "o_a", "o_b", "path"), "class_pairs")
 
 
 def overlaps(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HOT) -> DataFrame:
@@ -245,10 +223,7 @@ def overlaps(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HOT)
     of a class of copies are paired.
     """
     out = Written(rows.sparkSession, "p5")
-    members, classes, pairs = class_overlaps(rows, out, num, den, hot)
-    met = near.among(classes.select("t", "id", "k_hi", "k_lo", "n", "n_held"), pairs)
-    of = lambda c: met.select("t", F.col("id").alias(f"id_{c}"), F.struct("k_hi", "k_lo", "n", "n_held").alias(c))
-    near_ = pairs.join(of("a"), ["t", "id_a"]).join(of("b"), ["t", "id_b"]).select("t", "a", "b", "o_a", "o_b", "path")
+    members, classes, near_ = class_overlaps(rows, out, num, den, hot)
     one = F.lit(1.0)
     same = classes.where("n_held > 0 and n_held < n").select("t", F.struct("k_hi", "k_lo", "n", "n_held").alias("a"), one.alias("o_a"), one.alias("o_b"), F.lit("copies").alias("path")).withColumn("b", F.col("a"))
     either = near_.unionByName(near_.select("t", F.col("b").alias("a"), F.col("a").alias("b"), F.col("o_b").alias("o_a"), F.col("o_a").alias("o_b"), "path")).unionByName(same)

@@ -42,18 +42,18 @@ def digest_columns(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
 HOT, MOST_HOT = 20_000, 200_000
 
 
-def salt_join(rows: DataFrame, small: DataFrame, keys: list[str], id_col: str, n_col: str, total: int, hot: int = HOT, counts: DataFrame | None = None) -> DataFrame:
+def salt_join(rows: DataFrame, small: DataFrame, keys: list[str], id_col: str, n_col: str, total: int, hot: int = HOT, part: int = HOT, *, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``small`` on ``keys``, where ``small.n_col`` counts the rows of the key among ``total``.
 
-    The rows of a hot key are spread over parts of about ``hot`` rows by their id, and the rows of ``small`` with that
-    key copied to each part, so a task gets some ``hot`` rows of a key, however many it has. Only the hot keys are
+    The rows of a hot key are spread over parts of about ``part`` rows by their id, and the rows of ``small`` with that
+    key copied to each part, so a task gets some ``part`` rows of a key, however many it has. Only the hot keys are
     broadcast: since each has more than total / MOST_HOT rows, there are fewer than MOST_HOT of them. They are read from ``counts``
     (keys, n_col) where that is given and cheaper than ``small``.
     """
     is_hot = F.col(n_col) > max(hot, total // MOST_HOT)
-    parts = F.ceil(F.col(n_col) / hot).cast("int")
+    parts = F.ceil(F.col(n_col) / part).cast("int")
     hot_keys = (small if counts is None else counts).where(is_hot).groupBy(*keys).agg(F.max(parts).alias("_parts"))
     spread = small.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(-1)))))
-    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).otherwise(F.lit(-1))
-    marked = rows.join(F.broadcast(hot_keys), keys, "left").withColumn("_part", part).drop("_parts")
+    at = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).otherwise(F.lit(-1))
+    marked = rows.join(F.broadcast(hot_keys), keys, "left").withColumn("_part", at).drop("_parts")
     return marked.join(spread, [*keys, "_part"]).drop("_part")

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from skein.llm import p6_unsafe as p6
 from skein.llm.p3_types import FUNCTIONS, TYPES, learn, statistics, typed, votes
-from skein.llm.p7_tokens import concatenate, encoding, join, token_ids
+from skein.llm.p7_tokens import concatenate, encoding, join, token_ids, token_joins
 from skein.llm.p8_mix import Plan, mix, pfair
 from skein.llm.p9_sentences import sentences, units
 
@@ -134,7 +134,7 @@ def test_plan_respects_caps():
     assert plan.want == {"a": 500, "b": 200} and plan.slots == 70
 
 
-def testnear.mix(spark):
+def test_mix(spark):
     docs = spark.createDataFrame([(i, "an owl by the lamp " * (1 + i % 3), "a" if i % 4 else "b") for i in range(80)] + [(900, None, "a"), (901, "", "b"), (902, "x", None)], "doc_id bigint, text string, source string")
     weights = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 3), ("none", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     uses, shares = mix(docs, weights, block=20)
@@ -184,3 +184,10 @@ def test_units_of_rows(spark):
     got = units(docs).groupBy("doc_id").count().collect()
     assert {r.doc_id for r in got} == {1, 3} and {r.doc_id: r["count"] for r in got}[1] == 2
     assert units(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_joined(spark):
+    long = "ein un split" * 400 + "x" * 5_000 + " <|endoftext|>" + "山川é \n\n" * 900
+    docs = spark.createDataFrame([(1, "An owl"), (2, None), (3, ""), (4, long)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_tokens, r.joins) for r in token_joins(docs).collect()}
+    assert got[4][0] == len(encoding().encode_ordinary(long)) and got[4][1] >= len(long) // 1_000 and got[1][1] == got[2][1] == got[3][0] == 0
