@@ -80,11 +80,19 @@ class BitTable:
     @classmethod
     def of(cls, values: DataFrame, expected: int) -> BitTable:
         """Built from a column ``key`` of about ``expected`` 64-bit values; the words of 64 bits that hold one come to the driver."""
-        bits = min(cls.MOST_BITS, max(cls.LEAST_BITS, (expected * cls.PER_VALUE).bit_length()))
+        bits = cls.bits_for(expected)
         slot = f"shiftrightunsigned(key, {64 - bits})"
         got = values.groupBy(F.expr(f"cast(shiftright({slot}, 6) AS int)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({slot} & 63 AS INT)))").alias("bits")).toArrow()
+        return cls.filled(bits, got["at"].to_numpy(), got["bits"].to_numpy())
+
+    @classmethod
+    def bits_for(cls, expected: int) -> int:
+        return min(cls.MOST_BITS, max(cls.LEAST_BITS, (expected * cls.PER_VALUE).bit_length()))
+
+    @classmethod
+    def filled(cls, bits: int, at: np.ndarray, words: np.ndarray) -> BitTable:
         table = np.zeros(1 << (bits - 6), np.uint64)
-        table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+        table[at] = words.view(np.uint64)
         return cls(bits, table.view(np.uint8))
 
     def has(self, key: np.ndarray) -> np.ndarray:
@@ -423,9 +431,19 @@ def collide(posts: DataFrame, out: Written, num: int, den: int, hot: int = HOT)
     return got
 
 
+#: Ids that may be broadcast as they are (some 12 MB).
+MOST_IDS = 500_000
+
+
 def among(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The classes that are in a pair (t, id_a, id_b), and a few more: a bit table spares the others the shuffle."""
+    """The classes that are in a pair (t, id_a, id_b), and a few more, without a shuffle of the others.
+
+    Up to MOST_IDS ids are broadcast; of more, a bit table is, in which some others are found too.
+    """
     ids = pairs.select("t", F.explode(F.array("id_a", "id_b")).alias("id")).select(F.xxhash64("t", "id").alias("key"))
+    each = ids.distinct()
+    if each.count() <= MOST_IDS:
+        return classes.join(F.broadcast(each), F.xxhash64("t", "id") == F.col("key"), "left_semi")
     table = classes.sparkSession.sparkContext.broadcast(BitTable.of(ids, 2 * pairs.count()))
     wide = classes.select(F.xxhash64("t", "id").alias("slot"), *classes.columns)
 

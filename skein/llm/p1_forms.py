@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import forms
-from skein.llm.records import digest_columns, map_batches, salt_join, texts
+from skein.llm.records import all_texts, digest_columns, map_batches, salt_join, texts
 from skein.session import Written
 
 FORM = ["tab", "f_hi", "f_lo"]
@@ -107,7 +107,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_form(texts(spark, sf_dir))
+    return with_form(all_texts(spark, sf_dir))
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 from skein.llm import forms
 from skein.llm.keys import HAN_KANA, MARKS
-from skein.llm.records import read, texts
+from skein.llm.records import all_texts, read, texts
 from skein.session import Written
 
 TYPES = ("prose", "list", "table", "junk")
 STATS = (
-    "n_chars", "n_lines", "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "marker_share", "short_share",
+    "n_chars", "n_lines", "n_words", "mean_word_len", "symbol_ratio", "digit_ratio", "end_punct_share", "common_share", "marker_share", "marker_chars", "short_share",
     "cell_share", "n_cells", "number_share", "top_word_share", "markup_share", "mojibake_share", "code_word_share", "mash_share", "long_word_share", "labelled",
 )
 
@@ -37,6 +38,7 @@ _number = re.compile(r"^[+-]?\d+(?:[.,]\d+)*%?$")
 _markup = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|&[a-z]{2,8};|&#\d+;|\{\{|\}\}|\[/?[a-z]+(?:=[^\]]*)?\]")
 _mojibake = re.compile(r"[ÃÂÅÐÑ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œž¡-¿]|â€.?|ï»¿|�")
 _code = re.compile(r"^(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{6,64}$")
+_coded = re.compile(r"^(?=.*[a-z])(?=.*[A-Z])(?=(?:[^0-9]*[0-9]){2})[A-Za-z0-9+/]+={0,2}$")
 _label = re.compile(r"^\s*[\"'{]*[^\W\d_][\w ]{0,24}[\"']?\s*[:=]\s*\S")
 _rule = re.compile(r"^[\s|:+=_-]+$")
 _han = re.compile(f"[{HAN_KANA}]")
@@ -46,6 +48,12 @@ _latin = re.compile(r"^[a-zß-ÿ']+$")
 _cells = (re.compile(r"\t"), re.compile(r"\s*\|\s*"), re.compile(r";"), re.compile(r"\s{2,}"), re.compile(r",(?=\S)"))
 
 
+@lru_cache(maxsize=4)
+def _han_words(common: frozenset[str]) -> tuple[str, ...]:
+    """The common words in Han or kana, which stand in a text without blanks around."""
+    return tuple(sorted(w for w in common if _han.search(w)))
+
+
 def _columns(raw: list[str]) -> tuple[float, int]:
     """(share of lines that have the same number of cells, that number), for the separator that fits best."""
     best = (0.0, 0)
@@ -62,8 +70,9 @@ def _columns(raw: list[str]) -> tuple[float, int]:
     return best
 
 
-def statistics(text: str | None, common: set[str]) -> list[float]:
+def statistics(text: str | None, common: frozenset[str] | set[str]) -> list[float]:
     """The STATS of a text, in order. Null and blank texts have zeros."""
+    common = frozenset(common)
     raw = [x for x in (text or "").splitlines() if x.strip()]
     lines = [y for x in raw if (y := forms.visible_form(x))]
     if not lines:
@@ -79,6 +88,7 @@ def statistics(text: str | None, common: set[str]) -> list[float]:
     tokens = one.split()
     han = bool(_han.search(one))
     many = len(lines) > 2
+    marked = [x for x in lines if _marker.match(x)]
     rows = [x.replace("　", "  ").replace(" ", " ") for x in raw if not _rule.match(x)] if many else []
     share, cells = _columns(rows)
     parts = [c for x in rows for c in re.split(r"[\t|;,=]|\s{2,}", x) if c.strip()] if share > 0.5 else []
@@ -91,8 +101,8 @@ def statistics(text: str | None, common: set[str]) -> list[float]:
         n, len(lines), len(words), sum(map(len, words)) / max(1, len(words)),
         (n - letters - digits - marks - blanks) / n, digits / n,
         sum(x[-1] in ",.!?…。！？।؟;:»”」\"" for x in lines) / len(lines),
-        sum(w in common for w in low) / max(1, len(low)) if not han else sum(map(one.count, ("的", "在", "の", "が", "を", "与", "に", "で", "と", "は", "笔", "为"))) / max(1, n),
-        sum(bool(_marker.match(x)) for x in lines) / len(lines),
+        sum(w in common for w in low) / max(1, len(low)) if not han else sum(map(one.count, _han_words(common))) / n,
+        len(marked) / len(lines), sum(map(len, marked)) / n,
         sum(k <= 7 for k in per_line) / len(lines) if many else 0.0,
         share, cells, sum(bool(_number.match(c.strip())) for c in parts) / max(1, len(parts)),
         top / len(low) if len(low) > 5 else 0.0,
@@ -100,29 +110,31 @@ def statistics(text: str | None, common: set[str]) -> list[float]:
         2 * len(_mojibake.findall(one)) / max(1, len(tokens)),
         sum(bool(_code.match(w)) for w in tokens) / len(tokens),
         mash / max(1, len(latin)),
-        sum(len(w) for w in tokens if len(w) > 30 and re.search(r"[a-z].*[A-Z].*\d|\d.*[a-z].*[A-Z]|[A-Z].*\d.*[a-z]", w) and not re.search(r"[\"':/]", w) and not _han.search(w)) / n,
+        sum(len(w) for w in tokens if len(w) > 30 and _coded.match(w)) / n,
         float(sum(bool(_label.match(x)) for x in lines) / len(lines) > 0.7 and (share < 0.8 or cells < 3)),
     ]
 
 
 # A labelling function: the type it votes for, and the condition on the statistics (s) under which it does.
 FUNCTIONS = (
-    ("list", lambda s: s["marker_share"] >= 0.6 and s["n_lines"] >= 3),
-    ("list", lambda s: s["marker_share"] >= 0.75 and s["n_lines"] >= 2),
+    ("list", lambda s: s["marker_share"] >= 0.6 and s["marker_chars"] >= 0.5 and s["n_lines"] >= 3),
+    ("list", lambda s: s["marker_share"] >= 0.75 and s["marker_chars"] >= 0.5 and s["n_lines"] >= 2),
     ("list", lambda s: s["n_lines"] >= 4 and s["short_share"] >= 0.85 and s["symbol_ratio"] < 0.35 and s["cell_share"] < 0.7 and not s["labelled"] and s["end_punct_share"] < 0.4),
     ("table", lambda s: s["n_lines"] >= 3 and s["cell_share"] >= 0.75 and s["n_cells"] >= 3),
     ("table", lambda s: s["n_lines"] >= 3 and s["cell_share"] >= 0.75 and s["number_share"] >= 0.15),
     ("table", lambda s: s["n_lines"] >= 3 and s["cell_share"] >= 0.9 and s["end_punct_share"] < 0.5 and s["marker_share"] < 0.5),
+    ("table", lambda s: s["n_lines"] >= 4 and s["cell_share"] >= 0.6 and s["n_cells"] >= 3 and s["end_punct_share"] < 0.4 and s["marker_share"] < 0.5),
     ("junk", lambda s: s["symbol_ratio"] >= 0.35),
     ("junk", lambda s: s["top_word_share"] >= 0.5),
     ("junk", lambda s: s["markup_share"] >= 0.3),
     ("junk", lambda s: s["mojibake_share"] >= 0.4),
     ("junk", lambda s: s["code_word_share"] >= 0.5 and s["n_words"] >= 2),
-    ("junk", lambda s: s["mash_share"] >= 0.5 and s["n_words"] >= 4),
+    ("junk", lambda s: s["mash_share"] >= 0.4 and s["n_words"] >= 4),
     ("junk", lambda s: s["long_word_share"] >= 0.5),
-    ("prose", lambda s: s["common_share"] >= 0.05 and s["symbol_ratio"] < 0.3 and s["mash_share"] < 0.4 and s["mojibake_share"] < 0.2 and s["marker_share"] < 0.5 and s["cell_share"] < 0.75),
+    ("prose", lambda s: s["common_share"] >= 0.05 and s["symbol_ratio"] < 0.3 and s["mash_share"] < 0.4 and s["mojibake_share"] < 0.2 and s["marker_chars"] < 0.5 and s["cell_share"] < 0.75),
     ("prose", lambda s: s["n_lines"] <= 2 and s["symbol_ratio"] < 0.3 and s["markup_share"] < 0.1 and s["top_word_share"] < 0.3 and s["code_word_share"] < 0.3 and s["mash_share"] < 0.4 and s["mojibake_share"] < 0.2 and s["long_word_share"] < 0.3),
     ("prose", lambda s: bool(s["labelled"])),
+    ("prose", lambda s: 0 < s["marker_chars"] < 0.4 and s["cell_share"] < 0.6 and s["symbol_ratio"] < 0.2),
     ("prose", lambda s: s["n_lines"] >= 1 and s["end_punct_share"] >= 0.6 and s["marker_share"] < 0.4 and s["symbol_ratio"] < 0.2 and s["mash_share"] < 0.4),
 )
 
@@ -173,7 +185,7 @@ def learn(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> TypeMo
     return model
 
 
-def with_statistics(rows: DataFrame, common: set[str]) -> DataFrame:
+def with_statistics(rows: DataFrame, common: frozenset[str]) -> DataFrame:
     """(tab, id, one column for each of STATS, pattern) of each row."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
@@ -194,7 +206,7 @@ def typed(rows: DataFrame, common_words: DataFrame) -> DataFrame:
     Null and blank texts have zero statistics and type null. ``common_words`` is a fixed small table.
     """
     out = Written(rows.sparkSession, "p3")
-    common = {r.word.lower() for r in common_words.where("word is not null").select("word").distinct().collect()}
+    common = frozenset(r.word.lower() for r in common_words.where("word is not null").select("word").distinct().collect())
     stats = out.table(with_statistics(rows, common), "statistics")
     got = stats.where("n_lines > 0").groupBy("pattern").count().toPandas()
     model = learn(got["pattern"].to_numpy(), got["count"].to_numpy().astype(float))
@@ -205,11 +217,11 @@ def typed(rows: DataFrame, common_words: DataFrame) -> DataFrame:
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed(texts(spark, sf_dir), read(spark, sf_dir, "common_words"))
+    return typed(all_texts(spark, sf_dir), read(spark, sf_dir, "common_words"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p3_statistics(spark, sf_dir).where("type in ('list', 'table', 'junk')").select("tab", "id")
+    return typed(texts(spark, sf_dir), read(spark, sf_dir, "common_words")).where("type in ('list', 'table', 'junk')").select("tab", "id")
 
 
 QUERIES = {"p3_found": p3_found, "p3_statistics": p3_statistics}

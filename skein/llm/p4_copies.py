@@ -1,9 +1,9 @@
 """Problem 4: copies hidden by layout, by radix partitioning on canonical bytes and tries that count.
 
 The canonical bytes of a text are its copy key (see ``keys``). Buckets are prefixes of these bytes: a
-bucket with too many bytes in it is split by further bytes until each fits; hot keys can't be split
+bucket with more than BUCKET_BYTES in it, however large the corpus, is split by further bytes until each fits; hot keys can't be split
 by bytes, so equal keys are folded in each batch before they are shuffled, and a bucket counts its
-folded entries. Each bucket's trie holds, at the end of a key, the counter and the smallest id.
+folded entries. The prefixes that are too large stand in a written table for each round, joined with the keys. Each bucket's trie holds, at the end of a key, the counter and the smallest id.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from skein.llm.records import digest_columns, map_batches, salt_join, texts
 from skein.session import Written
 
 CLASS = ["tab", "k_hi", "k_lo"]
-#: Bytes a bucket may hold before it is split, and the bytes of the first round's prefix. A bucket may
-#: always hold one in MOST_SPLIT of all bytes, so no round brings more than MOST_SPLIT prefixes to the driver.
-BUCKET_BYTES, STEP, MOST_SPLIT = 16 << 20, 2, 100_000
+#: Bytes a bucket may hold before it is split, the bytes of the first round's prefix, and the bytes of prefixes that may be broadcast.
+BUCKET_BYTES, STEP, MOST_BROADCAST = 16 << 20, 2, 8 << 20
 
 
 class CountingTrie:
@@ -105,29 +104,37 @@ def fold(rows: DataFrame) -> DataFrame:
     return map_batches(rows, one, "tab string, k binary, k_hi bigint, k_lo bigint, id bigint, n bigint")
 
 
-def radix_bucket(folded: DataFrame, bucket_bytes: int = BUCKET_BYTES, step: int = STEP) -> Column:
-    """The bucket of a key: its shortest prefix, of ``step``, 2 * ``step``, 4 * ``step`` ... bytes, whose bucket fits.
+def too_large(keyed: DataFrame, out: Written, bucket_bytes: int = BUCKET_BYTES, step: int = STEP) -> list[tuple[int, DataFrame]]:
+    """For prefixes of ``step``, 2 * ``step``, 4 * ``step`` ... bytes, (length, (p)) of those whose bucket is too large, up to the length at which all fit.
 
-    Each round counts the bytes under the prefixes of one length, among the keys whose shorter prefix
-    was too large, and brings only the prefixes that are too large to the driver, at most MOST_SPLIT. A key that ends within its prefix is in the bucket of that prefix, so the
-    rounds end when only single keys are left in the buckets that are too large.
+    Each round adds the bytes under the prefixes of one length, among the keys whose shorter prefix
+    was too large. A key that ends within its prefix is in the bucket of that prefix, so the
+    rounds end when only single keys are left in the buckets that are too large. Only the number of such prefixes comes to the driver.
     """
-    bucket = None
-    total = folded.agg(F.sum(F.length("k") + 24)).first()[0] or 0
-    bucket_bytes = max(bucket_bytes, total // MOST_SPLIT)
-    under, length, over = folded, step, []
+    under, length, found = keyed.select("k", "k_hi"), step, []
     while True:
-        prefix = F.substring("k", 1, length)
-        sums = under.groupBy(prefix.alias("p")).agg(F.sum(F.length("k") + 24).alias("bytes"), F.min("k_hi").alias("a"), F.max("k_hi").alias("b"))
-        large = [bytes(r.p) for r in sums.where((F.col("bytes") > bucket_bytes) & (F.col("a") != F.col("b"))).select("p").collect()]
-        over.append((prefix, large))
-        if not large:
-            break
-        under = under.where(prefix.isin(large))
+        sums = under.groupBy(F.substring("k", 1, length).alias("p")).agg(F.sum(F.length("k") + 24).alias("bytes"), F.min("k_hi").alias("a"), F.max("k_hi").alias("b"))
+        large = out.table(sums.where((F.col("bytes") > bucket_bytes) & (F.col("a") != F.col("b"))).select("p"), f"large_{length}")
+        n = large.count()
+        if not n:
+            return found
+        large = F.broadcast(large) if n * length <= MOST_BROADCAST else large
+        found.append((length, large))
+        under = under.join(large, F.substring("k", 1, length) == F.col("p"), "left_semi")
         length *= 2  # further bytes, twice as many each round: texts with long common beginnings take few rounds
-    for prefix, large in reversed(over):
-        bucket = prefix if bucket is None else F.when(prefix.isin(large), bucket).otherwise(prefix)
-    return bucket
+
+
+def radix_bucket(rows: DataFrame, large: list[tuple[int, DataFrame]], step: int = STEP) -> DataFrame:
+    """``rows`` with ``bucket``: the shortest prefix of the key whose bucket fits."""
+    bucket: Column = F.substring("k", 1, 2 * large[-1][0] if large else step)
+    marks = []
+    for length, table in large:
+        mark = f"_large_{length}"
+        rows = rows.join(table.select(F.col("p").alias(f"_p_{length}"), F.lit(True).alias(mark)), F.substring("k", 1, length) == F.col(f"_p_{length}"), "left")
+        marks.append((length, mark))
+    for length, mark in reversed(marks):
+        bucket = F.when(F.col(mark), bucket).otherwise(F.substring("k", 1, length))
+    return rows.withColumn("bucket", bucket).drop(*(m for _, m in marks), *(f"_p_{n}" for n, _ in marks))
 
 
 def count_in_tries(bucketed: DataFrame, least: int = 2) -> DataFrame:
@@ -165,10 +172,9 @@ def copy_classes(rows: DataFrame, out: Written, bucket_bytes: int = BUCKET_BYTES
     The first is (tab, id, k_hi, k_lo), the second (tab, k_hi, k_lo, id, n) with the smallest id.
     """
     keyed = out.table(with_key(rows), "keyed")
-    folded = fold(keyed)
-    bucket = radix_bucket(keyed.select("k", "k_hi"), bucket_bytes)
+    large = too_large(keyed, out, bucket_bytes)
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = folded.select("tab", "k", "id", "n", bucket.alias("bucket")).repartition(int(parts), "bucket").sortWithinPartitions("bucket")
+    placed = radix_bucket(fold(keyed).select("tab", "k", "id", "n"), large).select("tab", "k", "id", "n", "bucket").repartition(int(parts), "bucket").sortWithinPartitions("bucket")
     return keyed.select("tab", "id", "k_hi", "k_lo"), out.table(count_in_tries(placed, least), "classes")
 
 

@@ -13,6 +13,8 @@ are merged in the same join and give the others. ``p5_overlaps`` says of each pa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,8 +26,9 @@ from skein.llm.records import digest_columns, map_batches, read, salt_join
 from skein.session import Written
 
 #: Words of the rolling hash, bits of it that are zero at a cut (a chunk has 2**CUT_BITS words on average), held-out
-#: records that may have a digest, chunks of a digest, and words of a record that posts common digests alone too.
-WINDOW, CUT_BITS, MANY, DEPTH, FEW = 1, 1, 150, 3, 8
+#: records that may have a digest, chunks of a digest, words of a record that
+#: posts common digests alone too, and words of one whose repeated chunks are sought.
+WINDOW, CUT_BITS, MANY, DEPTH, FEW, REPEATS = 1, 1, 150, 3, 8, 64
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -97,7 +100,7 @@ def chunks(seq: np.ndarray, offsets: np.ndarray, window: int = WINDOW, cut_bits:
     rolling = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for back in range(window):  # sum of base**back * word, over the words of the window that are in the record
-            of = np.concatenate([np.zeros(back, np.uint64), words[: n - back]])
+            of = np.concatenate([np.zeros(min(back, n), np.uint64), words[: max(0, n - back)]])
             of[np.arange(n) - offsets[rec] < back] = 0
             rolling += of * np.uint64(pow(BASE, back, 1 << 64))
     last = np.zeros(n, bool)
@@ -109,36 +112,39 @@ def chunks(seq: np.ndarray, offsets: np.ndarray, window: int = WINDOW, cut_bits:
     return rec[first], np.add.reduceat(near.mix(words, at.astype(np.uint64)), first) if n else np.zeros(0, np.uint64), size
 
 
-def digests(t: np.ndarray, seq: np.ndarray, offsets: np.ndarray, tables: list[tuple[near.BitTable, near.BitTable]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(record, value) of the digests of ``depth`` chunks in reading order, whose shorter ones were common by ``tables``: (rare, common) of each depth."""
+def digests(t: np.ndarray, seq: np.ndarray, offsets: np.ndarray, most: int, tables: list[tuple[near.BitTable, near.BitTable]] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, record, value) of the digests of 1 to ``most`` chunks in reading order; with ``tables``, only those whose shorter ones are common."""
     rec, digest, _ = chunks(seq, offsets)
     key, at = near.mix(digest, t[rec].astype(np.uint64)), np.arange(len(rec))
-    for d in range(1, depth):
-        hot = tables[d - 1][1].has(key)
-        at, key = at[hot], key[hot]
-        to = np.minimum(at + d, len(rec) - 1)
-        on = (at + d < len(rec)) & (rec[to] == rec[at])
+    for depth in range(1, most + 1):
+        yield depth, rec[at], key
+        if tables:
+            hot = tables[depth - 1][1].has(key)
+            at, key = at[hot], key[hot]
+        to = np.minimum(at + depth, len(rec) - 1)
+        on = (at + depth < len(rec)) & (rec[to] == rec[at])
         at, key = at[on], near.mix(key[on], digest[to[on]])
-    return rec[at], key
 
 
 def held_tables(held: DataFrame, out: Written, many: int = MANY, most: int = DEPTH) -> list[tuple[near.BitTable, near.BitTable]]:
     """For digests of 1 to ``most`` chunks, those of held-out records that are rare and those that are common, as bit tables."""
-    tables: list[tuple[near.BitTable, near.BitTable]] = []
-    spark = held.sparkSession
-    for depth in range(1, most + 1):
-        shared = spark.sparkContext.broadcast((tables, depth))
 
-        def one(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            seq, offsets = near.column_of_arrays(b, "seq")
-            _, key = digests(b.column("t").to_numpy(zero_copy_only=False), seq, offsets, *shared.value)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
-
-        counted = out.table(map_batches(held.select("t", "seq"), one, "key bigint").groupBy("key").agg(F.count("*").alias("n")), f"digests_{depth}")
-        of = [counted.where(F.col("n") <= many), counted.where(F.col("n") > many)]
-        tables = [*tables, tuple(near.BitTable.of(x.select("key"), x.count()) for x in of)]
-        out.drop(f"digests_{depth}")
-    return tables
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        seq, offsets = near.column_of_arrays(b, "seq")
+        got = list(digests(b.column("t").to_numpy(zero_copy_only=False), seq, offsets, most))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(k), d, np.int8) for d, _, k in got])), pa.array(np.concatenate([k for *_, k in got]).view(np.int64))], ["depth", "key"])
+
+    found = map_batches(held.select("t", "seq"), one, "depth byte, key bigint").groupBy("depth", "key").agg(F.count("*").alias("n"))
+    counted = out.table(found.select("depth", "key", (F.col("n") > many).alias("common")), "digests")
+    sizes = {(r.depth, r.common): r.n for r in counted.groupBy("depth", "common").agg(F.count("*").alias("n")).collect()}
+    bits = {(d, c): near.BitTable.bits_for(sizes.get((d, c), 0)) for d in range(1, most + 1) for c in (False, True)}
+    cases = " ".join(f"WHEN depth = {d} AND {'common' if c else 'NOT common'} THEN {64 - n}" for (d, c), n in bits.items())
+    slot = counted.selectExpr("depth", "common", f"shiftrightunsigned(key, CASE {cases} END) AS slot")
+    words = slot.groupBy("depth", "common", F.expr("cast(shiftright(slot, 6) AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits")).toArrow()
+    depth, common, at, filled = (words[c].to_numpy() for c in ("depth", "common", "at", "bits"))
+    of = lambda d, c: (depth == d) & (common == c)
+    out.drop("digests")
+    return [tuple(near.BitTable.filled(bits[d, c], at[of(d, c)], filled[of(d, c)]) for c in (False, True)) for d in range(1, most + 1)]
 
 
 def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable]], few: int = FEW) -> DataFrame:
@@ -153,16 +159,17 @@ def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable
         t, flags = b.column("t").to_numpy(zero_copy_only=False), near.side_flags(b)
         short = np.diff(off) <= few
         recs, keys_ = [], []
-        for depth, (rare, common) in enumerate(shared.value, 1):
-            rec, key = digests(t, seq, offsets, shared.value, depth)
+        for depth, rec, key in digests(t, seq, offsets, len(shared.value), shared.value):
+            rare, common = shared.value[depth - 1]
             often = common.has(key)
             hit = (rare.has(key) & ~often) | (often & (short[rec] | (depth == len(shared.value))))
             recs.append(rec[hit])
             keys_.append(key[hit])
         rec, key = np.concatenate(recs), np.concatenate(keys_)
-        # A chunk that a record repeats is posted once.
-        _, once = np.unique(near.mix(key, rec.astype(np.uint64)), return_index=True)
-        rec, key = rec[once], key[once]
+        long = (np.diff(offsets) > REPEATS)[rec]
+        if long.any():  # a chunk that a long record repeats is posted once; in a short one it does no harm
+            _, once = np.unique(near.mix(key[long], rec[long].astype(np.uint64)), return_index=True)
+            rec, key = np.concatenate([rec[~long], rec[long][once]]), np.concatenate([key[~long], key[long][once]])
         key, tag = near.posting_columns(key, rec, near.parities(words, off)[0], np.diff(off), t, flags[rec] | np.uint64(near.MARK | near.CHUNK))
         return near.posting_batch(b, [rec], [key], [tag])
 

@@ -8,7 +8,7 @@ P(S >= x) = 1 - exp(-K n exp(-L x)), with L from the score distribution of safe
 The labels are noisy, so after each round the counts are taken again: of unsafe texts only the tokens of
 their significant segments. The level of significance is the one at which the labels are met best.
 
-The model is fitted on at most MAX_LABELLED labelled rows (those of smallest hash); the counts of the prior and the
+The model is fitted on at most MAX_LABELLED labelled rows (those of smallest hash) with at most MAX_BYTES of text; the counts of the prior and the
 scores cover all rows. Null and blank texts have score 0.
 """
 
@@ -22,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm import forms, keys
-from skein.llm.records import read, texts
+from skein.llm.records import all_texts, read, texts
 from skein.session import Written
 
-MAX_LABELLED, PRIOR, TOKEN_COST, ROUNDS = 40_000, 60.0, 0.8, 4
+MAX_LABELLED, MAX_BYTES, PRIOR, TOKEN_COST, ROUNDS = 40_000, 64 << 20, 60.0, 0.8, 4
 #: Bounds of a token's score, the pseudo-counts of a flag term for each unit of weight, the laxest level of significance,
 #: and the count of a token that no safe text has.
 LEAST, MOST, FLAG, LEVEL, UNMET = -2.5, 3.5, 0.5, 0.01, 0.3
@@ -154,16 +154,17 @@ def _calibrate(model: Model, safe: list[list[str]]) -> None:
     model.k = float(np.clip(np.median(math.log(2) * np.exp(model.lam * best) / n), 1e-4, 10.0))
 
 
-#: Near copies among the labelled texts are one witness: texts that share TWINS tokens of at most RARE texts each.
-RARE, TWINS = 15, 2
+#: Near copies among the labelled texts are one witness: texts that share TWINS tokens, each in at most one of ONE_IN texts of the corpus, or in RARE.
+RARE, ONE_IN, TWINS = 15, 60_000, 2
 
 
-def witnesses(sample: list[tuple[list[str], bool]], corpus: dict[str, int]) -> tuple[list[list[str]], list[list[str]]]:
+def witnesses(sample: list[tuple[list[str], bool]], corpus: dict[str, int], total: int = 0) -> tuple[list[list[str]], list[list[str]]]:
     """(unsafe, safe) texts of the sample, one for each group of near copies, labelled as most of the group."""
     posts: dict[str, list[int]] = {}
+    rare = max(RARE, total // ONE_IN)
     for i, (t, _) in enumerate(sample):
         for w in set(t):
-            if corpus.get(w, 0) <= RARE:
+            if corpus.get(w, 0) <= rare:
                 posts.setdefault(w, []).append(i)
     shared = Counter((p[0], x) for p in posts.values() for x in p[1:])
     root = list(range(len(sample)))
@@ -244,11 +245,13 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.select("tab", "id", "text").mapInArrow(run, "tab string, id bigint, toks array<string>")
 
 
-def labelled(rows: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+def labelled(rows: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, most_bytes: int = MAX_BYTES) -> DataFrame:
     """(unsafe, text) of the labelled rows of smallest hash; a row counts as most of its raters say, ties are left out."""
     voted = labels.where("unsafe is not null").groupBy("tab", F.col("row_id").alias("id")).agg(F.avg("unsafe").alias("m")).where("m <> 0.5")
     chosen = voted.orderBy(F.xxhash64("tab", "id"), "tab", "id").limit(bound)
-    return chosen.join(rows, ["tab", "id"]).select((F.col("m") > 0.5).alias("unsafe"), "text")
+    found = chosen.join(rows, ["tab", "id"]).select("tab", "id", (F.col("m") > 0.5).alias("unsafe"), "text")
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("tab", "id"), "tab", "id"))  # of at most ``bound`` rows (repeated ids aside)
+    return found.withColumn("_bytes", so_far).where(F.col("_bytes").isNull() | (F.col("_bytes") <= most_bytes)).select("unsafe", "text")
 
 
 def train(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, tokenised: DataFrame, bound: int = MAX_LABELLED) -> Model:
@@ -275,14 +278,19 @@ def train(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, tokenised:
     counted = tokenised.select(F.explode(F.array_distinct("toks")).alias("w")).join(F.broadcast(table), "w").groupBy("w").count()
     corpus = {r.w: r["count"] for r in counted.collect()}
     total = tokenised.count()
-    return fit(*witnesses(distinct, corpus), corpus, total, flags, words)
+    return fit(*witnesses(distinct, corpus, total), corpus, total, flags, words)
 
 
-def scored(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """(tab, id, score, n_segments, unsafe): the evidence of each text's best segment as -log10 of a chance."""
+def _tokenised_and_model(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, bound: int):
     out = Written(rows.sparkSession, "p6")
     tokenised = out.table(with_tokens(rows), "tokens")
-    model = rows.sparkSession.sparkContext.broadcast(train(rows, labels, flag_terms, tokenised, bound))
+    # Bounded by the sample: at most the tokens of MAX_BYTES of text.
+    return tokenised, rows.sparkSession.sparkContext.broadcast(train(rows, labels, flag_terms, tokenised, bound))
+
+
+def scored(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+    """(tab, id, score, n_segments, unsafe): the evidence of each text's best segment as -log10 of a chance."""
+    tokenised, model = _tokenised_and_model(rows, labels, flag_terms, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -290,26 +298,53 @@ def scored(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, bound: int
             got = [m.score(t) for t in b.column("toks").to_pylist()]
             score = pa.array([s for s, _ in got], pa.float64())
             n = pa.array([len(x) for _, x in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("id"), score, n, pa.array([bool(x) for _, x in got])], ["tab", "id", "score", "n_segments", "unsafe"])
+            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("id"), score, n, pa.array([bool(x) for _, x in got], pa.bool_())], ["tab", "id", "score", "n_segments", "unsafe"])
 
     return tokenised.mapInArrow(run, "tab string, id bigint, score double, n_segments int, unsafe boolean")
 
 
+def passages(rows: DataFrame, labels: DataFrame, flag_terms: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+    """(tab, id, first, last, score, evidence, passage): the significant segments of each text, for review.
+
+    ``first`` and ``last`` count the text's tokens from 0, last exclusive; ``passage`` holds these tokens as they were read, in order.
+    Texts without such a segment, null and blank ones included, have no row.
+    """
+    tokenised, model = _tokenised_and_model(rows, labels, flag_terms, bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            found = []
+            for i, toks in enumerate(b.column("toks").to_pylist()):
+                found.extend((i, x, y, s, m.evidence(s, len(toks)), " ".join(map(m.resolve, toks[x:y]))) for x, y, s in m.score(toks)[1])
+            at = pa.array([x[0] for x in found], pa.int32())
+            kinds = (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("tab").take(at), b.column("id").take(at), *(pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds, 1))], ["tab", "id", "first", "last", "score", "evidence", "passage"]
+            )
+
+    return tokenised.mapInArrow(run, "tab string, id bigint, first int, last int, score double, evidence double, passage string")
+
+
 def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(texts(spark, sf_dir), read(spark, sf_dir, "safety_labels"), read(spark, sf_dir, "flag_terms"))
+    return scored(all_texts(spark, sf_dir), read(spark, sf_dir, "safety_labels"), read(spark, sf_dir, "flag_terms"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_scores(spark, sf_dir).where("unsafe").select("tab", "id")
+    return scored(texts(spark, sf_dir), read(spark, sf_dir, "safety_labels"), read(spark, sf_dir, "flag_terms")).where("unsafe").select("tab", "id")
 
 
 def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, source, n, n_unsafe, rate) of each source; a null source is one of its own."""
     prompts = read(spark, sf_dir, "prompts").select(F.lit("prompts").alias("tab"), F.col("prompt_id").alias("id"), "source")
     train_ = read(spark, sf_dir, "train").select(F.lit("train").alias("tab"), F.col("sample_id").alias("id"), "source")
-    got = prompts.unionByName(train_).join(p6_scores(spark, sf_dir).where("unsafe").select("tab", "id", "unsafe"), ["tab", "id"], "left")
+    got = prompts.unionByName(train_).join(p6_found(spark, sf_dir).withColumn("unsafe", F.lit(True)), ["tab", "id"], "left")
     g = got.groupBy("tab", "source").agg(F.count("*").alias("n"), F.count("unsafe").alias("n_unsafe"))
     return g.withColumn("rate", F.col("n_unsafe") / F.col("n"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates}
+def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(texts(spark, sf_dir), read(spark, sf_dir, "safety_labels"), read(spark, sf_dir, "flag_terms"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_scores": p6_scores, "p6_passages": p6_passages, "p6_rates": p6_rates}

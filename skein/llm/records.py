@@ -15,9 +15,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of prompts and train that hold a text: (tab, id, text)."""
+    return all_texts(spark, sf_dir).where(F.col("text").isNotNull())
+
+
+def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of prompts and train, null texts included: (tab, id, text)."""
     prompts = read(spark, sf_dir, "prompts").select(F.lit("prompts").alias("tab"), F.col("prompt_id").alias("id"), "text")
     train = read(spark, sf_dir, "train").select(F.lit("train").alias("tab"), F.col("sample_id").alias("id"), "text")
-    return prompts.unionByName(train).where(F.col("text").isNotNull())
+    return prompts.unionByName(train)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

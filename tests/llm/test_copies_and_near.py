@@ -8,9 +8,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from skein.llm import near
+from skein.llm import near, p4_copies, p5_overlap
 from skein.llm.keys import copy_key, word_set
-from skein.llm.p2_near import near_copies
+from skein.llm.p2_near import near_copies, near_groups
 from skein.llm.p4_copies import CountingTrie, copies, copy_classes, p4_counts
 from skein.llm.p5_overlap import overlaps
 from skein.session import Written
@@ -150,3 +150,62 @@ def test_overlaps_equal_brute_force(make, hot):
 def test_ids_of_two_tabs_do_not_meet(make):
     rows = make([(1, "an owl by a lamp")]).unionByName(make([(1, "an owl by a lamp")], "train")).unionByName(make([(2, "an owl, by a lamp")], "train"))
     assert [(r.tab, r.id_a, r.id_b) for r in copies(rows).collect()] == [("train", 1, 2)]
+
+
+@pytest.mark.parametrize("most", [near.MOST_IDS, 0])
+def test_groups_are_components(make, monkeypatch, most):
+    monkeypatch.setattr(near, "MOST_IDS", most)
+    rows = texts(140, 5)
+    links = brute(rows)
+    key = {i: copy_key(t) for i, t in rows if copy_key(t)}
+    root = {i: i for i in key}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in [*links, *((a, b) for a, b in itertools.combinations(sorted(key), 2) if key[a] == key[b])]:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = near_groups(make(rows)).collect()
+    assert {r.id: r.group_id for r in got} == {i: find(i) for i in key}
+    assert {r.id: r.class_id for r in got} == {i: min(j for j in key if key[j] == key[i]) for i in key}
+    of = {r.id: r.class_id for r in got}
+    classes = {tuple(sorted((of[a], of[b]))) for a, b in links}
+    assert all(r.links == sum(r.class_id in c for c in classes) for r in got)
+
+
+def test_groups_of_no_rows(make):
+    assert near_groups(make([])).count() == 0
+
+
+def test_bit_table_holds_its_values(spark):
+    keys_ = [1, -1, 2**62, -(2**63), 12345]
+    table = near.BitTable.of(spark.createDataFrame([(k,) for k in keys_], "key bigint"), 5)
+    assert table.has(np.array(keys_, np.int64).view(np.uint64)).all() and near.BitTable.bits_for(10**12) == near.BitTable.MOST_BITS
+
+
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=1, max_size=8), st.integers(1, 3))
+def test_chunks_depend_on_their_words_alone(seqs, window):
+    seq, offsets = np.array([w for s in seqs for w in s], np.int32), np.cumsum([0, *map(len, seqs)])
+    rec, digest, size = p5_overlap.chunks(seq, offsets, window)
+    assert [size[rec == i].sum() for i in range(len(seqs))] == [len(s) for s in seqs]
+    for i, s in enumerate(seqs):
+        alone = p5_overlap.chunks(np.array(s, np.int32), np.array([0, len(s)]), window)
+        assert (alone[1] == digest[rec == i]).all() and (alone[2] == size[rec == i]).all()
+
+
+def test_most_overlaps_come_by_chunks(make):
+    rnd = random.Random(9)
+    base = [" ".join(rnd.choice(WORDS) + str(rnd.randint(0, 400)) for _ in range(24)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.replace(t.split()[5], "edited").replace(t.split()[15], "")) for i, t in enumerate(base)]
+    got = overlaps(make(rows, held=set(range(100, 160)))).collect()
+    assert {(r.id_a, r.id_b) for r in got} >= {(i, 100 + i) for i in range(60)}
+    assert sum(r.path == "chunks" for r in got) >= 59 and all(r.overlap_a > 0.4 for r in got if r.path == "chunks")
+
+
+def test_prefix_tables_that_are_joined(make, monkeypatch):
+    monkeypatch.setattr(p4_copies, "MOST_BROADCAST", 0)
+    rows = texts(120, 6)
+    assert copies(make(rows), 64).count() == copies(make(rows)).count()

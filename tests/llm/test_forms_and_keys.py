@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 
 from skein.llm.forms import FormConflict, Transducer, build_mapping, visible_form
 from skein.llm.keys import copy_key, word_set, word_text
-from skein.llm.p1_forms import same_look, with_form
+from skein.llm import p1_forms
+from skein.llm.p1_forms import look_classes, same_look, with_form
 
 
 @pytest.mark.parametrize(
@@ -80,3 +81,22 @@ def test_hot_form(make, monkeypatch):
 
 def test_forms_of_rows(make):
     assert {r.id: r.form for r in with_form(make([(1, None), (2, "")])).collect()} == {1: None, 2: ""}
+
+
+def test_variants_of_a_form_meet_in_blocks(make, monkeypatch):
+    monkeypatch.setattr(p1_forms._variant_pairs, "__defaults__", (2,))
+    stored = ["owl", "ｏｗｌ", "оwl", "owl\u200b", " owl", "o\u00adwl", "owl"]
+    got = sorted((r.id_a, r.id_b) for r in same_look(make(list(enumerate(stored)))).collect())
+    assert got == [(a, b) for a in range(7) for b in range(a + 1, 7) if stored[a] != stored[b]]
+
+
+def test_classes_of_one_look(make):
+    got = {r.id: (r.class_id, r.rows, r.variants) for r in look_classes(make([(4, "owl"), (2, "ｏｗｌ"), (3, "owl"), (5, "fox"), (6, None), (7, " ")])).collect()}
+    assert got == {4: (2, 3, 2), 2: (2, 3, 2), 3: (2, 3, 2), 5: (5, 1, 1)}
+    assert look_classes(make([])).count() == 0
+
+
+def test_clusters_are_built_ahead():
+    t = Transducer()
+    assert t.clusters["e\u0301"] == t.clusters["е\u0301"] == "é" and visible_form("µ") == visible_form("μ")
+    assert all(t.apply(to) == to for to in t.clusters.values())

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -6,9 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from skein.llm import p6_unsafe as p6
-from skein.llm.p3_types import FUNCTIONS, TYPES, learn, statistics, typed, votes
+from skein.llm.p3_types import FUNCTIONS, STATS, TYPES, learn, statistics, typed, votes
 from skein.llm.p7_tokens import concatenate, encoding, join, token_ids, token_joins
 from skein.llm.p8_mix import Plan, mix, pfair
+from skein.llm.p9_sentences import learn as learn_sentences
 from skein.llm.p9_sentences import sentences, units
 
 PROSE = "The owl stands near a lamp, and the fox walks over the bridge in the rain."
@@ -191,3 +193,44 @@ def test_long_texts_are_joined(spark):
     docs = spark.createDataFrame([(1, "An owl"), (2, None), (3, ""), (4, long)], "doc_id bigint, text string")
     got = {r.doc_id: (r.n_tokens, r.joins) for r in token_joins(docs).collect()}
     assert got[4][0] == len(encoding().encode_ordinary(long)) and got[4][1] >= len(long) // 1_000 and got[1][1] == got[2][1] == got[3][0] == 0
+
+
+@pytest.mark.parametrize(
+    "inside",
+    ['"One runs on. Two stops. Three sits."', "(One runs on. Two stops. Three sits.)", "„Eins läuft. Zwei steht. Drei sitzt.“", "« Un court. Deux reste. Trois dort. »", "“One runs. Two stops! Three sits?”"],
+)
+def test_quotations_do_not_cut_their_sentence(inside):
+    assert cut(f"He wrote {inside} and left. Then it ended.") == [f"He wrote {inside} and left.", "Then it ended."]
+
+
+def test_marks_without_partner_hold_nothing_together():
+    assert cut('A 5" pipe is long. It leaks. He said "no.') == ['A 5" pipe is long.', "It leaks.", 'He said "no.']
+
+
+def test_sentences_far_apart(spark):
+    text = " ".join(f"Sentence number {i} is here." for i in range(900))
+    assert len(cut(text)) == 900 and len(cut(text.replace(".", ","))) == 1
+
+
+def test_lengths_and_words_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"Xyzw. also met it, see xyzw. here {i}.\n\nThe owl ran over the hill.\n\n安静的河流很长。") for i in range(40)], "doc_id bigint, text string")
+    got = learn_sentences(docs)
+    assert "xyzw" in got.abbreviations and "安静" in got.openings and got.lengths[0][0] == pytest.approx(math.log(27), abs=0.3)
+
+
+def test_a_text_with_a_short_list_is_prose(make, spark):
+    rows = [(i, f"{PROSE} No. {i}") for i in range(60)] + [(100, PROSE * 4 + "\n- red lamp\n- blue kite")] + [(200 + i, TEXTS["list"] + f"\n- cup {i}") for i in range(5)]
+    common = spark.createDataFrame([("en", "the"), ("zh", "的")], "lang string, word string")
+    got = {r.id: r.type for r in typed(make(rows), common).collect()}
+    assert got[100] == "prose" and got[200] == "list"
+    assert dict(zip(STATS, statistics("我的河的山", {"的"})))["common_share"] == pytest.approx(0.4)
+
+
+def test_passages_are_given(make, spark):
+    rows = [(i, f"lamp kite coin {i} river stone" + ("; you are a rotten fool" if i % 4 == 0 else "")) for i in range(200)] + [(900, None)]
+    lab = spark.createDataFrame([("prompts", i, int(i % 4 == 0)) for i in range(150)], "tab string, row_id bigint, unsafe int")
+    flags = spark.createDataFrame([("fool", 2)], "term string, weight int")
+    got = p6.passages(make(rows), lab, flags).collect()
+    scores = {r.id: r for r in p6.scored(make(rows), lab, flags).collect()}
+    assert {r.id for r in got} == {i for i, r in scores.items() if r.unsafe} and all(0 <= r.first < r.last and "fol" in r.passage for r in got)  # repeated letters are read as one
+    assert p6.passages(make([]), lab, flags).count() == 0
