@@ -12,9 +12,9 @@ def order_key(seed: int | str, *parts: Column) -> Column:
 
 
 def uniform(seed: int | str, *parts: Column) -> Column:
-    """A number in [0, 1): the first 8 hexadecimal digits of SHA-1."""
-    digits = F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 8)
-    return F.conv(digits, 16, 10).cast("double") / 4294967296.0
+    """A number in [0, 1): the first 13 hexadecimal digits of SHA-1, as many bits as a double holds."""
+    digits = F.substring(F.sha1(F.concat_ws("|", F.lit(str(seed)), *(p.cast("string") for p in parts))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / 4503599627370496.0
 
 
 def choice(values: Column, u: Column) -> Column:

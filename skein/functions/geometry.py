@@ -32,6 +32,16 @@ def smart_size(w: Column, h: Column, factor: int = 28, least: int = 56 * 56, mos
     return pick(rw, w), pick(rh, h)
 
 
+#: Pixels of the loader (least, most) and of the vision tower (one area).
+LOADER, TOWER = (56 * 56, 1280 * 784), 512 * 512
+
+
+def vision_size(w: Column, h: Column, factor: int = 28, loader: tuple[int, int] = LOADER, tower: int = TOWER) -> tuple[Column, Column]:
+    """The smart size of the loader, and of its result that of the tower, which has one area; both keep the ratio."""
+    w1, h1 = smart_size(w, h, factor, *loader)
+    return smart_size(w1, h1, factor, tower, tower)
+
+
 def slots(w: Column, h: Column, cell: int = 32) -> Column:
     return F.floor(w / cell).cast("int") * F.floor(h / cell).cast("int")
 

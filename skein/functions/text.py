@@ -62,12 +62,13 @@ def human_bytes(c: Column) -> Column:
 
 
 def human_duration(c: Column) -> Column:
+    """Seconds as "1h 02m", "3m 04s" or "5s"; null, NaN and negative ones as a dash."""
     s = F.floor(c).cast("bigint")
-    part = lambda n, unit: F.concat((s / n).cast("bigint").cast("string"), F.lit(unit))
+    two = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
     return (
-        F.when(s >= 86400, F.concat(part(86400, "d "), ((s % 86400) / 3600).cast("bigint").cast("string"), F.lit("h")))
-        .when(s >= 3600, F.concat(part(3600, "h "), ((s % 3600) / 60).cast("bigint").cast("string"), F.lit("m")))
-        .when(s >= 60, F.concat(part(60, "m "), (s % 60).cast("string"), F.lit("s")))
+        F.when(c.isNull() | F.isnan(c.cast("double")) | (c < 0), "—")
+        .when(s >= 3600, F.concat((s / 3600).cast("bigint").cast("string"), F.lit("h "), two((s % 3600) / 60), F.lit("m")))
+        .when(s >= 60, F.concat((s / 60).cast("bigint").cast("string"), F.lit("m "), two(s % 60), F.lit("s")))
         .otherwise(F.concat(s.cast("string"), F.lit("s")))
     )
 

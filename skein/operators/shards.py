@@ -60,6 +60,11 @@ def segment_positions(segments: DataFrame) -> DataFrame:
     return segments.where("len > 0").withColumn("pos", F.explode(F.expr("sequence(start, start + len - 1)")))
 
 
+def visible_to(i: Column, text: Column, n: Column) -> Column:
+    """How many of ``n`` positions position ``i`` (from 0) may attend to: those up to itself; text positions, the first ``text``, never see the queries behind."""
+    return F.least(F.when(i < text, F.least(i + 1, text)).otherwise(i + 1), n)
+
+
 def first_starts(counts: Column, base: int = 70, gap: int = 7) -> Column:
     """Where the segments of given lengths begin: the first at ``base``, each next ``gap`` after the end of the one before."""
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(base).alias("at"))

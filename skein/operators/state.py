@@ -14,11 +14,32 @@ def present(expected: DataFrame, there: DataFrame) -> DataFrame:
 
 def completeness(files: DataFrame, first: int = 8) -> DataFrame:
     """Of each material: files, files present, bytes in all and done, and the first missing paths."""
-    missing = F.slice(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("path")))), 1, first)
-    return files.groupBy("material").agg(
+    w = Window.partitionBy("material").orderBy("path")
+    # The limit of the rank is applied in each task before the shuffle, so a material brings ``first`` rows a task.
+    listed = files.where(~F.col("ok")).select("material", "path").withColumn("k", F.row_number().over(w)).where(F.col("k") <= first)
+    missing = listed.groupBy("material").agg(F.array_sort(F.collect_list("path")).alias("missing"))
+    sums = files.groupBy("material").agg(
         F.count("*").alias("n"), F.count_if("ok").alias("n_present"), F.sum("size").alias("total"),
-        F.least(F.coalesce(F.sum(F.when(F.col("ok"), F.col("size"))), F.lit(0)), F.sum("size")).alias("done"), missing.alias("missing"), F.bool_and("ok").alias("complete"),
+        F.least(F.coalesce(F.sum(F.when(F.col("ok"), F.col("size"))), F.lit(0)), F.sum("size")).alias("done"), F.bool_and("ok").alias("complete"),
     )
+    return sums.join(missing, "material", "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
+
+
+def exports_of(files: DataFrame, name: str, suffix: str = ".gguf") -> DataFrame:
+    """The files (name, ...) that a project of this name exported: those of its base name and an underscore."""
+    return files.where(F.col("name").startswith(name.removesuffix("_adapter") + "_") & F.col("name").endswith(suffix))
+
+
+def preferred(value: str, wanted: Column, order: Column) -> Column:
+    """The first value of a group, or the first that is wanted if there is one."""
+    return F.max_by(value, F.struct(wanted, -order))
+
+
+def headline(values: Column, named: Column, order: tuple[str, ...], hidden: tuple[str, ...] = ("time",)) -> Column:
+    """The keys of a map of numbers that are shown: of ``named`` those that have a value; if none has, all others in ``order`` that aren't hidden."""
+    own = F.filter(named, lambda k: F.element_at(values, k).isNotNull())
+    rest = F.filter(F.array(*(F.lit(k) for k in order if k not in hidden)), lambda k: F.element_at(values, k).isNotNull())
+    return F.when(F.size(own) > 0, own).otherwise(rest)
 
 
 def upsert(manifest: DataFrame, new: DataFrame, key: str) -> DataFrame:

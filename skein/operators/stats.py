@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +33,35 @@ def moment_arrays(merged: DataFrame) -> DataFrame:
 
 
 def gram(rows: DataFrame, left: str, right: str | None = None) -> DataFrame:
-    """(i, j, value) of the matrix left^T right; each row adds its products before the shuffle."""
+    """(i, j, value) of the matrix left^T right, in double precision.
+
+    A task multiplies each Arrow batch as a whole and keeps one sum; what is moved is that one matrix a task, a row of it a record,
+    and not the products of each vector. Rows in which a vector is null add nothing; vectors of different lengths are an error.
+    """
     right = right or left
-    x = rows.select(F.posexplode(left).alias("i", "a"), F.col(right).alias("_r")).select("i", "a", F.posexplode("_r").alias("j", "b"))
-    return x.groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("value"))
+    pairs = rows.select(F.col(left).cast("array<double>").alias("a"), F.col(right).cast("array<double>").alias("b")).where("a is not null and b is not null")
+
+    def as_matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                part = as_matrix(b.column("a")).T @ as_matrix(b.column("b"))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, row in zip(b.column("i").to_pylist(), as_matrix(b.column("row")) if b.num_rows else ()):
+                sums[i] = sums[i] + row if i in sums else row
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["i", "row"])
+
+    partial = pairs.mapInArrow(multiply, "i int, row array<double>")
+    return partial.repartition("i").mapInArrow(add, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "value"))
 
 
 def matrix(cells: DataFrame) -> np.ndarray:

@@ -36,8 +36,10 @@ def pool(spark, d):
     return corpus.first_wins(corpus.normalised(rows), order=("src_ord", "row_ord", "prompt_id"))
 
 
-def split(spark, d):
-    return corpus.head_split(pool(spark, d), N_VAL, 1 << 60, SEED, "prompt_id")
+def split(spark, d, *columns):
+    """The split with the columns that are needed beside its key: what is ranked is moved and written."""
+    rows = pool(spark, d)
+    return corpus.head_split(rows.select("prompt_id", *columns) if columns else rows, N_VAL, 1 << 60, SEED, "prompt_id")
 
 
 def captions(spark, d):
@@ -62,25 +64,25 @@ def _(spark, d):
 
 @query("corpus_prepared", POOL + "SELECT split, count(*) AS n, sum(length(text))::BIGINT AS chars, min(rn) AS first_rn, max(rn) AS last_rn, count(DISTINCT source) AS sources FROM split GROUP BY split")
 def _(spark, d):
-    return split(spark, d).groupBy("split").agg(
-        F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"), F.countDistinct("source").alias("sources")
+    return split(spark, d, "source", F.length("text").alias("chars")).groupBy("split").agg(
+        F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("rn").alias("first_rn"), F.max("rn").alias("last_rn"), F.countDistinct("source").alias("sources")
     )
 
 
 @query("corpus_split", POOL + "SELECT prompt_id, split, rn FROM split")
 def _(spark, d):
-    return split(spark, d).select("prompt_id", "split", "rn")
+    return split(spark, d, "source").select("prompt_id", "split", "rn")
 
 
 @query("corpus_disjoint", POOL + "SELECT count(*) AS overlap FROM split a WHERE a.split = 'val' AND lower(a.text) IN (SELECT lower(text) FROM split WHERE split = 'train')")
 def _(spark, d):
-    s = split(spark, d).withColumn("k", F.lower("text"))
+    s = Written(spark, "split").table(split(spark, d, F.lower("text").alias("k")), "keys")
     return s.where("split = 'val'").join(s.where("split = 'train'").select("k"), "k", "left_semi").agg(F.count("*").alias("overlap"))
 
 
 @query("corpus_train_rest", POOL + "SELECT source, count(*) AS n FROM (SELECT prompt_id, source FROM split EXCEPT ALL SELECT prompt_id, source FROM split WHERE split = 'val') GROUP BY source")
 def _(spark, d):
-    s = split(spark, d)
+    s = Written(spark, "split").table(split(spark, d, "source"), "rows")
     return s.select("prompt_id", "source").exceptAll(s.where("split = 'val'").select("prompt_id", "source")).groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -166,7 +168,7 @@ def _(spark, d):
 
 
 def _u(seed: str, key: str) -> str:
-    return f"(('0x' || substr(sha1('{seed}|' || {key}), 1, 8))::BIGINT / 4294967296.0)"
+    return f"(('0x' || substr(sha1('{seed}|' || {key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 _LADDER = "CASE " + " ".join(f"WHEN u < {b} THEN '{k}'" for b, k in corpus.KINDS) + " ELSE 'short' END"
@@ -196,14 +198,15 @@ def _(spark, d):
 @query(
     "image_pairs",
     "WITH r AS (SELECT source, filename, row_number() OVER (ORDER BY md5('8|' || source || '|' || filename), source, filename) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source, filename FROM captions WHERE filename IS NOT NULL)), "
-    f"d AS (SELECT i, floor({_u('8a', 'i')} * n)::BIGINT AS a, floor({_u('8b', 'i')} * (n - 1))::BIGINT AS b0 FROM range(500) t(i), (SELECT max(n) AS n FROM r)), e AS (SELECT i, a, b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS b FROM d) "
+    f"d AS (SELECT i, floor({_u('8a', 'i')} * n)::BIGINT AS a, floor({_u('8b', 'i')} * (n - 1))::BIGINT AS b0 FROM (SELECT max(n) AS n FROM r), LATERAL (SELECT unnest(range(n)) AS i)), e AS (SELECT i, a, b0 + CASE WHEN b0 >= a THEN 1 ELSE 0 END AS b FROM d) "
     "SELECT i, x.source || '_' || x.filename AS first, y.source || '_' || y.filename AS second FROM e JOIN r x ON x.rn = a + 1 JOIN r y ON y.rn = b + 1",
 )
 def _(spark, d):
     assets = table(spark, d, "captions").where("filename is not null").select("source", "filename").distinct()
     r = Written(spark, "assets").table(ranked(assets.withColumn("o", draws.order_key(8, F.col("source"), F.col("filename"))), ["o", "source", "filename"]), "ranked")
     name = F.concat_ws("_", "source", "filename")
-    pairs = corpus.random_pairs(500, r.count(), 8, spark)
+    n = r.count()
+    pairs = corpus.random_pairs(n, n, 8, spark)
     first = r.select((F.col("rn") - 1).alias("a"), name.alias("first"))
     return pairs.join(first, "a").join(first.withColumnsRenamed({"a": "b", "first": "second"}), "b").select("i", "first", "second")
 

@@ -44,6 +44,19 @@ def _(spark, d):
     return sizes(spark, d).select("p_partkey", w.alias("sw"), h.alias("sh"))
 
 
+def _smart(w: str, h: str, least: int, most: int, of: str) -> str:
+    rw, rh, x = _m(f"{w}::DOUBLE", 28), _m(f"{h}::DOUBLE", 28), w if of == "w" else h
+    return (
+        f"CASE WHEN {rw} * {rh} > {most} THEN greatest(floor({x} / sqrt({w} * {h} / {most}.0::DOUBLE) / 28) * 28, 28)::INT WHEN {rw} * {rh} < {least} THEN (ceil({x} * sqrt({least}.0::DOUBLE / ({w} * {h})) / 28) * 28)::INT ELSE {_m(f'{x}::DOUBLE', 28)} END"
+    )
+
+
+@query("vision_sizes", WH + f", r AS (SELECT p_partkey, {_smart('w', 'h', *g.LOADER, 'w')} AS w1, {_smart('w', 'h', *g.LOADER, 'h')} AS h1 FROM s) SELECT p_partkey, {_smart('w1', 'h1', g.TOWER, g.TOWER, 'w')} AS vw, {_smart('w1', 'h1', g.TOWER, g.TOWER, 'h')} AS vh FROM r")
+def _(spark, d):
+    w, h = g.vision_size(F.col("w"), F.col("h"))
+    return sizes(spark, d).select("p_partkey", w.alias("vw"), h.alias("vh"))
+
+
 @query("image_slots", WH + "SELECT p_partkey, ((w // 32) * (h // 32))::INT AS slots FROM s")
 def _(spark, d):
     return sizes(spark, d).select("p_partkey", g.slots(F.col("w"), F.col("h")).alias("slots"))
@@ -61,10 +74,10 @@ def _(spark, d):
 
 @query(
     "image_positions",
-    WH + ", c AS (SELECT p_partkey, least(w // 32, 6)::BIGINT AS gw, least(h // 32, 6)::BIGINT AS gh, (p_partkey % 5)::BIGINT AS t0 FROM s) SELECT p_partkey, y AS row, x AS col, t0 AS t, t0 + y AS ty, t0 + x AS tx, t0 + greatest(gh, gw) AS nxt, y - (gh - 1) // 2 AS cy, x - (gw - 1) // 2 AS cx FROM c, range(0, 6) a(y), range(0, 6) b(x) WHERE y < gh AND x < gw",
+    WH + ", c AS (SELECT p_partkey, (w // 32)::BIGINT AS gw, (h // 32)::BIGINT AS gh, (p_partkey % 5)::BIGINT AS t0 FROM s), g AS (SELECT *, unnest(range(0, gh)) AS y FROM c WHERE gw > 0 AND gh > 0), p AS (SELECT *, unnest(range(0, gw)) AS x FROM g) SELECT p_partkey, y AS row, x AS col, t0 AS t, t0 + y AS ty, t0 + x AS tx, t0 + greatest(gh, gw) AS nxt, y - (gh - 1) // 2 AS cy, x - (gw - 1) // 2 AS cx FROM p",
 )
 def _(spark, d):
-    c = sizes(spark, d).select("p_partkey", F.least(F.floor(F.col("w") / 32), F.lit(6)).alias("gw"), F.least(F.floor(F.col("h") / 32), F.lit(6)).alias("gh"), (F.col("p_partkey") % 5).alias("t"))
+    c = sizes(spark, d).select("p_partkey", F.floor(F.col("w") / 32).alias("gw"), F.floor(F.col("h") / 32).alias("gh"), (F.col("p_partkey") % 5).alias("t"))
     c = c.where("gw > 0 and gh > 0").withColumn("row", F.explode(F.expr("sequence(0L, gh - 1)"))).withColumn("col", F.explode(F.expr("sequence(0L, gw - 1)")))
     return c.selectExpr("p_partkey", "row", "col", "t", "t + row AS ty", "t + col AS tx", "t + greatest(gh, gw) AS nxt", "row - (gh - 1) div 2 AS cy", "col - (gw - 1) div 2 AS cx")
 
@@ -79,10 +92,10 @@ def _(spark, d):
 @query(
     "human_formats",
     "SELECT o_orderkey, CASE WHEN b >= 1099511627776 THEN round(b / 1099511627776.0::DOUBLE, 1)::VARCHAR || ' TB' WHEN b >= 1073741824 THEN round(b / 1073741824.0::DOUBLE, 1)::VARCHAR || ' GB' WHEN b >= 1048576 THEN round(b / 1048576.0::DOUBLE, 1)::VARCHAR || ' MB' WHEN b >= 1024 THEN round(b / 1024.0::DOUBLE, 1)::VARCHAR || ' KB' ELSE b || ' B' END AS size, "
-    "CASE WHEN s >= 86400 THEN s // 86400 || 'd ' || s % 86400 // 3600 || 'h' WHEN s >= 3600 THEN s // 3600 || 'h ' || s % 3600 // 60 || 'm' WHEN s >= 60 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s || 's' END AS took FROM (SELECT o_orderkey, floor(o_totalprice * (o_orderkey % 977))::BIGINT AS b, (o_orderkey * 13 % 200000)::BIGINT AS s FROM orders)",
+    "CASE WHEN s < 0 THEN '—' WHEN s >= 3600 THEN s // 3600 || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' WHEN s >= 60 THEN s // 60 || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s || 's' END AS took FROM (SELECT o_orderkey, floor(o_totalprice * (o_orderkey % 977))::BIGINT AS b, (o_orderkey * 13 % 200000 - 50)::BIGINT AS s FROM orders)",
 )
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 977)).alias("b"), (F.col("o_orderkey") * 13 % 200000).alias("s"))
+    o = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 977)).alias("b"), (F.col("o_orderkey") * 13 % 200000 - 50).alias("s"))
     return o.select("o_orderkey", text.human_bytes(F.col("b")).alias("size"), text.human_duration(F.col("s")).alias("took"))
 
 
@@ -174,10 +187,12 @@ def _(spark, d):
     return table(spark, d, "train_log").groupBy("run_id", "step").agg(F.max(F.round(vectors.finite(F.col("val_cos")), 9)).alias("cos"), F.count("*").alias("n"))
 
 
-@query("byte_features", "WITH b AS (SELECT sample_id, text, unnest(range(1, least(512, length(text)) + 1)) AS i FROM train WHERE text <> '' AND regexp_full_match(text, '[\\x00-\\x7F]*')), f AS (SELECT sample_id, ((7 * (i - 1) + ascii(substr(text, i, 1))) % 64)::INT AS bucket, (ascii(substr(text, i, 1)) - 96) / 32.0::DOUBLE AS x FROM b) SELECT sample_id, bucket, round(sum(x), 5) AS x FROM f GROUP BY ALL")
+@query("byte_features", "WITH h AS (SELECT sample_id, hex(encode(text)) AS h FROM train WHERE text <> ''), b AS (SELECT sample_id, h, unnest(range(1, least(512, length(h) // 2) + 1)) AS i FROM h), v AS (SELECT sample_id, i, ('0x' || substr(h, (2 * i - 1)::INT, 2))::INT AS v FROM b), f AS (SELECT sample_id, ((7 * (i - 1) + v) % 64)::INT AS bucket, (v - 96) / 32.0::DOUBLE AS x FROM v) SELECT sample_id, bucket, round(sum(x), 5) AS x FROM f GROUP BY ALL")
 def _(spark, d):
-    rows = table(spark, d, "train").where(F.col("text").rlike(r"^[\x00-\x7F]+$")).select("sample_id", F.posexplode(F.split(F.substring("text", 1, 512), "")).alias("i", "c"))
-    b = rows.where("c <> ''").withColumn("b", F.ascii("c"))
+    """Features of the first 512 UTF-8 bytes (the operator's own length) of every text."""
+    rows = table(spark, d, "train").where("text <> ''").select("sample_id", F.hex(F.encode("text", "utf-8")).alias("h"))
+    byte = F.expr("transform(sequence(1, least(512, cast(length(h) / 2 AS int))), i -> cast(conv(substr(h, 2 * i - 1, 2), 16, 10) AS int))")
+    b = rows.select("sample_id", F.posexplode(byte).alias("i", "b"))
     return b.groupBy("sample_id", ((7 * F.col("i") + F.col("b")) % 64).alias("bucket")).agg(F.round(F.sum((F.col("b") - 96) / 32.0), 5).alias("x"))
 
 

@@ -47,7 +47,7 @@ def _(spark, d):
 @query("global_offsets", "SELECT sample_id, coalesce(sum(length(coalesce(text, ''))) OVER (ORDER BY sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM train")
 def _(spark, d):
     n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")
-    return running(table(spark, d, "train").select("sample_id", "text"), ["sample_id"], n, "off").select("sample_id", "off")
+    return running(table(spark, d, "train").select("sample_id", n.alias("n")), ["sample_id"], F.col("n"), "off").select("sample_id", "off")
 
 
 
@@ -124,11 +124,28 @@ def _(spark, d):
     return rows(spark, d).select("split", "shard", "pos", F.size(F.filter(m, lambda x: x)).alias("real"), (F.floor(F.col("len") / 8) >= 40).alias("cut"))
 
 
-@query("causal_pairs", ROWS + ", w AS (SELECT split, shard, pos, least(len // 8, 12) AS n FROM rows) SELECT split, shard, pos::INT AS pos, count(*) AS visible FROM w, range(0, 12) a(i), range(0, 12) b(j) WHERE j <= i AND j < n AND i < n AND NOT (i < 3 AND j >= 9) GROUP BY ALL")
+@query("causal_pairs", ROWS + "SELECT split, shard, pos::INT AS pos, list_sum(range(1, len // 8 + 1))::BIGINT AS visible FROM rows WHERE len >= 8")
 def _(spark, d):
-    w = rows(spark, d).select("split", "shard", "pos", F.least(F.floor(F.col("len") / 8).cast("int"), F.lit(12)).alias("n"))
-    i = w.where("n > 0").withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).withColumn("j", F.explode(F.expr("sequence(0, i)")))
-    return i.where("NOT (i < 3 AND j >= 9)").groupBy("split", "shard", "pos").agg(F.count("*").alias("visible"))
+    """How many (row, column) pairs a causal mask over the real positions lets through."""
+    n = F.floor(F.col("len") / 8).cast("int")
+    seen = F.aggregate(F.sequence(F.lit(1), n), F.lit(0).cast("bigint"), lambda a, i: a + shards.visible_to(i - 1, n, n))
+    return rows(spark, d).where("len >= 8").select("split", "shard", "pos", seen.alias("visible"))
+
+
+@query("query_block_pairs", ROWS + "SELECT split, shard, pos::INT AS pos, (list_sum(range(1, len // 8 + 1)) + 4 * (len // 8) + 10)::BIGINT AS visible FROM rows WHERE len >= 8")
+def _(spark, d):
+    """As causal_pairs, with four query positions behind the text that see all of it and each other causally; the text does not see them."""
+    n = F.floor(F.col("len") / 8).cast("int")
+    seen = F.aggregate(F.sequence(F.lit(1), n + 4), F.lit(0).cast("bigint"), lambda a, i: a + shards.visible_to(i - 1, n, n + 4))
+    return rows(spark, d).where("len >= 8").select("split", "shard", "pos", seen.alias("visible"))
+
+
+@query("sparse_targets", _RUNS + "SELECT r.split, r.shard, count(*) FILTER (WHERE s.start IS NULL) AS n, coalesce(sum(r.len) FILTER (WHERE s.start IS NULL), 0)::BIGINT AS total, count(s.start) AS dropped FROM rows r LEFT JOIN segments s ON r.split = s.split AND r.shard = s.shard AND r.pos >= s.start AND r.pos < s.start + s.len GROUP BY ALL")
+def _(spark, d):
+    """Target rows that stay when those under image segments are dropped, with the lengths to pack."""
+    inside = shards.segment_positions(segments(spark, d)).select("split", "shard", "pos", F.lit(True).alias("under"))
+    r = rows(spark, d).join(inside, ["split", "shard", "pos"], "left").withColumn("kept", F.col("under").isNull())
+    return r.groupBy("split", "shard").agg(F.count_if("kept").alias("n"), F.sum(F.when(F.col("kept"), F.col("len")).otherwise(0)).cast("bigint").alias("total"), F.count("under").alias("dropped"))
 
 
 @query("masked_positions", ROWS + "SELECT split, shard, pos::INT AS pos, greatest(0, sum(CASE WHEN n_images = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY split, shard ORDER BY pos) - 1)::BIGINT AS place, pos = max(pos) OVER (PARTITION BY split, shard) AS last FROM rows")
@@ -149,7 +166,7 @@ _AREAS = [(65536, 0.2), (147456, 0.5), (262144, 0.3)]
 
 @query(
     "weighted_areas",
-    "WITH u AS (SELECT sample_id, coalesce(len(images), 0) AS n, (('0x' || substr(sha1('area|' || sample_id), 1, 8))::BIGINT / 4294967296.0) AS u FROM train) SELECT sample_id, CASE WHEN n > 1 THEN CASE WHEN u < 0.2 / 0.7 THEN 65536 ELSE 147456 END WHEN u < 0.2 THEN 65536 WHEN u < 0.7 THEN 147456 ELSE 262144 END AS area FROM u",
+    "WITH u AS (SELECT sample_id, coalesce(len(images), 0) AS n, (('0x' || substr(sha1('area|' || sample_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) AS u FROM train) SELECT sample_id, CASE WHEN n > 1 THEN CASE WHEN u < 0.2 / 0.7 THEN 65536 ELSE 147456 END WHEN u < 0.2 THEN 65536 WHEN u < 0.7 THEN 147456 ELSE 262144 END AS area FROM u",
 )
 def _(spark, d):
     u = draws.uniform("area", F.col("sample_id"))

@@ -14,7 +14,7 @@ from skein.session import Written
 
 # Orders stand for expected files (of the customer's material), line items for those present.
 FILES = """WITH expected AS (SELECT 'm' || o_custkey % 40 AS material, 'd' || o_orderkey % 9 || '/f' || o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE floor(o_totalprice)::BIGINT END AS size FROM orders),
-there AS (SELECT path, max(size) AS found FROM (SELECT 'd' || l_orderkey % 9 || '/f' || l_orderkey AS path, floor(o_totalprice)::BIGINT + CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS size FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber > 4) GROUP BY path),
+there AS (SELECT 'd' || l_orderkey % 9 || '/f' || l_orderkey AS path, max(floor(o_totalprice)::BIGINT + CASE WHEN l_linenumber % 4 = 3 THEN 1 ELSE 0 END) AS found FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey),
 files AS (SELECT e.*, found, coalesce(size = 0 OR found = size, false) AND found IS NOT NULL AS ok FROM expected e LEFT JOIN there USING (path))
 """
 
@@ -27,8 +27,10 @@ def files(spark, d):
     o = table(spark, d, "orders")
     size = F.floor("o_totalprice")
     expected = o.select(F.concat(F.lit("m"), (F.col("o_custkey") % 40).cast("string")).alias("material"), path("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 7 == 0, 0).otherwise(size).alias("size"))
-    item = table(spark, d, "lineitem").where("l_linenumber > 4").select("l_orderkey").join(o.select(F.col("o_orderkey").alias("l_orderkey"), size.alias("s")), "l_orderkey")
-    there = item.select(path("l_orderkey").alias("path"), (F.col("s") + F.when(F.col("l_orderkey") % 11 == 0, 1).otherwise(0)).alias("size")).groupBy("path").agg(F.max("size").alias("size"))
+    # A file is there if its order has line items, and too long by one if one of them has number 3, 7 ...
+    late = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max((F.col("l_linenumber") % 4 == 3).cast("int")).alias("late"))
+    item = late.join(o.select(F.col("o_orderkey").alias("l_orderkey"), size.alias("s")), "l_orderkey")
+    there = item.select(path("l_orderkey").alias("path"), (F.col("s") + F.col("late")).alias("size"))
     return state.present(expected, there)
 
 
@@ -67,10 +69,13 @@ def _(spark, d):
     return files(spark, d).where("found is not null").groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(F.countDistinct("path").alias("files"), F.sum("found").alias("bytes"))
 
 
-@query("files_listed", FILES + "SELECT path, size, row_number() OVER (ORDER BY lower(path)) AS place FROM files WHERE path LIKE 'd1/%'")
+@query("files_listed", FILES + "SELECT path, size, row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/', 1) ORDER BY lower(path)) AS place FROM files")
 def _(spark, d):
-    f = files(spark, d).where(F.col("path").startswith("d1/")).select("path", "size", F.lower("path").alias("low"))
-    return ranked(f, ["low"], "place").drop("low")
+    """Each file with its place in its folder; a folder may hold a third of all files, so the places are ranks over ranges."""
+    f = files(spark, d).select("path", "size", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), F.lower("path").alias("low"))
+    r = Written(spark, "files").table(ranked(f, ["folder", "low"], "rn"), "ranked")
+    first = r.groupBy("folder").agg(F.min("rn").alias("first"))
+    return r.join(first, "folder").select("path", "size", (F.col("rn") - F.col("first") + 1).alias("place"))
 
 
 @query("stage_states", "WITH s AS (SELECT event_type AS stage, count(*) AS n, max(value) AS v FROM events GROUP BY event_type), a AS (SELECT event_type AS stage, bool_or(value > 190) AS there FROM events GROUP BY event_type) SELECT stage, CASE WHEN there THEN 'done' WHEN n > 2000 THEN 'running' ELSE 'waiting' END AS state FROM s LEFT JOIN a USING (stage)")
@@ -152,7 +157,7 @@ def _(spark, d):
 @query("log_tail", "SELECT event_id, event_type, value FROM events WHERE event_id > (SELECT max(event_id) - 1000 FROM events) ORDER BY event_id LIMIT 500")
 def _(spark, d):
     e = table(spark, d, "events")
-    last = e.agg(F.max("event_id")).first()[0]
+    last = e.agg(F.max("event_id")).first()[0] or 0
     return e.where(F.col("event_id") > last - 1000).orderBy("event_id").limit(500).select("event_id", "event_type", "value")
 
 
@@ -162,11 +167,11 @@ def _(spark, d):
     return table(spark, d, "train_log").groupBy("run_id").agg(F.round(took, 3).alias("seconds"), F.max("step").alias("steps"), F.when(took > 2, F.round((F.max("step") - F.min("step")) / took, 6)).alias("rate"))
 
 
-@query("manifest_upsert", "WITH old AS (SELECT o_orderkey % 3000 AS k, max(o_orderkey) AS step FROM orders WHERE o_orderkey < 6000 GROUP BY 1), new AS (SELECT o_orderkey AS k, o_orderkey * 2 AS step FROM orders WHERE o_orderkey BETWEEN 2000 AND 4000) SELECT k, step, row_number() OVER (ORDER BY coalesce(step, 0), k) AS place FROM (SELECT * FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT * FROM new)")
+@query("manifest_upsert", "WITH old AS (SELECT p_partkey AS k, nullif(p_size, 1)::BIGINT AS step FROM part), new AS (SELECT l_suppkey AS k, max(l_orderkey)::BIGINT AS step FROM lineitem GROUP BY l_suppkey) SELECT k, step, row_number() OVER (ORDER BY coalesce(step, 0), k) AS place FROM (SELECT * FROM old WHERE k NOT IN (SELECT k FROM new) UNION ALL SELECT * FROM new)")
 def _(spark, d):
-    o = table(spark, d, "orders")
-    old = o.where("o_orderkey < 6000").groupBy((F.col("o_orderkey") % 3000).alias("k")).agg(F.max("o_orderkey").alias("step"))
-    new = o.where("o_orderkey between 2000 and 4000").select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") * 2).alias("step"))
+    """The parts as a manifest, the suppliers of all line items as its new entries."""
+    old = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.nullif(F.col("p_size").cast("bigint"), F.lit(1)).alias("step"))
+    new = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.max("l_orderkey").cast("bigint").alias("step"))
     return ranked(state.upsert(old, new, "k").withColumn("s", F.coalesce("step", F.lit(0))), ["s", "k"], "place").drop("s")
 
 
@@ -243,3 +248,37 @@ def _(spark, d):
 @query("error_counts", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def _(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+# Parts stand for exported files: name, size and time.
+EXPORTS = """WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'owl_adapter-f16.gguf' WHEN 1 THEN 'owl_vision-' || CASE p_size % 2 WHEN 0 THEN 'f16' ELSE 'q8_0' END || '.gguf' WHEN 2 THEN 'owlet_' || p_size || '.gguf' ELSE 'owl_notes.txt' END AS name FROM part)
+"""
+
+
+def exports(spark, d):
+    k = F.col("p_partkey") % 4
+    vision = F.concat(F.lit("owl_vision-"), F.when(F.col("p_size") % 2 == 0, "f16").otherwise("q8_0"), F.lit(".gguf"))
+    name = F.when(k == 0, "owl_adapter-f16.gguf").when(k == 1, vision).when(k == 2, F.concat(F.lit("owlet_"), F.col("p_size").cast("string"), F.lit(".gguf"))).otherwise("owl_notes.txt")
+    return table(spark, d, "part").select("p_partkey", name.alias("name"))
+
+
+@query("export_prefix", EXPORTS + "SELECT name, count(*) AS n FROM f WHERE name LIKE '%.gguf' AND starts_with(name, 'owl_') GROUP BY name")
+def _(spark, d):
+    """The exports of one project among those of others: its base name without the ending, an underscore, and the format's suffix."""
+    return state.exports_of(exports(spark, d), "owl_adapter").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("companions", EXPORTS + ", p AS (SELECT p_partkey // 40 AS project, name, p_partkey FROM f WHERE regexp_matches(name, '_vision-(f16|q8_0)[.]gguf$')) SELECT project, arg_max(name, (name LIKE '%-q8_0.gguf', -p_partkey)) AS companion, count(*) AS n FROM p GROUP BY project")
+def _(spark, d):
+    """Of each project's companion files the first, replaced by the first of the quantisation that is wanted."""
+    f = exports(spark, d).withColumn("project", F.floor(F.col("p_partkey") / 40)).where(F.col("name").rlike(r"_vision-(f16|q8_0)\.gguf$"))
+    return f.groupBy("project").agg(state.preferred("name", F.col("name").endswith("-q8_0.gguf"), F.col("p_partkey")).alias("companion"), F.count("*").alias("n"))
+
+
+@query("headline_entries", LOG + ", e AS (SELECT run_id, step, CASE WHEN loss IS NOT NULL AND NOT isnan(loss) AND run_id < 'run_5' THEN ['loss'] ELSE [] END AS a, loss, val_cos, rate FROM log) SELECT run_id, step, CASE WHEN run_id < 'run_5' AND loss IS NOT NULL THEN 'loss' ELSE array_to_string(list_filter([CASE WHEN val_cos IS NOT NULL THEN 'val_cos' END, CASE WHEN rate IS NOT NULL THEN 'rate' END], lambda x: x IS NOT NULL), ' ') END AS keys FROM e")
+def _(spark, d):
+    """The keys a report shows: the recipe's own in its order, where it has any that are there, else all that are numbers, but for the time."""
+    e = log(spark, d)
+    named = F.when(F.col("run_id") < "run_5", F.array(F.lit("loss"))).otherwise(F.array().cast("array<string>"))
+    values = F.create_map(*(x for k in ("loss", "val_cos", "rate", "time") for x in (F.lit(k), F.when((F.col("run_id") < "run_5") | (F.lit(k) != "loss"), F.col(k)))))
+    return e.select("run_id", "step", F.array_join(state.headline(values, named, ("val_cos", "rate", "loss", "time")), " ").alias("keys"))

@@ -142,11 +142,11 @@ def _(spark, d):
     return y.select("vec_id", F.round(F.col("y")[0], 6).alias("y0"), F.round(F.col("y")[1], 6).alias("y1"))
 
 
-@query("affine_fold", MOM + "SELECT x.vec_id, x.dim, round(sqrt(var) * x.x, 6) AS w, round(sqrt(var) * 0.5 + mean, 6) AS b FROM x JOIN m USING (dim) WHERE x.label = 1")
+@query("affine_fold", MOM + "SELECT x.vec_id, x.dim, round(sqrt(var) * x.x, 6) + 0.0::DOUBLE AS w, round(sqrt(var) * 0.5 + mean, 6) AS b FROM x JOIN m USING (dim)")
 def _(spark, d):
-    x = emb(spark, d).where("label = 1").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
+    x = emb(spark, d).select("vec_id", F.posexplode("embedding").alias("dim", "x"))
     got = x.join(F.broadcast(moments(spark, d)), "dim")  # a row a dimension
-    return got.select("vec_id", "dim", F.round(F.col("sigma") * F.col("x").cast("double"), 6).alias("w"), F.round(F.col("sigma") * 0.5 + F.col("mean"), 6).alias("b"))
+    return got.select("vec_id", "dim", (F.round(F.col("sigma") * F.col("x").cast("double"), 6) + F.lit(0.0)).alias("w"), F.round(F.col("sigma") * 0.5 + F.col("mean"), 6).alias("b"))
 
 
 @query("gathered_rows", "WITH ids AS (SELECT sample_id, unnest(range(4)) AS k FROM train), g AS (SELECT sample_id, k, (sample_id * 7 + k) % 600 AS id FROM ids) SELECT sample_id, k::INT AS k, round(coalesce(e.embedding[1]::DOUBLE, 0), 6) AS first FROM g LEFT JOIN embeddings e ON e.vec_id = g.id")
@@ -156,17 +156,16 @@ def _(spark, d):
     return g.join(e, "vec_id", "left").select("sample_id", "k", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("first"))
 
 
-@query("paired_vocabulary", "SELECT count(*) AS n, count(b.vec_id) AS both, round(sum(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE))), 4) AS s FROM embeddings a LEFT JOIN embeddings b ON a.vec_id = b.vec_id AND b.label < 8")
+@query("paired_vocabulary", "SELECT count(*) AS n, count(b.vec_id) AS both, round(sum(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE))), 4) AS s FROM embeddings a LEFT JOIN embeddings b ON a.vec_id = b.vec_id - 1")
 def _(spark, d):
-    b = emb(spark, d).where("label < 8").select("vec_id", F.col("embedding").alias("e2"))
+    b = emb(spark, d).select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"))
     return emb(spark, d).join(b, "vec_id", "left").agg(F.count("*").alias("n"), F.count("e2").alias("both"), F.round(F.sum(v.dot(F.col("embedding"), F.col("e2"))), 4).alias("s"))
 
 
 @query("pca_quality")
 def _(spark, d):
     """The variance kept by 1, 2, ... 16 components."""
-    _, top, _ = stats.principal_components(emb(spark, d), "embedding", 16)
-    mean, _, _ = stats.principal_components(emb(spark, d), "embedding", 1)
+    mean, top, _ = stats.principal_components(emb(spark, d), "embedding", 16)
     centred = emb(spark, d).select(v.subtract(F.col("embedding"), F.array(*map(F.lit, map(float, mean)))).alias("e"))
     score = centred.select(F.posexplode(v.linear(F.col("e"), top.tolist())).alias("component", "x"), v.dot(F.col("e"), F.col("e")).alias("all"))
     g = score.groupBy("component").agg((F.sum(F.col("x") * F.col("x")) / F.sum("all")).alias("part"))

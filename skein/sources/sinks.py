@@ -9,7 +9,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.session import shared_folder
@@ -39,22 +39,50 @@ def write_csv(df: DataFrame, name: str) -> str:
     return path
 
 
-def write_shards(df: DataFrame, path: str, contract: str) -> None:
-    """(split, shard) partitions; only the partitions of this write are replaced, and the contract marks the folder."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "shard").parquet(path)
+#: Shards of one folder.
+SHARDS_A_FOLDER = 1_024
+
+
+def write_shards(df: DataFrame, path: str, contract: str, a_folder: int = SHARDS_A_FOLDER) -> None:
+    """Folders (split, block) of ``a_folder`` shards each, sorted by shard. Only the folders of this write are replaced, so it must hold all shards of
+    each; the contract marks the whole."""
+    rows = df.withColumn("block", F.floor(F.col("shard") / a_folder).cast("int")).repartition("split", "shard").sortWithinPartitions("split", "block", "shard")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split", "block").parquet(path)
     mark(path, contract)
 
 
+def _shared(path: str) -> tuple:
+    """(JVM, file system, path) by Hadoop's API, so that a folder may be on any file system that Spark reads."""
+    sc = SparkSession.active().sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return sc._jvm, at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
 def mark(path: str, contract: str) -> None:
-    local = Path(path.removeprefix("file://"))
-    local.mkdir(parents=True, exist_ok=True)
-    write_atomic(local / "_contract", contract)
+    """The contract in the folder's ``_contract``; it is written beside and renamed, so it is whole or absent."""
+    jvm, fs, at = _shared(path)
+    part, whole = (jvm.org.apache.hadoop.fs.Path(at, name) for name in (f"_contract.{uuid.uuid4().hex}", "_contract"))
+    fs.mkdirs(at)
+    out = fs.create(part, True)
+    out.write(bytearray(contract.encode()))
+    out.close()
+    if fs.exists(whole):
+        fs.delete(whole, False)
+    if not fs.rename(part, whole):
+        raise OSError(f"{path} can't be marked")
 
 
 def is_current(path: str, contract: str) -> bool:
     """Whether the folder was written under this contract; another one invalidates all of it."""
-    p = Path(path.removeprefix("file://")) / "_contract"
-    return p.exists() and p.read_text() == contract
+    jvm, fs, at = _shared(path)
+    whole = jvm.org.apache.hadoop.fs.Path(at, "_contract")
+    if not fs.exists(whole):
+        return False
+    stream = fs.open(whole)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") == contract
+    finally:
+        stream.close()
 
 
 def write_atomic(path: Path | str, data: str) -> None:
@@ -115,7 +143,9 @@ def write_tensors(tensors: dict[str, np.ndarray], path: Path | str, kinds: dict[
 
 
 def copy_assets(assets: DataFrame, key: str, content: str, folder: str) -> DataFrame:
-    """Writes each different key's bytes once, in the tasks that hold them; an asset of the same size is left. (key, path, size)."""
+    """Writes each different key's bytes once, in the tasks that hold them; an asset of the same size is left. (key, path, size).
+
+    ``folder`` must be a path that all executors see, as a shared mount."""
 
     def run(batches):
         import pandas as pd

@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import draws
+from skein.operators.ranking import ranked
 
 
 def epoch_order(rows: DataFrame, epochs: int, batch: int, seed: int | str, shard: tuple[str, ...] = ("split", "shard"), row: str = "pos") -> DataFrame:
     """(epoch, shard_i, batch_i, place) of each row in each epoch: shards permuted by (seed, epoch), rows within a shard by
     (seed, epoch, shard); the last short batch of a shard is kept. Shards are bounded, and so are their windows; the number of a
-    shard comes from the table of shards, which has a row for each.
+    shard is its rank among all shards of the epoch, over range partitions.
     """
     epoch = rows.sparkSession.range(epochs).select(F.col("id").cast("int").alias("epoch"))
     shards = rows.select(*shard).distinct().crossJoin(F.broadcast(epoch))  # epochs are a handful
     order = draws.order_key(seed, F.col("epoch"), *map(F.col, shard))
-    shards = shards.withColumn("shard_i", F.row_number().over(Window.partitionBy("epoch").orderBy(order, *shard)) - 1)
+    placed = ranked(shards.withColumn("_o", order), ["epoch", "_o", *shard], "_rn")
+    first = placed.groupBy("epoch").agg(F.min("_rn").alias("_first"))
+    shards = placed.join(F.broadcast(first), "epoch").withColumn("shard_i", (F.col("_rn") - F.col("_first")).cast("int")).drop("_o", "_rn", "_first")
     each = rows.join(shards, list(shard))
     key = draws.order_key(seed, F.col("epoch"), *map(F.col, shard), F.col(row))
     place = F.row_number().over(Window.partitionBy("epoch", *shard).orderBy(key, row)) - 1
@@ -30,10 +33,12 @@ def after(epoch: int, shard_i: int, batch_i: int) -> Column:
 
 
 def take_in(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str], files_per_batch: int = 4) -> None:
-    """All files that arrived since the last call, in micro-batches. A batch that runs again replaces its own partitions."""
+    """All files that arrived since the last call, in micro-batches. A batch that runs again replaces its own folder; within it
+    rows are clustered by ``keys``, so there is a folder a batch, not one a shard."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.repartition(*keys).sortWithinPartitions(*keys).withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
