@@ -26,13 +26,14 @@ No pair at or above the threshold is lost: nothing above is a sample or a cap. W
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -241,17 +242,32 @@ def column_of_arrays(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarr
 
 
 def values(classes: DataFrame, sketch: Sketch, num: int, den: int, short: bool) -> DataFrame:
-    """(key): the values of each record, with ``short`` those of the short prefixes only."""
+    """(key, short): the values of each record and whether they are in its short prefix, with ``short`` only those."""
     shared = classes.sparkSession.sparkContext.broadcast(sketch)
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys_ = [np.zeros(0, np.uint64)]
+        found, inside = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for lo, hi, t, part, off in _slices(b):
             _, key, within = coordinates(t[lo:hi], part, off, shared.value, num, den)
-            keys_.append(key[within] if short else key)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys_).view(np.int64))], ["key"])
+            found.append(key[within] if short else key)
+            inside.append(within[within] if short else within)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(inside))], ["key", "short"])
 
-    return map_batches(classes.select("t", "id", "words"), one, "key bigint")
+    return map_batches(classes.select("t", "id", "words"), one, "key bigint, short boolean")
+
+
+def bit_tables(rows: DataFrame, sizes: dict[tuple, int], by: list[str]) -> dict[tuple, BitTable]:
+    """A table for each group of ``sizes`` (values of the columns ``by``: about how many keys) of rows (key, by), in one job."""
+    bits = {g: BitTable.bits_for(n) for g, n in sizes.items()}
+    case = "CASE " + " ".join("WHEN " + " AND ".join(f"{c} = {v}" for c, v in zip(by, g)) + f" THEN {64 - n}" for g, n in bits.items()) + " END"
+    slot = rows.selectExpr(*by, f"shiftrightunsigned(key, {case}) AS slot")
+    got = slot.groupBy(*by, F.expr("cast(shiftright(slot, 6) AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits")).toArrow()
+    at, words, of = got["at"].to_numpy(), got["bits"].to_numpy(), [got[c].to_numpy() for c in by]
+    out = {}
+    for g, n in bits.items():
+        here = np.logical_and.reduce([c == v for c, v in zip(of, g)]) if len(at) else np.zeros(0, bool)
+        out[g] = BitTable.filled(n, at[here], words[here])
+    return out
 
 
 def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -264,18 +280,21 @@ def _slices(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             yield lo, hi, t, words[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: BitTable, marked: BitTable | None = None) -> DataFrame:
-    """The postings of each record whose values ``posted`` holds; a value's record is left if it has it in its short prefix.
+#: A family of coordinates: from a batch of classes the (record, key, tag) of its postings.
+Family = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
 
-    With ``marked``, records with held-out rows are left and those with training rows right. Records without held-out rows then post only
-    what can meet a mark: their marked values that ``posted`` holds, and others that ``marked`` holds.
+def word_family(shared: Broadcast, num: int, den: int, sides: bool) -> Family:
+    """Postings of the records under those coordinates of their words that the first table holds; a value's record is left if it has it in its short prefix.
+
+    With ``sides``, records with held-out rows are left and those with training rows right. Records without held-out rows then post only
+    what can meet a mark: their marked values that the first table holds, and others that the second one, of marked values, holds.
     """
-    shared = classes.sparkSession.sparkContext.broadcast((sketch, posted, marked))
 
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+    def family(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sk, table, of_marks = shared.value
-        flags = None if of_marks is None else side_flags(b)
-        out_rec, out_key, out_tag = [], [], []
+        flags = side_flags(b) if sides else None
+        found = [(np.zeros(0, np.int64),) * 3]
         for lo, hi, t, part, off in _slices(b):
             rec, key, within = coordinates(t[lo:hi], part, off, sk, num, den)
             if flags is None:
@@ -284,13 +303,20 @@ def postings(classes: DataFrame, sketch: Sketch, num: int, den: int, posted: Bit
                 hit = (flags[lo:hi][rec] & np.uint64(LEFT) > 0) | (table.has(key) & within) | of_marks.has(key)
             rec, key, mark = rec[hit], key[hit], within[hit].astype(np.uint64) * np.uint64(MARK)
             side = flags[lo:hi][rec] if flags is not None else within[hit].astype(np.uint64) * np.uint64(LEFT) | np.uint64(RIGHT)
-            key, tag = posting_columns(key, rec, parities(part, off)[0], np.diff(off), t[lo:hi], mark | side)
-            out_rec.append(rec + lo)
-            out_key.append(key)
-            out_tag.append(tag)
-        return posting_batch(b, out_rec, out_key, out_tag)
+            found.append((rec + lo, *posting_columns(key, rec, parities(part, off)[0], np.diff(off), t[lo:hi], mark | side)))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    return family
 
-    return map_batches(classes.select("t", "id", "words", *(() if marked is None else ("n", "n_held"))), one, POSTING)
+
+def postings(classes: DataFrame, families: list[Family], columns: list[str]) -> DataFrame:
+    """The postings of all families, made in one pass over ``columns`` of the classes."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        rec, key, tag = map(np.concatenate, zip(*(family(b) for family in families)))
+        return pa.RecordBatch.from_arrays([pa.array(key), b.column("id").take(pa.array(rec)), pa.array(tag)], ["key", "id", "tag"])
+
+    return map_batches(classes.select(*columns), one, POSTING)
 
 
 def side_flags(b: pa.RecordBatch) -> np.ndarray:
@@ -299,11 +325,6 @@ def side_flags(b: pa.RecordBatch) -> np.ndarray:
     return (held > 0) * np.uint64(LEFT) | (held < n) * np.uint64(RIGHT)
 
 
-def posting_batch(b: pa.RecordBatch, rec: list[np.ndarray], key: list[np.ndarray], tag: list[np.ndarray]) -> pa.RecordBatch:
-    rec_, key_, tag_ = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (rec, key, tag))
-    return pa.RecordBatch.from_arrays([pa.array(key_), b.column("id").take(pa.array(rec_)), pa.array(tag_)], ["key", "id", "tag"])
-
-
 #: ``t`` with the kind of the value as its second bit.
 PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, tag bigint"
 
@@ -489,27 +510,28 @@ def counted(classes: DataFrame, pairs: DataFrame, out: Written, num: int, den: i
     return both.where(F.col("shared") * (num + den) >= num * (F.size("w_a") + F.size("w_b"))).select(*pairs.columns, "shared")
 
 
-def word_postings(classes: DataFrame, num: int, den: int, sides: bool) -> DataFrame:
-    """The postings of all records under the coordinates of their words."""
+def word_tables(classes: DataFrame, num: int, den: int, sides: bool) -> tuple[Sketch, BitTable, BitTable | None]:
+    """The sketch, the values that are posted, and with ``sides`` those that held-out records have in their short prefixes."""
     sketch = sketch_of(classes)
-    if sides:  # values of held-out records; training records have to meet one
-        held = classes.where("n_held > 0")
-        n = held.count()
-        tables = BitTable.of(values(held, sketch, num, den, False), 8 * n), BitTable.of(values(held, sketch, num, den, True), 2 * n)
-    else:
-        tables = BitTable.of(values(classes, sketch, num, den, True), 2 * sketch.records), None
-    return postings(classes, sketch, num, den, *tables)
+    if not sides:
+        return sketch, BitTable.of(values(classes, sketch, num, den, True), 2 * sketch.records), None
+    held = classes.where("n_held > 0")
+    n, all_ = held.count(), values(held, sketch, num, den, False)
+    both = all_.withColumn("short", F.explode(F.when(F.col("short"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    tables = bit_tables(both, {(False,): 8 * n, (True,): 2 * n}, ["short"])
+    return sketch, tables[False,], tables[True,]
 
 
-def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT, more: DataFrame | None = None) -> DataFrame:
+def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10, sides: bool = False, hot: int = HOT, more: Family | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
     """(t, id_a, id_b, shared, collisions, chunks): pairs of records with similarity of at least num/den.
 
     ``classes`` is (t, id, words, n, n_held, ...), ids unique within t; it is read several times and should be a
-    written table. With ``sides``, only pairs of a record with held-out rows and one with training rows. ``more`` postings
-    are joined with those of the words.
+    written table. With ``sides``, only pairs of a record with held-out rows and one with training rows. The postings of another family, ``more``, made
+    from ``columns`` too, are joined with those of the words.
     """
-    posts = word_postings(classes, num, den, sides)
-    candidates = collide(posts if more is None else posts.unionByName(more), out, num, den, hot)
+    shared = classes.sparkSession.sparkContext.broadcast(word_tables(classes, num, den, sides))
+    families = [word_family(shared, num, den, sides), *([more] if more else [])]
+    candidates = collide(postings(classes, families, ["t", "id", "words", "n", "n_held", *columns]), out, num, den, hot)
     left = gate(classes, candidates, out, num, den, sides)
     out.drop("candidates")
     return counted(classes, left, out, num, den)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import near
-from skein.llm.records import salt_join, texts
+from skein.llm.records import in_classes, salt_join, texts
 from skein.session import Written
 
 KEY = ["k_hi", "k_lo"]
@@ -25,8 +25,8 @@ def class_pairs(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def expand(members: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
     """(tab, x, y[, held of both]): all rows of the classes of each pair, hot classes salted."""
-    left = members.withColumnsRenamed({"id": "x", "k_hi": "x_hi", "k_lo": "x_lo", "held": "held_x"})
-    right = members.withColumnsRenamed({"id": "y", "k_hi": "y_hi", "k_lo": "y_lo", "held": "held_y"})
+    left = in_classes(members, pairs, "x").withColumnsRenamed({"id": "x", "k_hi": "x_hi", "k_lo": "x_lo", "held": "held_x"})
+    right = in_classes(members, pairs, "y").withColumnsRenamed({"id": "y", "k_hi": "y_hi", "k_lo": "y_lo", "held": "held_y"})
     first = salt_join(left, pairs, ["tab", "x_hi", "x_lo"], "x", "n_x", total)
     return salt_join(right, first, ["tab", "y_hi", "y_lo"], "y", "n_y", total, counts=pairs)
 

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import forms, keys, near
-from skein.llm.records import digest_columns, map_batches, read, salt_join
+from skein.llm.records import digest_columns, in_classes, map_batches, read, salt_join
 from skein.session import Written
 
 #: Words of the rolling hash, bits of it that are zero at a cut (a chunk has 2**CUT_BITS words on average), held-out
@@ -136,24 +137,19 @@ def held_tables(held: DataFrame, out: Written, many: int = MANY, most: int = DEP
 
     found = map_batches(held.select("t", "seq"), one, "depth byte, key bigint").groupBy("depth", "key").agg(F.count("*").alias("n"))
     counted = out.table(found.select("depth", "key", (F.col("n") > many).alias("common")), "digests")
-    sizes = {(r.depth, r.common): r.n for r in counted.groupBy("depth", "common").agg(F.count("*").alias("n")).collect()}
-    bits = {(d, c): near.BitTable.bits_for(sizes.get((d, c), 0)) for d in range(1, most + 1) for c in (False, True)}
-    cases = " ".join(f"WHEN depth = {d} AND {'common' if c else 'NOT common'} THEN {64 - n}" for (d, c), n in bits.items())
-    slot = counted.selectExpr("depth", "common", f"shiftrightunsigned(key, CASE {cases} END) AS slot")
-    words = slot.groupBy("depth", "common", F.expr("cast(shiftright(slot, 6) AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits")).toArrow()
-    depth, common, at, filled = (words[c].to_numpy() for c in ("depth", "common", "at", "bits"))
-    of = lambda d, c: (depth == d) & (common == c)
+    sizes = {(d, c): 0 for d in range(1, most + 1) for c in (False, True)}
+    sizes |= {(r.depth, r.common): r.n for r in counted.groupBy("depth", "common").agg(F.count("*").alias("n")).collect()}
+    tables = near.bit_tables(counted, sizes, ["depth", "common"])
     out.drop("digests")
-    return [tuple(near.BitTable.filled(bits[d, c], at[of(d, c)], filled[of(d, c)]) for c in (False, True)) for d in range(1, most + 1)]
+    return [(tables[d, False], tables[d, True]) for d in range(1, most + 1)]
 
 
-def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable]], few: int = FEW) -> DataFrame:
+def chunk_family(shared: Broadcast, few: int = FEW) -> near.Family:
     """The postings of each record under the digests that held-out records have; those are left, records with training rows right."""
-    shared = classes.sparkSession.sparkContext.broadcast(tables)
 
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+    def family(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not b.num_rows:
-            return near.posting_batch(b, [], [], [])
+            return (np.zeros(0, np.int64),) * 3
         seq, offsets = near.column_of_arrays(b, "seq")
         words, off = near.column_of_arrays(b, "words")
         t, flags = b.column("t").to_numpy(zero_copy_only=False), near.side_flags(b)
@@ -170,10 +166,9 @@ def postings(classes: DataFrame, tables: list[tuple[near.BitTable, near.BitTable
         if long.any():  # a chunk that a long record repeats is posted once; in a short one it does no harm
             _, once = np.unique(near.mix(key[long], rec[long].astype(np.uint64)), return_index=True)
             rec, key = np.concatenate([rec[~long], rec[long][once]]), np.concatenate([key[~long], key[long][once]])
-        key, tag = near.posting_columns(key, rec, near.parities(words, off)[0], np.diff(off), t, flags[rec] | np.uint64(near.MARK | near.CHUNK))
-        return near.posting_batch(b, [rec], [key], [tag])
+        return rec, *near.posting_columns(key, rec, near.parities(words, off)[0], np.diff(off), t, flags[rec] | np.uint64(near.MARK | near.CHUNK))
 
-    return map_batches(classes.select("t", "id", "seq", "words", "n", "n_held"), one, near.POSTING)
+    return family
 
 
 def chunk_overlaps(pairs: DataFrame) -> DataFrame:
@@ -210,8 +205,8 @@ def class_overlaps(rows: DataFrame, out: Written, num: int, den: int, hot: int)
     classes = out.table(classes_of(shaped), "classes")
     members = out.table(shaped.drop("seq"), "members")
     out.drop("shaped")
-    tables = held_tables(classes.where("n_held > 0"), out)
-    found = near.near_classes(classes, out, num, den, sides=True, hot=hot, more=postings(classes, tables))
+    tables = classes.sparkSession.sparkContext.broadcast(held_tables(classes.where("n_held > 0"), out))
+    found = near.near_classes(classes, out, num, den, sides=True, hot=hot, more=chunk_family(tables), columns=("seq",))
     path = F.when(F.col("chunks") > 0, "chunks").otherwise("words").alias("path")
     links = out.table(found.select("t", "id_a", "id_b", "shared", path), "links")
     out.drop("gated")
@@ -239,8 +234,8 @@ def overlaps(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HOT)
         f"{_tab('t')} AS tab", "a.k_hi AS a_hi", "a.k_lo AS a_lo", "a.n_held AS n_a", "b.k_hi AS b_hi", "b.k_lo AS b_lo", "b.n - b.n_held AS n_b", "o_a", "o_b", "path"
     )
     pairs_ = out.table(directed, "pairs")
-    held = members.where("held").selectExpr("tab", "id AS x", "k_hi AS a_hi", "k_lo AS a_lo")
-    kept = members.where("not held").selectExpr("tab", "id AS y", "k_hi AS b_hi", "k_lo AS b_lo")
+    held = in_classes(members.where("held"), pairs_, "a").selectExpr("tab", "id AS x", "k_hi AS a_hi", "k_lo AS a_lo")
+    kept = in_classes(members.where("not held"), pairs_, "b").selectExpr("tab", "id AS y", "k_hi AS b_hi", "k_lo AS b_lo")
     total = members.count()
     first = salt_join(held, pairs_, ["tab", "a_hi", "a_lo"], "x", "n_a", total)
     got = salt_join(kept, first, ["tab", "b_hi", "b_lo"], "y", "n_b", total, counts=pairs_)

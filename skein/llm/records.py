@@ -62,3 +62,13 @@ def salt_join(rows: DataFrame, small: DataFrame, keys: list[str], id_col: str, n
     at = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(id_col), F.col("_parts")).cast("int")).otherwise(F.lit(-1))
     marked = rows.join(F.broadcast(hot_keys), keys, "left").withColumn("_part", at).drop("_parts")
     return marked.join(spread, [*keys, "_part"]).drop("_part")
+
+
+#: Classes that may be broadcast as they are (some 12 MB).
+MOST_CLASSES = 300_000
+
+
+def in_classes(members: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """The members (tab, k_hi, k_lo, ...) of the classes on one side of the pairs; where these are too many to broadcast, all members."""
+    of = pairs.select("tab", F.col(f"{side}_hi").alias("k_hi"), F.col(f"{side}_lo").alias("k_lo")).distinct()
+    return members.join(F.broadcast(of), ["tab", "k_hi", "k_lo"], "left_semi") if of.count() <= MOST_CLASSES else members
