@@ -127,3 +127,20 @@ def word_ids(c: Column, vocabulary: int = 32_000, window: int = 64, pad: bool =
     ids = F.transform(F.slice(words, 1, window - 1), lambda w: (F.crc32(w) % (vocabulary - 2) + 2).cast("int"))
     ids = F.concat(ids, F.array(F.lit(1)))
     return F.concat(ids, F.array_repeat(F.lit(0), F.lit(window) - F.size(ids))) if pad else ids
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A command or sentence with ``{name}`` replaced by columns; null ones as "<name>"."""
+    out = F.lit(template)
+    for name, c in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit(f"<{name}>")))
+    return out
+
+
+def archive_suffix(time: Column) -> Column:
+    """A time as the ending of an archived name."""
+    return F.date_format(time, "yyyyMMdd-HHmmss")
+
+
+def epoch_seconds(time: Column) -> Column:
+    return F.unix_micros(time.cast("timestamp")) / 1e6

@@ -40,6 +40,18 @@ def pool(sources: list[DataFrame], least: int = LEAST, most: int = MOST) -> Data
     return first_wins(normalised(union_sources(sources), least, most))
 
 
+def check_size(n: int, n_val: int, spare: int) -> None:
+    """A pool must hold ``spare`` texts more than are held out (100 for texts, 8 for images)."""
+    if n < n_val + spare:
+        raise ValueError(f"the pool is too small for {n_val} held-out texts")
+
+
+def checked_length(rows: DataFrame, column: str, most: int, key: str) -> DataFrame:
+    """The rows; one whose ``column`` is longer than ``most`` fails the job with its key and how it begins."""
+    says = F.concat(F.lit("too long: "), F.col(key).cast("string"), F.lit(" has "), F.length(column).cast("string"), F.lit(" characters: "), text.preview(F.col(column)))
+    return rows.withColumn(column, F.when(F.length(column) > most, F.raise_error(says)).otherwise(F.col(column)))
+
+
 def head_split(rows: DataFrame, n_val: int, n_train: int, seed: int | str, key: str) -> DataFrame:
     """``split`` and ``rn``: the first ``n_val`` rows of the seeded order are val, the next ``n_train`` train; fewer are allowed."""
     keyed = rows.withColumn("_order", draws.order_key(seed, F.col(key)))

@@ -115,3 +115,11 @@ def fold_affine(weights: np.ndarray, bias: np.ndarray, mean: np.ndarray, sigma:
 def masked_loss(pred: Column, target: Column, sigma: Column) -> Column:
     """Sum over the dimensions of ((p - t) / sigma) squared."""
     return vectors.total(F.zip_with(vectors.subtract(pred, target), sigma, lambda d, s: (d / s) * (d / s)))
+
+
+def paired_tables(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Row i of one table with row i of the other (suffix ``_r``); tables of different sizes are an error."""
+    n, m = left.count(), right.count()
+    if n != m:
+        raise ValueError(f"tables of {n} and {m} rows can't be paired")
+    return left.join(right.withColumnsRenamed({c: f"{c}_r" for c in right.columns if c != key}), key)

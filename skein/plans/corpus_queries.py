@@ -260,3 +260,35 @@ def _(spark, d):
 def _(spark, d):
     pattern = F.replace(F.lit("Put {cat} from image 1 beside {cap}"), F.lit("{cat}"), F.lit("{x}"))
     return table(spark, d, "train").where("cardinality(images) = 2").select("sample_id", F.replace(pattern, F.lit("{cap}"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+SOURCES = f"""WITH u AS (SELECT 0 AS src_ord, row_ord, text FROM prompts UNION ALL SELECT 1, sample_id, text FROM train UNION ALL SELECT 2, doc_id, text FROM documents),
+n AS (SELECT src_ord, row_ord, {norm('text')} AS text FROM u), k AS (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY src_ord, row_ord, text) AS k FROM n WHERE length(text) BETWEEN 8 AND 1200)
+"""
+
+
+@query("pooled_sources", SOURCES + "SELECT src_ord, row_ord, text FROM k WHERE k = 1")
+def _(spark, d):
+    """Prompts, training texts and documents as one pool, in this order; the first of equal texts stays."""
+    p, t, c = (table(spark, d, n) for n in ("prompts", "train", "documents"))
+    sources = [p.select("row_ord", "text"), t.select(F.col("sample_id").alias("row_ord"), "text"), c.select(F.col("doc_id").alias("row_ord"), "text")]
+    return corpus.pool(sources).select("src_ord", "row_ord", "text")
+
+
+_KIND = "CASE coalesce(len(images), 0) WHEN 0 THEN 'text' WHEN 1 THEN 'image' ELSE 'two' END"
+
+
+@query("mixed_samples", f"WITH k AS (SELECT {_KIND} AS kind, sample_id FROM train) SELECT kind, sample_id, row_number() OVER (ORDER BY md5('8|' || kind || '|' || sample_id), sample_id) AS place FROM k")
+def _(spark, d):
+    """Samples of one image, of two and of text alone, put together and shuffled."""
+    n, t = F.coalesce(F.expr("cardinality(images)"), F.lit(0)), table(spark, d, "train")
+    parts = [t.where(w).select(F.lit(kind).alias("kind"), "sample_id") for kind, w in (("image", n == 1), ("two", n > 1), ("text", n == 0))]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return ranked(rows.withColumn("o", draws.order_key(8, F.col("kind"), F.col("sample_id"))), ["o", "sample_id"], "place").select("kind", "sample_id", "place")
+
+
+@query("commands", "SELECT DISTINCT source, 'encode --student ' || coalesce(source, '<student>') || '.bin --extra ' || coalesce(split, '<extra>') AS command, strftime(max(ingested_at) OVER (PARTITION BY source, split), '%Y%m%d-%H%M%S') AS archived FROM prompts")
+def _(spark, d):
+    g = table(spark, d, "prompts").groupBy("source", "split").agg(F.max("ingested_at").alias("t"))
+    command = text.filled("encode --student {student}.bin --extra {extra}", student=F.col("source"), extra=F.col("split"))
+    return g.select("source", command.alias("command"), text.archive_suffix(F.col("t")).alias("archived")).distinct()

@@ -21,7 +21,7 @@ from skein.operators.shards import chunk
 from skein.plans.recipes import RECIPES, Recipe, dotted, merged
 from skein.sources import readers, sinks
 
-DEFAULTS = {"corpus": {"n_val": 1_024, "n_train": 60_000, "blank": 0.015, "seed": 8, "min_chars": 8, "max_chars": 1200}, "fit": {"penalty": 1e-4}, "eval": True}
+DEFAULTS = {"corpus": {"n_val": 1_024, "n_train": 60_000, "blank": 0.015, "seed": 8, "min_chars": 8, "max_chars": 1200, "spare": 8}, "fit": {"penalty": 1e-4}, "eval": True}
 STAGES = ("corpus", "shards_val", "shards_train", "fit", "export", "eval")
 #: What a reset of a stage removes: its artifacts and those made from them.
 RESETS = {s: STAGES[i:] for i, s in enumerate(STAGES)} | {"shards_val": ("shards_val", "eval")}
@@ -90,8 +90,7 @@ class Project:
         pool = corpus.pool([source], c["min_chars"], c["max_chars"])
         split = corpus.head_split(pool.withColumn("key", F.concat_ws("/", "src_ord", "row_ord")), c["n_val"], c["n_train"], c["seed"], "key")
         n = split.count()
-        if n < c["n_val"] + 8:
-            raise ValueError(f"the pool is too small for {c['n_val']} held-out texts")
+        corpus.check_size(n, c["n_val"], c["spare"])
         val = corpus.blank_tail(split.where("split = 'val'"), c["n_val"], c["blank"], 1)
         train = split.where("split = 'train'").withColumn("rn", F.col("rn") - c["n_val"])
         train = corpus.blank_tail(train, n - c["n_val"], c["blank"]).withColumn("rn", F.col("rn") + c["n_val"])

@@ -228,3 +228,10 @@ def _(spark, d):
     ids = F.concat(F.array(F.lit(101), F.lit(102)), F.array_repeat(F.lit(9), n * 3), F.array(F.length(F.coalesce("text", F.lit(""))), F.lit(2)))
     at = F.when(n > 0, F.array_position(F.slice(ids, 1, 3), F.lit(9)).cast("int") - 1).otherwise(-1)
     return table(spark, d, "train").select("sample_id", F.array_join(ids, " ").alias("ids"), at.alias("first_image"))
+
+
+@query("rows_by_key", ROWS + ", k AS (SELECT split, shard, len(prompts) - 1 AS pos FROM shards) SELECT r.split, r.shard, r.pos::INT AS pos, r.text FROM rows r JOIN k ON r.split = k.split AND r.shard = k.shard AND r.pos = k.pos")
+def _(spark, d):
+    """A point read by (container, row): the last, longest row of each shard; the packed arrays are read at that place, not exploded."""
+    s = table(spark, d, "shards").withColumn("pos", F.size("prompts") - 1)
+    return s.where("pos >= 0").select("split", "shard", "pos", F.coalesce(F.get("prompts", F.col("pos")), F.lit("")).alias("text"))

@@ -282,3 +282,10 @@ def _(spark, d):
     named = F.when(F.col("run_id") < "run_5", F.array(F.lit("loss"))).otherwise(F.array().cast("array<string>"))
     values = F.create_map(*(x for k in ("loss", "val_cos", "rate", "time") for x in (F.lit(k), F.when((F.col("run_id") < "run_5") | (F.lit(k) != "loss"), F.col(k)))))
     return e.select("run_id", "step", F.array_join(state.headline(values, named, ("val_cos", "rate", "loss", "time")), " ").alias("keys"))
+
+
+@query("in_flight", FILES + "SELECT regexp_extract(path, '^(.*)/', 1) AS folder, count(*) AS files, sum(found)::BIGINT AS bytes FROM files WHERE found IS NOT NULL AND NOT ok GROUP BY 1")
+def _(spark, d):
+    """Bytes of files that are there but not whole, for each folder."""
+    part = files(spark, d).where("found is not null and not ok")
+    return part.groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(F.count("*").alias("files"), F.sum("found").alias("bytes"))

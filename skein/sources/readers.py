@@ -73,13 +73,11 @@ def caption_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def caption_parquet(spark: SparkSession, path: str, caption: str) -> DataFrame:
-    """(file, key, captions) of caption files: ``caption`` a string or a list; the key is the file's stem and the row within it."""
-    df = spark.read.parquet(path)
+    """(file, key, captions) of caption files: ``caption`` a string or a list; the key is the file's stem and the row's place in it."""
+    df = with_row_keys(spark, path)
     as_list = F.col(caption) if dict(df.dtypes)[caption].startswith("array") else F.array(caption)
     kept = F.filter(F.transform(as_list, lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
-    file = F.col("_metadata.file_path")
-    place = F.concat_ws("-", text.stem(file), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    return df.select(file.alias("file"), place.alias("key"), kept.alias("captions"))
+    return df.select(F.col("_metadata.file_path").alias("file"), "key", kept.alias("captions"))
 
 
 def folder(spark: SparkSession, path: str, suffixes: list[str] = IMAGE_SUFFIXES) -> DataFrame:
@@ -192,3 +190,82 @@ def tail(path: str, after: int, limit: int = 1 << 18) -> dict:
         at = f.tell()
         data = f.read(limit)
     return {"text": data.decode(errors="replace"), "next": at + len(data), "size": size}
+
+
+def zip_members(spark: SparkSession, paths: list[str], keys: DataFrame) -> DataFrame:
+    """(key, content) of the members of zip files whose file name is ``key``; of several the last of the last file counts. A task an archive, and a member
+    is unpacked only if a key asks for it; ``keys`` (key) is sent to the tasks by a join on the listing, not as a list."""
+
+    def list_(batches: Iterator) -> Iterator:
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            for at, path in zip(b["at"], b["path"]):
+                names = [n for n in zipfile.ZipFile(path).namelist() if not n.endswith("/")]
+                yield pd.DataFrame({"at": at, "path": path, "place": range(len(names)), "member": names, "key": [n.rsplit("/", 1)[-1] for n in names]})
+
+    def unpack(batches: Iterator) -> Iterator:
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            for path, part in b.groupby("path", sort=False):
+                with zipfile.ZipFile(path) as z:
+                    yield pd.DataFrame({"key": part["key"].to_numpy(), "content": [z.read(m) for m in part["member"]]})
+
+    files = spark.createDataFrame(list(enumerate(paths)), "at int, path string").repartition(max(1, len(paths)))
+    listed = files.mapInPandas(list_, "at int, path string, place bigint, member string, key string")
+    last = listed.groupBy("key").agg(F.max_by(F.struct("path", "member"), F.struct("at", "place")).alias("m"))
+    wanted = last.join(keys.select("key").distinct(), "key").select("key", "m.path", "m.member")
+    return wanted.repartition("path").mapInPandas(unpack, "key string, content binary")
+
+
+def with_row_keys(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet folder with ``key``: the file's stem and the row's place in the file, which no split size changes."""
+    df = spark.read.parquet(path)
+    return df.select("*", F.concat_ws("-", text.stem(F.col("_metadata.file_path")), F.col("_metadata.row_index")).alias("key"))
+
+
+def rows_by_key(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``with_row_keys`` whose key is asked for."""
+    return with_row_keys(spark, path).join(keys.select("key").distinct(), "key")
+
+
+def captions(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """Captions of any of the known layouts: "csv" (options: schema), "parquet" (caption), or "folder" of images."""
+    known = {"csv": lambda: caption_csv(spark, path, options["schema"]), "parquet": lambda: caption_parquet(spark, path, options["caption"]), "folder": lambda: folder(spark, path)}
+    if kind not in known:
+        raise ValueError(f"no layout {kind!r}; there are {', '.join(known)}")
+    return known[kind]()
+
+
+#: Columns of a device table as the driver's tool prints it, comma separated and without units.
+DEVICE = "name string, memory_total double, memory_used double, utilisation double, temperature double"
+
+
+def devices(spark: SparkSession, printed: str) -> DataFrame:
+    """(index, name, memory_total, memory_used, utilisation, temperature) of a printed device table; what is no number is null, short lines fall out."""
+    names = [x.split()[0] for x in DEVICE.split(", ")]
+    rows = [[y.strip() for y in x.split(",")] for x in printed.splitlines() if x.count(",") == len(names) - 1]
+    raw = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "index int, " + ", ".join(f"{n} string" for n in names))
+    return raw.select("index", "name", *(F.col(n).try_cast("double").alias(n) for n in names[1:]))
+
+
+def host(spark: SparkSession) -> dict:
+    """What the session runs on."""
+    import platform
+
+    sc = spark.sparkContext
+    return {"python": platform.python_version(), "spark": spark.version, "system": platform.system(), "cores": sc.defaultParallelism, "master": sc.master}
+
+
+def tokenizer(path: str):
+    """A tokenizer from its JSON file, if the library for it is installed; else a ValueError that says so."""
+    try:
+        from tokenizers import Tokenizer
+    except ImportError as e:
+        raise ValueError("the tokenizers library is not installed") from e
+    return Tokenizer.from_file(path)

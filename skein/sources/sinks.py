@@ -58,33 +58,47 @@ def _shared(path: str) -> tuple:
     return sc._jvm, at.getFileSystem(sc._jsc.hadoopConfiguration()), at
 
 
-def mark(path: str, contract: str) -> None:
-    """The contract in the folder's ``_contract``; it is written beside and renamed, so it is whole or absent."""
+def write_shared(path: str, data: bytes) -> None:
+    """A small file, written beside and renamed, so it is whole or absent."""
     jvm, fs, at = _shared(path)
-    part, whole = (jvm.org.apache.hadoop.fs.Path(at, name) for name in (f"_contract.{uuid.uuid4().hex}", "_contract"))
-    fs.mkdirs(at)
+    part = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}")
+    fs.mkdirs(at.getParent())
     out = fs.create(part, True)
-    out.write(bytearray(contract.encode()))
+    out.write(bytearray(data))
     out.close()
-    if fs.exists(whole):
-        fs.delete(whole, False)
-    if not fs.rename(part, whole):
-        raise OSError(f"{path} can't be marked")
+    if fs.exists(at):
+        fs.delete(at, False)
+    if not fs.rename(part, at):
+        raise OSError(f"{path} can't be written")
 
 
-def is_current(path: str, contract: str) -> bool:
-    """Whether the folder was written under this contract; another one invalidates all of it."""
+def read_shared(path: str) -> bytes | None:
+    """The bytes of a small file, or None if it isn't there."""
     jvm, fs, at = _shared(path)
-    whole = jvm.org.apache.hadoop.fs.Path(at, "_contract")
-    if not fs.exists(whole):
-        return False
-    stream = fs.open(whole)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") == contract
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
     finally:
         stream.close()
 
 
+def remove_shared(path: str) -> None:
+    _, fs, at = _shared(path)
+    fs.delete(at, False)
+
+
+def mark(path: str, contract: str) -> None:
+    """The contract in the folder's ``_contract``."""
+    write_shared(f"{path}/_contract", contract.encode())
+
+
+def is_current(path: str, contract: str) -> bool:
+    """Whether the folder was written under this contract; another one invalidates all of it."""
+    return read_shared(f"{path}/_contract") == contract.encode()
+
+
 def write_atomic(path: Path | str, data: str) -> None:
     path = Path(path)
     part = path.with_name(f"{path.name}.{os.getpid()}.part")
