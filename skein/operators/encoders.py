@@ -33,7 +33,7 @@ def mock_tokens(dim: int = 16, vocabulary: int = 32_000, window: int = 32, seed:
     def run(texts: list[str]) -> list[np.ndarray]:
         out = []
         for t in texts:
-            ids = [2 + zlib.crc32(w.encode()) % (vocabulary - 2) for w in t.split()][: window - 1] + [1]
+            ids = word_ids(t, vocabulary, window)
             phase = np.array(ids)[:, None] * np.linspace(0.1, 1.0, dim)[None] + np.arange(len(ids))[:, None] * 0.01 + seed
             out.append(np.sin(phase).astype(np.float32))
         return out
@@ -41,6 +41,80 @@ def mock_tokens(dim: int = 16, vocabulary: int = 32_000, window: int = 32, seed:
     return run
 
 
+def word_ids(text: str, vocabulary: int = 32_000, window: int = 32) -> list[int]:
+    """Ids of a text's words by checksum, at most ``window`` with the end mark 1."""
+    return [2 + zlib.crc32(w.encode()) % (vocabulary - 2) for w in text.split()][: window - 1] + [1]
+
+
+def mock_seeded(dim: int = 16, seed: int = 7) -> Callable[[list[list[int]]], list[np.ndarray]]:
+    """A model that starts from token ids: a row an id, which depends on the ids before it too."""
+
+    def run(ids: list[list[int]]) -> list[np.ndarray]:
+        ladder = np.linspace(0.1, 1.0, dim)
+        return [np.sin((np.cumsum(x)[:, None] % 997 + seed) * ladder[None]).astype(np.float32) for x in ids]
+
+    return run
+
+
+#: Slots of an image in a sequence.
+IMAGE_SLOTS = 5
+
+
+def mock_aligned(dim: int = 16, seed: int = 7) -> Callable[[list[str], list[int]], list[dict]]:
+    """A model with a row for each position of text and images: ids (0 in image slots), rows, image rows, and the segments of the images.
+
+    Images come first, each in IMAGE_SLOTS slots with a mark between.
+    """
+    model = mock_seeded(dim, seed)
+
+    def run(texts: list[str], images: list[int]) -> list[dict]:
+        ids, starts = [], []
+        for t, n in zip(texts, images):
+            seq, at = [], []
+            for _ in range(n):
+                seq.append(3)
+                at.append(len(seq))
+                seq.extend([0] * IMAGE_SLOTS)
+            ids.append(seq + word_ids(t))
+            starts.append(at)
+        rows = model(ids)
+        return [{"ids": i, "t": r, "starts": s, "lens": [IMAGE_SLOTS] * len(s), "v": -r[[p + k for p in s for k in range(IMAGE_SLOTS)]]} for i, r, s in zip(ids, rows, starts)]
+
+    return run
+
+
+def encode_seeded(rows: DataFrame, make: Callable = mock_seeded, key: str = "sample_id", text: str = "text", batch: int = 256) -> DataFrame:
+    """(key, text, ids, t): the ids of each text and a row for each of them; null is the empty text."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for p in parts:
+            for at in range(0, len(p), batch):
+                q = p.iloc[at : at + batch]
+                texts = [t or "" for t in q[text]]
+                ids = list(map(word_ids, texts))
+                yield pd.DataFrame({key: q[key].to_numpy(), "text": texts, "ids": ids, "t": [x.tolist() for x in model(ids)]})
+
+    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, text string, ids array<int>, t array<array<float>>")
+
+
+def encode_aligned(rows: DataFrame, make: Callable = mock_aligned, key: str = "sample_id", text: str = "text", images: str = "n_images", batch: int = 256) -> DataFrame:
+    """(key, text, ids, t, v, starts, lens) by a model over texts and their number of images; nulls are the empty text and no image."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for p in parts:
+            for at in range(0, len(p), batch):
+                q = p.iloc[at : at + batch]
+                texts = [t or "" for t in q[text]]
+                got = model(texts, [int(n) if n == n and n is not None else 0 for n in q[images]])
+                out = {key: q[key].to_numpy(), "text": texts}
+                yield pd.DataFrame(out | {c: [x[c].tolist() if isinstance(x[c], np.ndarray) else x[c] for x in got] for c in ("ids", "t", "v", "starts", "lens")})
+
+    kind = f"{key} {dict(rows.dtypes)[key]}, text string, ids array<int>, t array<array<float>>, v array<array<float>>, starts array<int>, lens array<int>"
+    return rows.select(key, text, images).mapInPandas(run, kind)
+
+
 def encode(rows: DataFrame, make: Callable[[], Model], key: str = "sample_id", text: str = "text", batch: int = 256) -> DataFrame:
     """(key, len, rows ARRAY<ARRAY<FLOAT>>): ``make`` is called once in each task, and the model on at most ``batch`` texts; null is the empty text."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.functions import vectors
-from skein.operators import encoders, stats
+from skein.operators import encoders, layouts, stats
+from skein.operators.ranking import ranked
+from skein.operators.shards import chunk
 from skein.plans.registry import query, table
 from skein.plans.shard_queries import ROWS, rows
 from skein.session import Written
@@ -77,3 +79,28 @@ def _(spark, d):
     w = stats.ridge(both("train"), "x", "t")
     val = stats.split_rows(both("val").withColumn("y", vectors.linear(F.col("x"), w.T.tolist())), ["y", "t"], 4)
     return val.agg(F.avg(vectors.cosine(F.col("y"), F.col("t"))).alias("cos"), (F.sum(vectors.squared_distance(F.col("y"), F.col("t"))) / F.sum(vectors.dot(F.col("t"), F.col("t")))).alias("rel"))
+
+
+def _sharded(rows, key):
+    r = ranked(rows.withColumn("_n", F.length("text")), ["_n", key], "place").drop("_n")
+    return r.withColumn("shard", chunk(F.col("place"), 256))
+
+
+@query("seeded_shards")
+def _(spark, d):
+    """Validation texts in the seeded layout, packed and unpacked: for each shard its samples, ids and target rows, and the sum of the ids."""
+    rows = Written(spark, "seeded").table(encoders.encode_seeded(_sharded(table(spark, d, "val").select("sample_id", "text"), "sample_id").select("place", "text"), key="place"), "rows")
+    packed = layouts.pack(rows.withColumn("shard", chunk(F.col("place"), 256)), layouts.SEEDED)
+    back = layouts.unpack(packed, layouts.SEEDED)
+    total = F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return back.groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"), F.sum(F.size("t")).alias("rows"), F.sum(total).alias("id_sum"))
+
+
+@query("aligned_shards")
+def _(spark, d):
+    """Training samples with their images in the aligned layout with sparse targets: for each shard its samples, positions, target rows that stay, and image rows."""
+    rows = table(spark, d, "train").select("sample_id", "text", F.coalesce(F.expr("cardinality(images)"), F.lit(0)).alias("n_images"))
+    got = Written(spark, "aligned").table(encoders.encode_aligned(_sharded(rows, "sample_id").select("place", "text", "n_images"), key="place"), "rows")
+    sparse = got.withColumn("t", layouts.without_segments(F.col("t"), F.col("starts"), F.col("lens"))).withColumn("shard", chunk(F.col("place"), 256))
+    back = layouts.unpack(layouts.pack(sparse, layouts.ALIGNED), layouts.ALIGNED)
+    return back.groupBy("shard").agg(F.count("*").alias("n"), *(F.sum(F.size(c)).alias(a) for c, a in (("ids", "positions"), ("t", "kept"), ("v", "image_rows"), ("starts", "segments"))))

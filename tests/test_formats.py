@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.operators import corpus, stats
+from skein.operators import corpus, encoders, layouts, stats
 from skein.plans import training
 from skein.sources import gguf, readers, sinks
 
@@ -118,3 +118,27 @@ def test_gram_matrix_of_few_and_no_rows(spark):
     df = spark.createDataFrame([([1.0, 2.0],), (None,), ([3.0, 4.0],)], "v array<double>").repartition(3)
     assert {(r.i, r.j): r.value for r in stats.gram(df, "v").collect()} == {(0, 0): 10.0, (0, 1): 14.0, (1, 0): 14.0, (1, 1): 20.0}
     assert stats.gram(df.limit(0), "v").count() == 0
+
+
+def test_layouts_round_trip(spark):
+    rows = [(0, 0, [1, 2], [[0.5]], "a"), (0, 1, [], None, "b"), (1, 0, [3], [[1.0], [2.0]], None)]
+    df = spark.createDataFrame(rows, "shard int, place int, ids array<int>, t array<array<double>>, text string").repartition(2)
+    packed = layouts.pack(df, layouts.SEEDED)
+    assert {r.shard: (r.n, list(r.ids_off), len(r.t_pack)) for r in packed.collect()} == {0: (2, [0, 2], 1), 1: (1, [0], 2)}
+    got = {(r.shard, r.pos): (list(r.ids), list(map(list, r.t)), r.text) for r in layouts.unpack(packed, layouts.SEEDED).collect()}
+    assert got == {(s, p): (i, t or [], x) for s, p, i, t, x in rows}
+    old = layouts.pack(df.withColumn("starts", F.array().cast("array<int>")).withColumn("lens", F.array().cast("array<int>")).withColumn("v", F.array().cast("array<int>")), layouts.ALIGNED)
+    old = old.drop("v_pack", "v_len", "v_off")
+    assert all(r.v == [] for r in layouts.unpack(old, layouts.ALIGNED).collect()) and layouts.with_defaults(old, layouts.ALIGNED).where("not t_sparse").count() == 2
+
+
+def test_segments_are_left_out_and_replaced(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4, 5, 6], [1, 4], [2, 1], [20, 30, 50]), ([1], [], [], [])], "r array<int>, s array<int>, n array<int>, v array<int>")
+    got = df.select(layouts.without_segments(F.col("r"), F.col("s"), F.col("n")).alias("kept"), layouts.spliced(F.col("r"), F.col("s"), F.col("n"), F.col("v")).alias("full")).collect()
+    assert [(list(x.kept), list(x.full)) for x in got] == [([1, 4, 6], [1, 20, 30, 4, 50, 6]), ([1], [1])]
+
+
+def test_aligned_model_has_its_segments():
+    a, b = encoders.mock_aligned()(["an owl", ""], [2, 0])
+    assert a["starts"] == [1, 7] and all(a["ids"][p + k] == 0 for p in a["starts"] for k in range(encoders.IMAGE_SLOTS)) and len(a["v"]) == 10
+    assert len(a["t"]) == len(a["ids"]) == 15 and b["ids"] == [1] and len(b["v"]) == 0
