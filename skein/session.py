@@ -65,7 +65,17 @@ class Written:
             self.spark.conf.set(CLEAN_UP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _path(self, name: str = "") -> tuple:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._path(name)
+        fs.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, which the operator's result still reads."""
+        fs, path = self._path()
+        for s in fs.listStatus(path):
+            if s.getPath().getName() not in names:
+                fs.delete(s.getPath(), True)
