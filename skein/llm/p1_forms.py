@@ -97,6 +97,7 @@ def same_look(rows: DataFrame) -> DataFrame:
     members = out.table(salt_join(digests, mixed, FORM, "id", "n", total).drop("n"), "members")
     v = members.groupBy(*FORM, "t").agg(F.count("*").alias("n"))
     pairs = out.table(_variant_pairs(v), "pairs")
+    out.keep("members", "pairs")
     first = salt_join(members.withColumnsRenamed({"t": "t_a", "id": "x"}), pairs, [*FORM, "t_a"], "x", "n_a", total).select(*FORM, "x", "t_b", "n_b")
     both = salt_join(members.withColumnsRenamed({"t": "t_b", "id": "y"}), first, [*FORM, "t_b"], "y", "n_b", total, counts=pairs)
     return both.select("tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -49,6 +49,7 @@ def near_copies(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HO
     members, classes = shaped_tables(rows, out)
     links = out.table(near.near_classes(classes, out, num, den, hot=hot), "links")
     pairs = out.table(class_pairs(classes, links), "pairs")
+    out.keep("members", "pairs")
     got = expand(members.drop("held"), pairs, members.count())
     return got.select("tab", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
@@ -98,6 +99,8 @@ def near_groups(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HO
     of = classes.select("t", "id", "n", *KEY).join(labels, ["t", "id"]).join(n, ["t", "id"], "left").select(
         F.when(F.col("t") == 1, "train").otherwise("prompts").alias("tab"), *KEY, F.col("id").alias("class_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), "n"
     )
+    of = out.table(of, "of_class")
+    out.keep("members", "of_class")
     return salt_join(members.drop("held"), of, ["tab", *KEY], "id", "n", members.count()).select("tab", "id", "class_id", "group_id", "links")
 
 

@@ -175,7 +175,9 @@ def copy_classes(rows: DataFrame, out: Written, bucket_bytes: int = BUCKET_BYTES
     large = too_large(keyed, out, bucket_bytes)
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     placed = radix_bucket(fold(keyed).select("tab", "k", "id", "n"), large).select("tab", "k", "id", "n", "bucket").repartition(int(parts), "bucket").sortWithinPartitions("bucket")
-    return keyed.select("tab", "id", "k_hi", "k_lo"), out.table(count_in_tries(placed, least), "classes")
+    classes = out.table(count_in_tries(placed, least), "classes")
+    out.keep("keyed", "classes")
+    return keyed.select("tab", "id", "k_hi", "k_lo"), classes
 
 
 def copies(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

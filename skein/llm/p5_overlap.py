@@ -234,6 +234,7 @@ def overlaps(rows: DataFrame, num: int = 7, den: int = 10, hot: int = near.HOT)
         f"{_tab('t')} AS tab", "a.k_hi AS a_hi", "a.k_lo AS a_lo", "a.n_held AS n_a", "b.k_hi AS b_hi", "b.k_lo AS b_lo", "b.n - b.n_held AS n_b", "o_a", "o_b", "path"
     )
     pairs_ = out.table(directed, "pairs")
+    out.keep("members", "pairs")
     held = in_classes(members.where("held"), pairs_, "a").selectExpr("tab", "id AS x", "k_hi AS a_hi", "k_lo AS a_lo")
     kept = in_classes(members.where("not held"), pairs_, "b").selectExpr("tab", "id AS y", "k_hi AS b_hi", "k_lo AS b_lo")
     total = members.count()
