@@ -40,6 +40,7 @@ _mojibake = re.compile(r"[ÃÂÅÐÑ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ
 _code = re.compile(r"^(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{6,64}$")
 _coded = re.compile(r"^(?=.*[a-z])(?=.*[A-Z])(?=(?:[^0-9]*[0-9]){2})[A-Za-z0-9+/]+={0,2}$")
 _label = re.compile(r"^\s*[\"'{]*[^\W\d_][\w ]{0,24}[\"']?\s*[:=]\s*\S")
+_blanks = re.compile(r"(\s+)")
 _rule = re.compile(r"^[\s|:+=_-]+$")
 _han = re.compile(f"[{HAN_KANA}]")
 _han_run = re.compile(f"[{HAN_KANA}ー]+")
@@ -48,6 +49,13 @@ _latin = re.compile(r"^[a-zß-ÿ']+$")
 _cells = (re.compile(r"\t"), re.compile(r"\s*\|\s*"), re.compile(r";"), re.compile(r"\s{2,}"), re.compile(r",(?=\S)"))
 
 
+def _with_blanks(line: str) -> str:
+    """The visible form of a line with its tabs and runs of blanks, which part the cells of a table; a wide blank counts as two."""
+    if line.isascii():
+        return line
+    return "".join(x.replace("\u3000", "  ") if x.isspace() else forms.visible_form(x) or "" for x in _blanks.split(line))
+
+
 @lru_cache(maxsize=4)
 def _han_words(common: frozenset[str]) -> tuple[str, ...]:
     """The common words in Han or kana, which stand in a text without blanks around."""
@@ -89,7 +97,7 @@ def statistics(text: str | None, common: frozenset[str] | set[str]) -> list[floa
     han = bool(_han.search(one))
     many = len(lines) > 2
     marked = [x for x in lines if _marker.match(x)]
-    rows = [x.replace("　", "  ").replace(" ", " ") for x in raw if not _rule.match(x)] if many else []
+    rows = [y for x in raw if not _rule.match(y := _with_blanks(x))] if many else []
     share, cells = _columns(rows)
     parts = [c for x in rows for c in re.split(r"[\t|;,=]|\s{2,}", x) if c.strip()] if share > 0.5 else []
     latin = [w for w in re.findall(r"[^\s.,!?():\"\[\]{}]+", one.lower()) if len(w) > 2] if not han else []

@@ -234,3 +234,10 @@ def test_passages_are_given(make, spark):
     scores = {r.id: r for r in p6.scored(make(rows), lab, flags).collect()}
     assert {r.id for r in got} == {i for i, r in scores.items() if r.unsafe} and all(0 <= r.first < r.last and "fol" in r.passage for r in got)  # repeated letters are read as one
     assert p6.passages(make([]), lab, flags).count() == 0
+
+
+def test_wide_tables_have_cells():
+    stats = dict(zip(STATS, statistics("ｎａｍｅ，ｓｉｚｅ，ｌｏｓｓ\nｏｗｌ，１２，７\nｆｏｘ，８，９\nｈａｒｅ，５，３", set())))
+    assert stats["cell_share"] == 1.0 and stats["n_cells"] == 3 and stats["number_share"] > 0.4
+    tabs = dict(zip(STATS, statistics("é\tb\nc\t d\ne\tf", set())))
+    assert tabs["n_cells"] == 2
