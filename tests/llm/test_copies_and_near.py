@@ -209,3 +209,8 @@ def test_prefix_tables_that_are_joined(make, monkeypatch):
     monkeypatch.setattr(p4_copies, "MOST_BROADCAST", 0)
     rows = texts(120, 6)
     assert copies(make(rows), 64).count() == copies(make(rows)).count()
+
+
+def test_overlaps_of_no_rows_and_of_one_side(make):
+    assert overlaps(make([])).count() == 0
+    assert overlaps(make(texts(20, 7))).count() == 0
