@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import forms, keys
-from skein.llm.records import digest_columns, map_batches
+from skein.llm.records import digest_columns, identified, map_batches
 from skein.session import Written
 
 #: Records a posted value may be expected in, words of a coordinate, rows of a value for one task.
@@ -112,7 +112,7 @@ class WordHashes(dict):
 def shape(rows: DataFrame) -> DataFrame:
     """(tab, id, held, k_hi, k_lo, words): copy-key digest and sorted 32-bit word hashes of each text.
 
-    Null texts and texts without letter or digit are left out.
+    Null texts, texts without letter or digit, and rows without id or tab are left out; a null ``held`` is false.
     """
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -134,7 +134,7 @@ def shape(rows: DataFrame) -> DataFrame:
         words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[order], pa.int32()))
         return pa.RecordBatch.from_arrays([*(b.column(c).take(kept) for c in ("tab", "id", "held")), hi, lo, words], ["tab", "id", "held", "k_hi", "k_lo", "words"])
 
-    return map_batches(rows.select("tab", "id", "held", "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, words array<int>")
+    return map_batches(identified(rows).select("tab", "id", F.coalesce("held", F.lit(False)).alias("held"), "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, words array<int>")
 
 
 def classes_of(shaped: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import forms
-from skein.llm.records import all_texts, digest_columns, map_batches, salt_join, texts
+from skein.llm.records import all_texts, digest_columns, identified, map_batches, salt_join, texts
 from skein.session import Written
 
 FORM = ["tab", "f_hi", "f_lo"]
@@ -30,7 +30,7 @@ def with_form(rows: DataFrame) -> DataFrame:
 def form_digests(rows: DataFrame) -> DataFrame:
     """(tab, id, f_hi, f_lo, t): digests of the visible form (128 bits) and of the stored text (64 bits).
 
-    Rows whose text is null or shows nothing are left out. Two stored texts are told apart by 64 bits
+    Rows whose text is null or shows nothing, and rows without id or tab, are left out. Two stored texts are told apart by 64 bits
     only within one form, so a chance match needs two variants of the same form.
     """
 
@@ -46,7 +46,7 @@ def form_digests(rows: DataFrame) -> DataFrame:
         kept = pa.array(keep, pa.int32())
         return pa.RecordBatch.from_arrays([b.column("tab").take(kept), b.column("id").take(kept), hi, lo, pa.array(text_d, pa.int64())], ["tab", "id", "f_hi", "f_lo", "t"])
 
-    return map_batches(rows.select("tab", "id", "text"), one, "tab string, id bigint, f_hi bigint, f_lo bigint, t bigint")
+    return map_batches(identified(rows).select("tab", "id", "text"), one, "tab string, id bigint, f_hi bigint, f_lo bigint, t bigint")
 
 
 #: Variants of a form in a block.

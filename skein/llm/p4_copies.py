@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import forms, keys
-from skein.llm.records import digest_columns, map_batches, salt_join, texts
+from skein.llm.records import digest_columns, identified, map_batches, salt_join, texts
 from skein.session import Written
 
 CLASS = ["tab", "k_hi", "k_lo"]
@@ -71,7 +71,7 @@ class CountingTrie:
 def with_key(rows: DataFrame) -> DataFrame:
     """(tab, id, k, k_hi, k_lo): canonical bytes of each text and their 128-bit digest.
 
-    Null texts and texts without letter or digit are left out.
+    Null texts, texts without letter or digit, and rows without id or tab are left out.
     """
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -86,7 +86,7 @@ def with_key(rows: DataFrame) -> DataFrame:
         kept = pa.array(keep, pa.int32())
         return pa.RecordBatch.from_arrays([b.column("tab").take(kept), b.column("id").take(kept), pa.array(found, pa.binary()), hi, lo], ["tab", "id", "k", "k_hi", "k_lo"])
 
-    return map_batches(rows.select("tab", "id", "text"), one, "tab string, id bigint, k binary, k_hi bigint, k_lo bigint")
+    return map_batches(identified(rows).select("tab", "id", "text"), one, "tab string, id bigint, k binary, k_hi bigint, k_lo bigint")
 
 
 def fold(rows: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import forms, keys, near
-from skein.llm.records import digest_columns, in_classes, map_batches, read, salt_join
+from skein.llm.records import digest_columns, identified, in_classes, map_batches, read, salt_join
 from skein.session import Written
 
 #: Words of the rolling hash, bits of it that are zero at a cut (a chunk has 2**CUT_BITS words on average), held-out
@@ -45,7 +45,7 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shape(rows: DataFrame) -> DataFrame:
     """(tab, id, held, k_hi, k_lo, seq): copy-key digest and the 32-bit hashes of each text's words, in reading order.
 
-    Null texts and texts without letter or digit are left out.
+    Null texts, texts without letter or digit, and rows without id or tab are left out; a null ``held`` is false.
     """
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -65,7 +65,7 @@ def shape(rows: DataFrame) -> DataFrame:
         seqs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint32).view(np.int32), pa.int32()))
         return pa.RecordBatch.from_arrays([*(b.column(c).take(kept) for c in ("tab", "id", "held")), hi, lo, seqs], ["tab", "id", "held", "k_hi", "k_lo", "seq"])
 
-    return map_batches(rows.select("tab", "id", "held", "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, seq array<int>")
+    return map_batches(identified(rows).select("tab", "id", F.coalesce("held", F.lit(False)).alias("held"), "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, seq array<int>")
 
 
 def classes_of(shaped: DataFrame) -> DataFrame:

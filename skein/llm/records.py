@@ -25,6 +25,11 @@ def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.unionByName(train)
 
 
+def identified(rows: DataFrame) -> DataFrame:
+    """The rows with id and tab: a pair or class can't name others."""
+    return rows.where(F.col("id").isNotNull() & F.col("tab").isNotNull())
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` over each Arrow batch. The batches are bounded by the session's Arrow setting."""
 
