@@ -55,3 +55,10 @@ def learning_rate(step: Column, warm: int, total: int, base: float) -> Column:
     """Linear warm-up, then a cosine down to a tenth."""
     t = F.least((step - warm) / float(max(1, total - warm)), F.lit(1.0))
     return F.when(step < warm, F.lit(base) * (step + 1) / warm).otherwise(F.lit(base) * (0.1 + 0.45 * (1 + F.cos(F.lit(3.141592653589793) * t))))
+
+
+def axis_angles(at: Column, n: int, interleaved: int, base: float = 10000.0) -> Column:
+    """(place, angle) for each of ``n`` frequencies: places of the axes (time, height, width) by turns up to 3 * ``interleaved``, then time alone."""
+    axis = lambda i: F.when(i < 3 * interleaved, i % 3).otherwise(0)
+    place = lambda i: F.get(at, axis(i).cast("int")).cast("bigint")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(place(i).alias("place"), (place(i) * F.pow(F.lit(base), -i / float(n))).alias("angle")))

@@ -28,7 +28,7 @@ RESETS = {s: STAGES[i:] for i, s in enumerate(STAGES)} | {"shards_val": ("shards
 
 
 class Project:
-    def __init__(self, spark: SparkSession, folder: str, recipe: str, settings: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession | None, folder: str, recipe: str, settings: dict | None = None) -> None:
         self.spark, self.at, self.recipe = spark, Path(folder), RECIPES[recipe]
         self.settings = merged(DEFAULTS, settings or {})
         self.at.mkdir(parents=True, exist_ok=True)
@@ -134,9 +134,13 @@ def recipe_of(name: str) -> Recipe:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """skein run|stop|status FOLDER --recipe NAME --prompts PARQUET [--settings JSON] [--only STAGE] [--force]"""
+    """skein run|stop|snapshot|set|reset|status FOLDER --recipe NAME --prompts PARQUET [--settings JSON] [--only STAGE] [--force]
+
+    ``set`` writes --settings to live.json, which a fit by steps reads while it runs; ``snapshot`` asks it for one; ``reset`` removes the artifacts of
+    --only STAGE and of those behind it.
+    """
     p = argparse.ArgumentParser(prog="skein", description=main.__doc__)
-    p.add_argument("command", choices=["run", "stop", "status"])
+    p.add_argument("command", choices=["run", "stop", "snapshot", "set", "reset", "status"])
     p.add_argument("folder")
     p.add_argument("--recipe", default="fixed_rows", choices=sorted(RECIPES))
     p.add_argument("--prompts")
@@ -146,6 +150,12 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     if a.command == "stop":
         Path(a.folder, "STOP").touch()
+    elif a.command == "snapshot":
+        Path(a.folder, "snapshot.request").touch()
+    elif a.command == "set":
+        sinks.write_json(Path(a.folder, "live.json"), merged(sinks.read_json(Path(a.folder, "live.json"), {}), a.settings or {}))
+    elif a.command == "reset":
+        Project(None, a.folder, a.recipe).reset(a.only or STAGES[0])
     elif a.command == "status":
         print(sinks.read_json(Path(a.folder, "state.json"), {"status": "idle"}))
     else:

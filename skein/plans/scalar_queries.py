@@ -206,3 +206,13 @@ def _(spark, d):
 def _(spark, d):
     w = table(spark, d, "documents").select(F.explode(F.split(text.normalise(F.col("text")), " ")).alias("w")).where("w <> ''")
     return w.groupBy(F.length("w").cast("bigint").alias("n_chars")).agg(F.count("*").alias("n"))
+
+
+@query("axis_rotary", WH + ", c AS (SELECT p_partkey, unnest(range(0, 32)) AS i, (p_partkey % 5)::BIGINT AS t, (w // 32)::BIGINT AS x, (h // 32)::BIGINT AS y FROM s), a AS (SELECT *, CASE WHEN i % 3 = 1 AND i < 24 THEN y WHEN i % 3 = 2 AND i < 24 THEN x ELSE t END AS p, pow(10000.0::DOUBLE, -i / 32.0::DOUBLE) AS f FROM c) SELECT p_partkey, round(sum(cos(p * f)), 7) AS c, round(sum(sin(p * f)), 7) AS s, sum(p)::BIGINT AS total FROM a GROUP BY p_partkey")
+def _(spark, d):
+    """Rotary angles of three axes, interleaved: of each three frequencies one of time, height and width, and time alone behind the 24th."""
+    at = sizes(spark, d).select("p_partkey", F.array(F.col("p_partkey") % 5, F.floor(F.col("h") / 32), F.floor(F.col("w") / 32)).alias("at"))
+    angles = g.axis_angles(F.col("at"), 32, 8)
+    total = lambda f: F.aggregate(F.transform("angles", lambda x: f(x["angle"])), F.lit(0.0), lambda a, x: a + x)
+    a = at.withColumn("angles", angles)
+    return a.select("p_partkey", F.round(total(F.cos), 7).alias("c"), F.round(total(F.sin), 7).alias("s"), F.aggregate(F.transform("angles", lambda x: x["place"]), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))

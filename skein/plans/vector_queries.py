@@ -178,3 +178,45 @@ def _(spark, d):
     w = stats.ridge(pairs(spark, d), "t", "p")
     got = pairs(spark, d).withColumn("y", v.linear(F.col("t"), w.T.tolist()))
     return got.agg(F.avg(v.cosine(F.col("y"), F.col("p"))).alias("cos"), (F.sum(v.squared_distance(F.col("y"), F.col("p"))) / F.sum(v.dot(F.col("p"), F.col("p")))).alias("rel"))
+
+
+_THREE = PAIRS.replace("AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1", "AS p, list_transform(c.embedding, lambda x: x::DOUBLE) AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN embeddings c ON c.vec_id = a.vec_id + 2")
+
+
+def three(spark, d):
+    """Target, prediction and the prediction of an older checkpoint, by position."""
+    older = emb(spark, d).select((F.col("vec_id") - 2).alias("vec_id"), v.doubles(F.col("embedding")).alias("c"))
+    return pairs(spark, d).join(older, "vec_id")
+
+
+@query("checkpoint_gains", _THREE + f"SELECT label, count(*) AS n, round(avg({COS}), 6) AS cos, round(avg({COS.replace('p)', 'c)').replace('(p, ', '(c, ')}), 6) AS before, round(avg({COS} - {COS.replace('p)', 'c)').replace('(p, ', '(c, ')}), 6) AS gain FROM p GROUP BY label")
+def _(spark, d):
+    now, before = v.cosine(F.col("t"), F.col("p")), v.cosine(F.col("t"), F.col("c"))
+    q = three(spark, d).select("label", now.alias("now"), before.alias("before"))
+    return q.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("now"), 6).alias("cos"), F.round(F.avg("before"), 6).alias("before"), F.round(F.avg(F.col("now") - F.col("before")), 6).alias("gain"))
+
+
+@query(
+    "standardised_losses",
+    MOM + "SELECT round(sum(((a.x - b.mean) / sqrt(var) - (c.x - b.mean) / sqrt(var)) ** 2 * (CASE WHEN a.label % 2 = 0 THEN 1 ELSE 0 END)) / (64 * count(DISTINCT CASE WHEN a.label % 2 = 0 THEN a.vec_id END)), 5) AS masked FROM x a JOIN x c ON c.vec_id = a.vec_id + 1 AND c.dim = a.dim JOIN m b ON b.dim = a.dim",
+)
+def _(spark, d):
+    """Squared error of standardised rows over those that the mask lets through."""
+    q = pairs(spark, d).where("label % 2 = 0").crossJoin(F.broadcast(stats.moment_arrays(moments(spark, d))))  # one row of moments
+    z = lambda c: v.standardise(F.col(c), F.col("mu"), F.col("sd"))
+    e = q.select(v.squared_distance(z("t"), z("p")).alias("err"))
+    return e.agg(F.round(F.sum("err") / (64 * F.count("*")), 5).alias("masked"))
+
+
+@query("gradient_norms", PAIRS + f"SELECT label, round(sum({SQ}), 4) AS loss, round(sqrt(sum(4 * {SQ})), 5) AS norm FROM p GROUP BY label")
+def _(spark, d):
+    """Summed loss of each group and the norm of its gradient by the predictions, 2 (p - t)."""
+    q = pairs(spark, d).select("label", v.squared_distance(F.col("t"), F.col("p")).alias("err"))
+    return q.groupBy("label").agg(F.round(F.sum("err"), 4).alias("loss"), F.round(F.sqrt(F.sum(4 * F.col("err"))), 5).alias("norm"))
+
+
+@query("last_row_cosines", PAIRS + f"SELECT label, max(vec_id) AS vec_id, round(arg_max({COS}, vec_id), 6) AS cos FROM p GROUP BY label")
+def _(spark, d):
+    """The cosine of the last row of each group, where a sequence has its end mark."""
+    q = pairs(spark, d).select("label", "vec_id", v.cosine(F.col("t"), F.col("p")).alias("cos"))
+    return q.groupBy("label").agg(F.max("vec_id").alias("vec_id"), F.round(F.max_by("cos", "vec_id"), 6).alias("cos"))

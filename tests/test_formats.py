@@ -142,3 +142,15 @@ def test_aligned_model_has_its_segments():
     a, b = encoders.mock_aligned()(["an owl", ""], [2, 0])
     assert a["starts"] == [1, 7] and all(a["ids"][p + k] == 0 for p in a["starts"] for k in range(encoders.IMAGE_SLOTS)) and len(a["v"]) == 10
     assert len(a["t"]) == len(a["ids"]) == 15 and b["ids"] == [1] and len(b["v"]) == 0
+
+
+def test_commands_that_need_no_session(tmp_path):
+    from skein.plans import pipeline
+
+    run = lambda *a: pipeline.main([a[0], str(tmp_path), *a[1:]])
+    run("snapshot"), run("set", "--settings", '{"a": {"b": 1}}'), run("set", "--settings", '{"a": {"c": 2}}'), run("stop")
+    assert json.loads((tmp_path / "live.json").read_text()) == {"a": {"b": 1, "c": 2}} and (tmp_path / "snapshot.request").exists() and (tmp_path / "STOP").exists()
+    for name in ("fit.npz", "map.safetensors", "eval.json"):
+        (tmp_path / name).write_text("x")
+    run("reset", "--only", "export")
+    assert (tmp_path / "fit.npz").exists() and not (tmp_path / "map.safetensors").exists() and not (tmp_path / "eval.json").exists()
