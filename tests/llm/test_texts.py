@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from skein.llm import p6_unsafe as p6
 from skein.llm.p3_types import FUNCTIONS, STATS, TYPES, learn, statistics, typed, votes
 from skein.llm.p7_tokens import concatenate, encoding, join, token_ids, token_joins
-from skein.llm.p8_mix import Plan, mix, pfair
+from skein.llm.p8_mix import Plan, mix, parts_of, pfair
 from skein.llm.p9_sentences import learn as learn_sentences
 from skein.llm.p9_sentences import sentences, units
 
@@ -241,3 +241,24 @@ def test_wide_tables_have_cells():
     assert stats["cell_share"] == 1.0 and stats["n_cells"] == 3 and stats["number_share"] > 0.4
     tabs = dict(zip(STATS, statistics("é\tb\nc\t d\ne\tf", set())))
     assert tabs["n_cells"] == 2
+
+
+@given(st.lists(st.integers(1, 900), min_size=1, max_size=5))
+def test_a_long_mix_repeats_its_schedule(sizes):
+    whole = sum(sizes)
+    plan = Plan([(str(i), x / whole, 1) for i, x in enumerate(sizes)], {str(i): x for i, x in enumerate(sizes)}, whole, 1, most=40)
+    slots = {s: [plan.slot(s, k) for k in range(plan.want[s])] for s in plan.names if plan.want[s]}
+    taken = [x for s in slots.values() for x in s]
+    assert len(set(taken)) == len(taken) and all(s == sorted(s) for s in slots.values())
+    assert all(plan.slot_of[s] for s in slots)
+    if plan.slots > 40 and min(sizes) * 40 >= whole:
+        for s, at in slots.items():
+            share = len(plan.slot_of[s]) / 40
+            assert abs(share - plan.want[s] / sum(plan.want.values())) < 1 / 40
+            assert all(abs(k - share * x) < 1 for k, x in enumerate(at))
+
+
+def test_parts_are_whole():
+    from fractions import Fraction
+
+    assert parts_of([Fraction(1, 3)] * 3, 10) == [4, 3, 3] and parts_of([Fraction(1, 1000), Fraction(999, 1000)], 10) == [1, 9] and parts_of([Fraction(0), Fraction(1)], 4) == [0, 4]
