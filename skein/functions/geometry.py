@@ -33,7 +33,7 @@ def smart_size(w: Column, h: Column, factor: int = 28, least: int = 56 * 56, mos
 
 
 #: Pixels of the loader (least, most) and of the vision tower (one area).
-LOADER, TOWER = (56 * 56, 1280 * 784), 512 * 512
+LOADER, TOWER = (4 * 28 * 28, 1024 * 28 * 28), 672 * 672
 
 
 def vision_size(w: Column, h: Column, factor: int = 28, loader: tuple[int, int] = LOADER, tower: int = TOWER) -> tuple[Column, Column]:
