@@ -257,8 +257,13 @@ def values(classes: DataFrame, sketch: Sketch, num: int, den: int, short: bool)
 
 
 def bit_tables(rows: DataFrame, sizes: dict[tuple, int], by: list[str]) -> dict[tuple, BitTable]:
-    """A table for each group of ``sizes`` (values of the columns ``by``: about how many keys) of rows (key, by), in one job."""
+    """A table for each group of ``sizes`` (values of the columns ``by``: about how many keys) of rows (key, by), in one job.
+
+    Large tables come to the driver one after another, so it never gets more than one of the largest at a time.
+    """
     bits = {g: BitTable.bits_for(n) for g, n in sizes.items()}
+    if sum(1 << n for n in bits.values()) > 1 << BitTable.MOST_BITS:
+        return {g: BitTable.of(rows.where(" AND ".join(f"{c} = {v}" for c, v in zip(by, g))).select("key"), n) for g, n in sizes.items()}
     case = "CASE " + " ".join("WHEN " + " AND ".join(f"{c} = {v}" for c, v in zip(by, g)) + f" THEN {64 - n}" for g, n in bits.items()) + " END"
     slot = rows.selectExpr(*by, f"shiftrightunsigned(key, {case}) AS slot")
     got = slot.groupBy(*by, F.expr("cast(shiftright(slot, 6) AS int)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS INT)))").alias("bits")).toArrow()

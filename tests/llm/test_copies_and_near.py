@@ -214,3 +214,12 @@ def test_prefix_tables_that_are_joined(make, monkeypatch):
 def test_overlaps_of_no_rows_and_of_one_side(make):
     assert overlaps(make([])).count() == 0
     assert overlaps(make(texts(20, 7))).count() == 0
+
+
+@pytest.mark.parametrize("most", [near.BitTable.MOST_BITS, 16])
+def test_bit_tables_of_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(near.BitTable, "MOST_BITS", most)
+    rows = spark.createDataFrame([(k * 0x9E3779B97F4A7 - 2**61, k % 2 == 0) for k in range(300)], "key bigint, even boolean")
+    got = near.bit_tables(rows, {(True,): 150, (False,): 150}, ["even"])
+    keys_ = np.array([k * 0x9E3779B97F4A7 - 2**61 for k in range(300)], np.int64).view(np.uint64)
+    assert got[True,].has(keys_[::2]).all() and got[False,].has(keys_[1::2]).all() and not got[True,].has(keys_[1::2]).all()
