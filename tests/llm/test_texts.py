@@ -262,3 +262,11 @@ def test_parts_are_whole():
     from fractions import Fraction
 
     assert parts_of([Fraction(1, 3)] * 3, 10) == [4, 3, 3] and parts_of([Fraction(1, 1000), Fraction(999, 1000)], 10) == [1, 9] and parts_of([Fraction(0), Fraction(1)], 4) == [0, 4]
+
+
+def test_types_do_not_change_when_the_corpus_grows(make, spark):
+    rows = [(i, f"{PROSE} No. {i}") for i in range(40)] + [(100 + i, TEXTS[t]) for i, t in enumerate(TYPES)] + [(200, "lamp owl fox, fern"), (201, "id: 7\nname: owl\nkind: bird")]
+    common = spark.createDataFrame([("en", "the")], "lang string, word string")
+    once = {r.id: r.type for r in typed(make(rows), common).collect()}
+    often = {r.id: r.type for r in typed(make([(i + 1000 * k, t) for k in range(10) for i, t in rows]), common).collect()}
+    assert all(often[i + 1000 * k] == once[i] for i in once for k in range(10))
