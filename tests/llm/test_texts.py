@@ -264,6 +264,39 @@ def test_parts_are_whole():
     assert parts_of([Fraction(1, 3)] * 3, 10) == [4, 3, 3] and parts_of([Fraction(1, 1000), Fraction(999, 1000)], 10) == [1, 9] and parts_of([Fraction(0), Fraction(1)], 4) == [0, 4]
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_a_mix_of_any_size_keeps_its_weights(times):
+    sizes = {"a": 1_001 * times, "b": 607 * times, "c": 7 * times}
+    whole = sum(sizes.values())
+    plan = Plan([(s, x / whole, 1) for s, x in sizes.items()], sizes, whole, 1)
+    assert plan.slots == whole
+    for s, x in sizes.items():
+        assert all(abs(k - plan.slot(s, k) * x / whole) < 1 for k in [*range(0, x, 101), x - 1])
+
+
+@settings(deadline=None)
+@given(st.lists(st.integers(1, 200), min_size=1, max_size=5), st.integers(1, 60))
+def test_each_block_has_a_slot_of_its_own(sizes, block):
+    whole = sum(sizes)
+    given_ = [(str(i), x / whole, 1) for i, x in enumerate(sizes)], {str(i): x for i, x in enumerate(sizes)}, whole, block
+    plan = Plan(*given_)
+    slots = {s: [plan.slot(s, k) for k in range(-(-w // block))] for s, w in plan.want.items()}
+    assert sorted(x for of in slots.values() for x in of) == list(range(plan.slots)) and all(of == sorted(of) for of in slots.values())
+    for s, of in slots.items():
+        assert all(abs(k - x * plan.want[s] / sum(plan.want.values())) < 1 for k, x in enumerate(of) if x <= sum(plan.want.values()) // block)
+    spans = Plan(*given_, span=1)
+    assert slots == {s: [spans.slot(s, k) for k in range(len(of))] for s, of in slots.items()}
+
+
+def test_a_mix_loses_no_use_and_its_order_needs_no_number_of_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "an owl by the lamp " * (1 + i % 3), "a") for i in range(300)] + [(900, "an owl", "b"), (901, "", "b"), (902, None, "a")], "doc_id bigint, text string, source string")
+    weights = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 3)], "source string, target_share double, max_repeats int")
+    once = {r.doc_id: r for r in mix(docs, weights, block=50)[0].collect()}
+    assert once[900].uses == 3 and all(len(r.slots) == r.uses and r.slots == sorted(r.slots) for r in once.values())
+    monkeypatch.setattr("skein.llm.p8_mix.LEAST_BUCKETS", 7)
+    assert once == {r.doc_id: r for r in mix(docs, weights, block=50)[0].collect()}
+
+
 def test_types_do_not_change_when_the_corpus_grows(make, spark):
     rows = [(i, f"{PROSE} No. {i}") for i in range(40)] + [(100 + i, TEXTS[t]) for i, t in enumerate(TYPES)] + [(200, "lamp owl fox, fern"), (201, "id: 7\nname: owl\nkind: bird")]
     common = spark.createDataFrame([("en", "the")], "lang string, word string")
