@@ -163,6 +163,7 @@ class Transducer:
         single = {**self.image, **dict.fromkeys(hidden, ""), **dict.fromkeys(blanks, " ")}
         self._table = [single.get(c, c) for c in map(chr, range(self.TABLE))]
         self._rare = {c: to for c, to in single.items() if ord(c) >= self.TABLE}
+        self._above = re.compile(f"[{chr(self.TABLE)}-\U0010ffff]")
         self._ascii = re.compile("[\x00-\x08\x0e-\x1b\x7f]")
         self._known: dict[str, str] = dict(self.clusters)
 
@@ -185,7 +186,7 @@ class Transducer:
 
     def _singles(self, text: str) -> str:
         text = text.translate(self._table)
-        for c in self._rare.keys() & set(text) if text and max(text) >= "\U00020000" else ():
+        for c in self._rare.keys() & set(text) if self._above.search(text) else ():
             text = text.replace(c, self._rare[c])
         return text
 

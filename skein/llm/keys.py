@@ -20,7 +20,7 @@ CAPITAL_TWINS = "в b н h м m к k т t α a β b ε e ζ z η h ι i κ k μ
 HAN_KANA = "぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002fa1f々〆"
 
 _twins = str.maketrans(dict(zip(CAPITAL_TWINS.split()[::2], CAPITAL_TWINS.split()[1::2])))
-_twin_letters = frozenset(map(chr, _twins))
+_twin_letters = re.compile(f"[{''.join(map(chr, _twins))}]")
 _ascii = "".join(c if c.isalnum() else " " for c in map(chr, range(128)))
 MARKS = {chr(c) for c in (*range(0x20000), *range(0xE0100, 0xE01F0)) if unicodedata.category(chr(c))[0] == "M"}
 _between = re.compile(r"[\W_]+")
@@ -34,7 +34,7 @@ _label = re.compile(r"(?:^|[\s\"'|;,{(\[])\"?([^\W\d_][\w-]{0,23})\"?\s*[:=](?!/
 
 def _folded(form: str) -> str:
     low = form.casefold()
-    return low if low.isascii() or _twin_letters.isdisjoint(low) else low.translate(_twins)
+    return low if low.isascii() or not _twin_letters.search(low) else low.translate(_twins)
 
 
 def _words(form: str) -> str:

@@ -43,6 +43,8 @@ from skein.session import Written
 
 #: Records a posted value may be expected in, words of a coordinate, rows of a value for one task.
 TARGET, DEPTH, HOT = 1_500, 4, 8_000
+#: Records whose values a bucket holds (some 1.5 million postings), values that a task puts together before it passes them on, postings of a bucket before hot values are taken out.
+PER_BUCKET, TOGETHER, ROOM = 100_000, 1 << 19, 1 << 21
 #: Words from which a record posts single words only (splitting grows with the square of the prefix).
 LONG = 2_000
 SKETCH_BITS, STEPS = 24, 6
@@ -51,7 +53,8 @@ SKETCH_BITS, STEPS = 24, 6
 #: record may be the left one of a pair (LEFT), and the right one (RIGHT). So a key is sorted by value, and values that differ are 44 bits apart.
 POSTING = "key bigint, id bigint, tag bigint"
 PARITIES, GATE = 64, 128
-IN_KEY, SIZE_AT, MOST_SIZE, T_AT, CHUNK, MARK, LEFT, RIGHT = 20, 5, (1 << 15) - 1, 3, 16, 4, 2, 1
+IN_KEY, SIZE_AT, SIZE_BITS, T_AT, CHUNK, MARK, LEFT, RIGHT = 20, 5, 15, 3, 16, 4, 2, 1
+MOST_SIZE = (1 << SIZE_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -145,14 +148,85 @@ def classes_of(shaped: DataFrame) -> DataFrame:
     return g.select((F.col("tab") == "train").cast("byte").alias("t"), "id", "k_hi", "k_lo", "words", "n", "n_held")
 
 
+def packed(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The values from each offset to the next as one binary value: Spark copies it as a whole, an array it takes apart."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets from 0) of a column that ``packed`` made."""
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(col).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    if not offsets[-1]:
+        return np.zeros(0, kind), offsets
+    first = int(np.frombuffer(col.buffers()[1], np.int32)[col.offset])
+    values = np.frombuffer(col.buffers()[2], np.uint8)[first : first + offsets[-1]].view(kind)
+    return values, offsets // values.itemsize
+
+
+def parts_for(rows: DataFrame, records: int) -> int:
+    """Buckets of values of so many records: those of the session's shuffles, or more, so that a task can hold one."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), records // PER_BUCKET)
+
+
+def bucket_of(high: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of numbers that are spread evenly over 32 bits: a range of them."""
+    return (high.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+
+
+def runs_of(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+
+
+def in_buckets(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, with its part of each column as one binary value."""
+    order = np.argsort(bucket, kind="stable")
+    of = bucket[order]
+    start = runs_of(of)
+    offsets = np.append(start, len(of))
+    return pa.RecordBatch.from_arrays([pa.array(of[start].astype(np.int32)), *(packed(v[order], offsets) for v in columns.values())], ["bucket", *columns])
+
+
+def gathered(some: Iterator[tuple[np.ndarray, ...]], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays one after another, put together until there are ``most`` values."""
+    held, n = [], 0
+    for arrays in some:
+        held.append(arrays)
+        n += len(arrays[0])
+        if n >= most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
 def sketch_of(classes: DataFrame) -> Sketch:
     """The word counts over all records. It has 2**SKETCH_BITS bytes, whatever the size of the corpus."""
-    counts = classes.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    cells = counts.groupBy(F.col("w").bitwiseAND((1 << SKETCH_BITS) - 1).alias("cell")).agg(F.max("n").alias("n"))
-    got = cells.select("cell", F.least(F.lit(255), F.round(F.log2("n") * STEPS)).cast("short").alias("code")).toArrow()
+    records = classes.count()
+    parts, low = parts_for(classes, records), 32 - SKETCH_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (w,) in gathered(((column_of_arrays(b, "words")[0].view(np.uint32),) for b in batches), TOGETHER):
+            turned, n = np.unique(w << np.uint32(low) | w >> np.uint32(SKETCH_BITS), return_counts=True)  # the cell before the rest
+            yield in_buckets(bucket_of(turned, parts), word=turned, n=n.astype(np.int32))
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turned, n in gathered(((unpacked(b.column("word"), np.uint32)[0], unpacked(b.column("n"), np.int32)[0]) for b in batches), 1 << 62):
+            order = np.argsort(turned)
+            turned, n = turned[order], n[order].astype(np.int64)
+            at = runs_of(turned)
+            cell, n = turned[at] >> np.uint32(low), np.add.reduceat(n, at)
+            cell, n = cell[n > 1], n[n > 1]
+            at = runs_of(cell)
+            code = np.minimum(255, np.round(np.log2(np.maximum.reduceat(n, at)) * STEPS)).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
+            yield pa.RecordBatch.from_arrays([packed(v, np.array([0, len(v)])) for v in (cell[at], code)], ["cell", "code"])
+
+    counts = classes.select("words").mapInArrow(count, "bucket int, word binary, n binary").repartitionById(parts, F.col("bucket"))
+    got = counts.select("word", "n").mapInArrow(cells, "cell binary, code binary").toArrow()
     codes = np.zeros(1 << SKETCH_BITS, np.uint8)
-    codes[got["cell"].to_numpy()] = got["code"].to_numpy()
-    return Sketch(codes, classes.count())
+    for b in got.to_batches():
+        codes[unpacked(b.column("cell"), np.uint32)[0]] = unpacked(b.column("code"), np.uint8)[0]
+    return Sketch(codes, records)
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,8 +254,10 @@ def coordinates(t: np.ndarray, words: np.ndarray, offsets: np.ndarray, sketch: S
     size = np.diff(offsets)
     rec = np.repeat(np.arange(len(size)), size)
     code = sketch.codes[words & ((1 << SKETCH_BITS) - 1)]
-    order = np.lexsort((words, code, rec))
-    w, code = words[order].view(np.uint32).astype(np.uint64), code[order].astype(np.int64)
+    # One number of record, code and word (as signed), so that it can be sorted as such.
+    turn = np.uint64(1 << 31)
+    row = np.sort(rec.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | (words.view(np.uint32).astype(np.uint64) ^ turn))
+    w, code = (row & np.uint64(0xFFFFFFFF)) ^ turn, (row >> np.uint64(32) & np.uint64(0xFF)).astype(np.int64)
     count = np.exp2(code / STEPS)
     at = np.arange(len(w)) - offsets[rec]
     length, inner = _prefix(size, num, den), _prefix(size, 2 * num, num + den)
@@ -235,8 +311,10 @@ def posting_columns(key: np.ndarray, rec: np.ndarray, parity: np.ndarray, size:
 
 
 def column_of_arrays(b: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets from 0) of a column of arrays without nulls."""
+    """(values, offsets from 0) of a column without nulls: arrays, or packed 32-bit numbers."""
     col = b.column(name)
+    if pa.types.is_binary(col.type):
+        return unpacked(col, np.int32)
     sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
     return col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
@@ -314,14 +392,18 @@ def word_family(shared: Broadcast, num: int, den: int, sides: bool) -> Family:
     return family
 
 
-def postings(classes: DataFrame, families: list[Family], columns: list[str]) -> DataFrame:
-    """The postings of all families, made in one pass over ``columns`` of the classes."""
+def postings(classes: DataFrame, families: list[Family], columns: list[str], parts: int) -> DataFrame:
+    """The postings of all families, made in one pass over ``columns`` of the classes, in ``parts`` buckets of values: the numbers of many postings in a row."""
 
-    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+    def some(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         rec, key, tag = map(np.concatenate, zip(*(family(b) for family in families)))
-        return pa.RecordBatch.from_arrays([pa.array(key), b.column("id").take(pa.array(rec)), pa.array(tag)], ["key", "id", "tag"])
+        return key, b.column("id").to_numpy(zero_copy_only=False)[rec], tag
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, id_, tag in gathered(map(some, batches), TOGETHER):
+            yield in_buckets(bucket_of(key.view(np.uint64) >> np.uint64(32), parts), key=key, id=id_, tag=tag)
 
-    return map_batches(classes.select(*columns), one, POSTING)
+    return classes.select(*columns).mapInArrow(run, "bucket int, key binary, id binary, tag binary").repartitionById(parts, F.col("bucket")).drop("bucket")
 
 
 def side_flags(b: pa.RecordBatch) -> np.ndarray:
@@ -334,95 +416,111 @@ def side_flags(b: pa.RecordBatch) -> np.ndarray:
 PAIRED = "t byte, id_a bigint, id_b bigint, key bigint, id bigint, tag bigint"
 
 
-def _paired(runs: DataFrame, num: int, den: int, hot: int) -> DataFrame:
-    """Candidate pairs of each value; the rows of a value with more than ``hot`` rows come out unpaired, with their value."""
+def _paired(runs: DataFrame, num: int, den: int, hot: int | None = None) -> DataFrame:
+    """Candidate pairs of each value. ``runs`` are the buckets of ``postings``, and the rows of a value with more than ``hot`` rows come out unpaired,
+    with their value; without ``hot`` they are single postings sorted by value, which are all paired."""
+
+    def rank(b: dict[str, np.ndarray]) -> np.ndarray:
+        """Value and size: the rows of a value whose sizes suit that of a record are neighbours in this order."""
+        return (b["key"].view(np.uint64) >> np.uint64(IN_KEY) << np.uint64(SIZE_BITS)) | (b["tag"].view(np.uint64) >> np.uint64(SIZE_AT) & np.uint64(MOST_SIZE))
 
-    def pairs(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        tag = b["tag"].view(np.uint64)
+    def pairs(b: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        tag, ranks = b["tag"].view(np.uint64), rank(b)
         marked, right = (tag & np.uint64(MARK)) > 0, (tag & np.uint64(RIGHT)) > 0
-        size = ((tag >> np.uint64(SIZE_AT)) & np.uint64(MOST_SIZE)).astype(np.int64)
+        size = (ranks & np.uint64(MOST_SIZE)).astype(np.int64)
         low = np.uint64((1 << IN_KEY) - 1)
         parity = (tag & ~low) | (b["key"].view(np.uint64) & low)
         left = np.flatnonzero(tag & np.uint64(LEFT))
-        run = np.searchsorted(start, left, "right") - 1
-        count = end[run] - start[run]
+        own, value = size[left], ranks[left] & ~np.uint64(MOST_SIZE)
+        start = np.searchsorted(ranks, value | ((own * num + den - 1) // den).astype(np.uint64))
+        count = np.searchsorted(ranks, value | np.minimum(own * den // num, MOST_SIZE).astype(np.uint64), "right") - start
         cut = np.cumsum(count)
         at = 0
-        while at < len(left):  # some million pairs at a time
-            to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 2_000_000, "right")))
-            src, y = _spans(start[run[at:to]], count[at:to])
+        while at < len(left):  # some pairs at a time, which stay in the processor's cache
+            to = max(at + 1, int(np.searchsorted(cut, (cut[at - 1] if at else 0) + 200_000, "right")))
+            src, y = _spans(start[at:to], count[at:to])
             x = left[at:to][src]
             sx, sy = size[x], size[y]
-            ok = right[y] & (np.minimum(sx, sy) * den >= np.maximum(sx, sy) * num) & (b["id"][x] != b["id"][y])
-            ok &= (marked[x] & (sx <= sy)) | (marked[y] & (sy <= sx))
-            x, y = x[ok], y[ok]
+            ok = right[y] & ((marked[x] & (sx <= sy)) | (marked[y] & (sy <= sx)))
             # |a ^ b| <= (1-s)/(1+s) * (|a| + |b|), and at least as many words differ as parities do.
-            differ = np.bitwise_count(parity[x] ^ parity[y]).astype(np.int64)
-            ok = differ * (den + num) <= (den - num) * (size[x] + size[y])
+            ok &= np.bitwise_count(parity[x] ^ parity[y]) <= most[np.minimum(sx + sy, len(most) - 1)]
+            x, y = x[ok], y[ok]
+            ok = b["id"][x] != b["id"][y]
             yield x[ok], y[ok]
             at = to
 
+    # The words of two sets that may differ, by the sum of their sizes; all cells may where the sum is larger.
+    most = np.minimum(np.arange(PARITIES * (den + num) // max(1, den - num) + 2) * (den - num) // (den + num), PARITIES).astype(np.uint8)
+
     names = ["key", "id", "tag"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []  # rows of the last value, which may go on in the next batch
-        spilling: int | None = None
-
-        def loose(b: dict[str, np.ndarray]) -> pa.RecordBatch:
-            none = pa.nulls(len(b["id"]), pa.int64())
-            t = pa.array(((b["tag"] >> T_AT) & 3).astype(np.int8))
-            return pa.RecordBatch.from_arrays([t, none, none, *(pa.array(b[c]) for c in names)], ["t", "id_a", "id_b", *names])
-
-        def tight(b: dict[str, np.ndarray], start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for x, y in pairs(b, start, end):
-                i, j = b["id"][x], b["id"][y]
-                n = len(i)
-                both = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j), (b["tag"][x] >> T_AT) & 3]), axis=1) if n else np.zeros((3, 0), np.int64)
-                n = both.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[2].astype(np.int8)), pa.array(both[0]), pa.array(both[1]), *(pa.nulls(n, pa.int64()) for _ in names)], ["t", "id_a", "id_b", *names]
-                )
-
-        def whole(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            if not len(b["key"]):
-                return
+    def loose(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(b["id"]), 50_000):
+            some = taken(b, slice(lo, lo + 50_000))
+            none = pa.nulls(len(some["id"]), pa.int64())
+            t = pa.array(((some["tag"] >> T_AT) & 3).astype(np.int8))
+            yield pa.RecordBatch.from_arrays([t, none, none, *(pa.array(some[c]) for c in names)], ["t", "id_a", "id_b", *names])
+
+    def tight(b: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The pairs of rows that are sorted by ``rank``."""
+        each = ((b["id"][x], b["id"][y], (b["tag"][x] >> T_AT) & 3) for x, y in pairs(b))
+        for i, j, t in gathered(each, TOGETHER):
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            order = np.lexsort((t, j, i))
+            i, j, t = i[order], j[order], t[order]
+            new = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (t[1:] != t[:-1])])
+            n = int(new.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(t[new].astype(np.int8)), pa.array(i[new]), pa.array(j[new]), *(pa.nulls(n, pa.int64()) for _ in names)], ["t", "id_a", "id_b", *names])
+
+    def together(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([p[c] for p in parts]) for c in names}
+
+    def taken(b: dict[str, np.ndarray], which: np.ndarray | slice) -> dict[str, np.ndarray]:
+        return {c: v[which] for c, v in b.items()}
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        n, room, large = 0, ROOM, np.zeros(0, np.int64)  # values known to be hot
+
+        def sifted() -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+            """The rows that are held, sorted: those of hot values, and the others."""
+            nonlocal large
+            b = together(held)
+            b = taken(b, np.argsort(rank(b)))
             value = b["key"] >> IN_KEY
-            start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            end = np.append(start[1:], len(value))
-            large = end - start > hot
-            for s, e in zip(start[large], end[large]):
-                yield loose({c: v[s:e] for c, v in b.items()})
-            yield from tight(b, start[~large], end[~large])
-
-        def take(b: dict[str, np.ndarray], lo: int, hi: int) -> dict[str, np.ndarray]:
-            return {c: v[lo:hi] for c, v in b.items()}
+            start = runs_of(value)
+            count = np.diff(np.append(start, len(value)))
+            often = (count > hot) | np.isin(value[start], large)
+            large = np.union1d(large, value[start[often]])
+            which = np.repeat(often, count)
+            return taken(b, which), taken(b, ~which)
 
         for batch in batches:
-            b = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            if spilling is not None:
-                n = int(np.searchsorted(b["key"] >> IN_KEY != spilling, True))
-                yield loose(take(b, 0, n))
-                b = take(b, n, len(b["key"]))
-                if not len(b["key"]):
-                    continue
-                spilling = None
-            if held:
-                b = {c: np.concatenate([*(h[c] for h in held), b[c]]) for c in names}
-                held = []
+            held.append({c: unpacked(batch.column(c), np.int64)[0] for c in names})
+            n += len(held[-1]["key"])
+            if n > room:
+                out, rest = sifted()
+                yield from loose(out)
+                held, n = [rest], len(rest["key"])
+                room = max(ROOM, 2 * n)
+        if n:
+            out, rest = sifted()
+            yield from loose(out)
+            yield from tight(rest)
+
+    def row_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []  # rows of the last value, which may go on in the next batch
+        for batch in batches:
+            b = together([*held, {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}])
             if not len(b["key"]):
                 continue
             cut = int(np.searchsorted(b["key"] >> IN_KEY == b["key"][-1] >> IN_KEY, True))
-            yield from whole(take(b, 0, cut))
-            rest = take(b, cut, len(b["key"]))
-            if len(rest["key"]) > hot:
-                yield loose(rest)
-                spilling = int(rest["key"][0] >> IN_KEY)
-            else:
-                held = [rest]
+            yield from tight(taken(b, np.argsort(rank(taken(b, slice(cut))))))
+            held = [taken(b, slice(cut, None))]
         for h in held:
-            yield from whole(h)
+            yield from tight(taken(h, np.argsort(rank(h))))
 
-    return runs.mapInArrow(run, PAIRED)
+    return runs.mapInArrow(row_by_row if hot is None else bucket, PAIRED)
 
 
 def _sorted_runs(rows: DataFrame) -> DataFrame:
@@ -447,9 +545,12 @@ def _blocks(loose: DataFrame, hot: int) -> DataFrame:
 
 
 def collide(posts: DataFrame, out: Written, num: int, den: int, hot: int = HOT) -> DataFrame:
-    """(t, id_a, id_b, collisions, chunks): the pairs that share a value and can still reach the threshold, and how many values are chunks; written as "candidates"."""
-    found = out.table(_paired(_sorted_runs(posts), num, den, hot), "paired")
-    again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag"), hot)), num, den, 1 << 62)
+    """(t, id_a, id_b, collisions, chunks): the pairs that share a value and can still reach the threshold, and how many values are chunks; written as "candidates".
+
+    ``posts`` are ``postings`` in buckets.
+    """
+    found = out.table(_paired(posts, num, den, hot), "paired")
+    again = _paired(_sorted_runs(_blocks(found.where("key is not null").select("key", "id", "tag"), hot)), num, den)
     met = found.where("id_a is not null").select("t", "id_a", "id_b").unionByName(again.select("t", "id_a", "id_b"))
     met = met.groupBy(F.col("t").bitwiseAND(1).cast("byte").alias("t"), "id_a", "id_b").agg(F.count("*").alias("collisions"), F.count_if(F.col("t") > 1).alias("chunks"))
     got = out.table(met, "candidates")
@@ -511,8 +612,18 @@ def counted(classes: DataFrame, pairs: DataFrame, out: Written, num: int, den: i
     """The pairs whose sets share enough words, with ``shared``."""
     met = out.table(among(classes.select("t", "id", "words"), pairs), "candidate_words")
     a, b = (met.select("t", F.col("id").alias(f"id_{c}"), F.col("words").alias(f"w_{c}")) for c in "ab")
-    both = pairs.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).withColumn("shared", F.size(F.array_intersect("w_a", "w_b")))
-    return both.where(F.col("shared") * (num + den) >= num * (F.size("w_a") + F.size("w_b"))).select(*pairs.columns, "shared")
+    names = pairs.columns
+    both = pairs.join(a, ["t", "id_a"]).join(b, ["t", "id_b"]).select(*names, "w_a", "w_b")
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [column_of_arrays(batch, c) for c in ("w_a", "w_b")]
+        sizes = [np.diff(offsets) for _, offsets in sets]
+        each = [np.repeat(np.arange(len(n)), n).astype(np.uint64) << np.uint64(32) | words.view(np.uint32) for (words, _), n in zip(sets, sizes)]
+        shared = np.bincount((np.intersect1d(*each, assume_unique=True) >> np.uint64(32)).astype(np.int64), minlength=batch.num_rows).astype(np.int32)
+        keep = pa.array(shared.astype(np.int64) * (num + den) >= num * (sizes[0] + sizes[1]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(shared)], [*names, "shared"]).filter(keep)
+
+    return map_batches(both, one, ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes) + ", shared int")
 
 
 def word_tables(classes: DataFrame, num: int, den: int, sides: bool) -> tuple[Sketch, BitTable, BitTable | None]:
@@ -534,9 +645,10 @@ def near_classes(classes: DataFrame, out: Written, num: int = 7, den: int = 10,
     written table. With ``sides``, only pairs of a record with held-out rows and one with training rows. The postings of another family, ``more``, made
     from ``columns`` too, are joined with those of the words.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(word_tables(classes, num, den, sides))
+    tables = word_tables(classes, num, den, sides)
+    shared = classes.sparkSession.sparkContext.broadcast(tables)
     families = [word_family(shared, num, den, sides), *([more] if more else [])]
-    candidates = collide(postings(classes, families, ["t", "id", "words", "n", "n_held", *columns]), out, num, den, hot)
+    candidates = collide(postings(classes, families, ["t", "id", "words", "n", "n_held", *columns], parts_for(classes, tables[0].records)), out, num, den, hot)
     left = gate(classes, candidates, out, num, den, sides)
     out.drop("candidates")
     return counted(classes, left, out, num, den)

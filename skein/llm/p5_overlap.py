@@ -45,6 +45,8 @@ def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shape(rows: DataFrame) -> DataFrame:
     """(tab, id, held, k_hi, k_lo, seq): copy-key digest and the 32-bit hashes of each text's words, in reading order.
 
+    The hashes are bytes that sort as the signed numbers do (``ordered``).
+
     Null texts, texts without letter or digit, and rows without id or tab are left out; a null ``held`` is false.
     """
 
@@ -62,25 +64,40 @@ def shape(rows: DataFrame) -> DataFrame:
             ends.append(len(flat))
         hi, lo = digest_columns(digests)
         kept = pa.array(keep, pa.int32())
-        seqs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(flat, np.uint32).view(np.int32), pa.int32()))
+        seqs = near.packed(ordered(np.array(flat, np.uint32)), np.array(ends))
         return pa.RecordBatch.from_arrays([*(b.column(c).take(kept) for c in ("tab", "id", "held")), hi, lo, seqs], ["tab", "id", "held", "k_hi", "k_lo", "seq"])
 
-    return map_batches(identified(rows).select("tab", "id", F.coalesce("held", F.lit(False)).alias("held"), "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, seq array<int>")
+    return map_batches(identified(rows).select("tab", "id", F.coalesce("held", F.lit(False)).alias("held"), "text"), one, "tab string, id bigint, held boolean, k_hi bigint, k_lo bigint, seq binary")
+
+
+def ordered(words: np.ndarray) -> np.ndarray:
+    """32-bit words as bytes that sort as the signed numbers do."""
+    return (words ^ np.uint32(1 << 31)).byteswap()
+
+
+def in_order(words: np.ndarray) -> np.ndarray:
+    """The words of ``ordered``, as signed numbers."""
+    return (words.byteswap() ^ np.uint32(1 << 31)).view(np.int32)
 
 
 def classes_of(shaped: DataFrame) -> DataFrame:
-    """One row per set of copies: (t, id, k_hi, k_lo, n, n_held, seq, words); copies may differ in the order of their fields, one order is taken."""
-    g = shaped.groupBy("tab", "k_hi", "k_lo").agg(
+    """One row per set of copies: (t, id, k_hi, k_lo, n, n_held, seq, words); copies may differ in the order of their fields, one order is taken.
+
+    The digest comes first in the key, since rows are sorted by it; ``seq`` and ``words`` are packed.
+    """
+    g = shaped.groupBy("k_hi", "k_lo", "tab").agg(
         F.min("id").alias("id"), F.count("*").alias("n"), F.sum(F.col("held").cast("long")).alias("n_held"), F.min("seq").alias("seq")
     )
     names = ["t", "id", "k_hi", "k_lo", "n", "n_held", "seq"]
 
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        words, off = word_sets(*near.column_of_arrays(b, "seq"))
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(words))], [*names, "words"])
+        seq, offsets = near.unpacked(b.column("seq"), np.uint32)
+        seq = in_order(seq)
+        words, off = word_sets(seq, offsets)
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), near.packed(seq, offsets), near.packed(words, off)], [*names, "words"])
 
     rows = g.select((F.col("tab") == "train").cast("byte").alias("t"), *names[1:])
-    return map_batches(rows, one, "t byte, id bigint, k_hi bigint, k_lo bigint, n bigint, n_held bigint, seq array<int>, words array<int>")
+    return map_batches(rows, one, "t byte, id bigint, k_hi bigint, k_lo bigint, n bigint, n_held bigint, seq binary, words binary")
 
 
 def _record_of(offsets: np.ndarray) -> np.ndarray:

@@ -147,6 +147,42 @@ def test_overlaps_equal_brute_force(make, hot):
     assert all(0 < r.overlap_a <= 1 and 0 < r.overlap_b <= 1 and (r.id_a in held) == r.held_a for r in got)
 
 
+@pytest.mark.parametrize("hot", [near.HOT, 8])
+def test_overlaps_of_many_small_buckets(make, monkeypatch, hot):
+    """Postings that are passed on often, and buckets that take out hot values several times, give the same pairs."""
+    for name, n in (("TOGETHER", 64), ("ROOM", 50), ("PER_BUCKET", 10)):
+        monkeypatch.setattr(near, name, n)
+    rows = texts(160, 4)
+    held = {i for i, _ in rows if i % 5 == 0}
+    assert {(r.id_a, r.id_b) for r in overlaps(make(rows, held=held), hot=hot).collect()} == brute(rows, held)
+
+
+def test_postings_of_a_task_are_one_row_a_bucket(make):
+    classes = p5_overlap.classes_of(p5_overlap.shape(make(texts(160, 4)).coalesce(1)).coalesce(1)).coalesce(1).cache()
+
+    def all_words(b):
+        words, offsets = near.column_of_arrays(b, "words")
+        rec = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+        return rec, near.mix(words.view(np.uint32), np.zeros(1)).view(np.int64), rec
+
+    got = near.postings(classes, [all_words], ["t", "id", "words"], 4).collect()
+    n = sum(len(r.words) // 4 for r in classes.collect())
+    assert len(got) <= 4 < n == sum(len(r.key) // 8 for r in got)
+    values = [set(np.frombuffer(r.key, np.int64) >> near.IN_KEY) for r in got]
+    assert sum(map(len, values)) == len(set().union(*values))
+
+
+@given(st.lists(st.tuples(st.lists(st.integers(-(2**31), 2**31 - 1), max_size=5)), max_size=6))
+def test_packed_columns_and_their_order(lists):
+    arrays = [np.array(x, np.int32) for (x,) in lists]
+    flat, offsets = np.concatenate([np.zeros(0, np.int32), *arrays]), np.cumsum([0, *map(len, arrays)])
+    got, at = near.unpacked(near.packed(flat, offsets).slice(len(arrays) // 2), np.int32)
+    assert (got == flat[offsets[len(arrays) // 2] :]).all() and (at == offsets[len(arrays) // 2 :] - offsets[len(arrays) // 2]).all()
+    kept = near.packed(p5_overlap.ordered(flat.view(np.uint32)), offsets).to_pylist()
+    assert (p5_overlap.in_order(near.unpacked(near.packed(p5_overlap.ordered(flat.view(np.uint32)), offsets), np.uint32)[0]) == flat).all()
+    assert sorted(range(len(arrays)), key=lambda i: kept[i]) == sorted(range(len(arrays)), key=lambda i: arrays[i].tolist())
+
+
 def test_ids_of_two_tabs_do_not_meet(make):
     rows = make([(1, "an owl by a lamp")]).unionByName(make([(1, "an owl by a lamp")], "train")).unionByName(make([(2, "an owl, by a lamp")], "train"))
     assert [(r.tab, r.id_a, r.id_b) for r in copies(rows).collect()] == [("train", 1, 2)]
