@@ -51,7 +51,6 @@ SKETCH_BITS, STEPS = 24, 6
 #: A posting is (key, id, tag). From the top, ``key`` holds 44 bits of the value and 20 of the record's parities, ``tag`` the other 44 parities,
 #: 15 of the size (larger ones count as the largest, which prunes less), 1 of the kind of the value (0 words, 1 chunks), 1 of t, and whether the value is in the short prefix (MARK), the
 #: record may be the left one of a pair (LEFT), and the right one (RIGHT). So a key is sorted by value, and values that differ are 44 bits apart.
-POSTING = "key bigint, id bigint, tag bigint"
 PARITIES, GATE = 64, 128
 IN_KEY, SIZE_AT, SIZE_BITS, T_AT, CHUNK, MARK, LEFT, RIGHT = 20, 5, 15, 3, 16, 4, 2, 1
 MOST_SIZE = (1 << SIZE_BITS) - 1
